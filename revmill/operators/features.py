@@ -16,11 +16,15 @@ BROADCAST_ROWS = 100_000
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows.
+    """``df`` as a broadcast table if it has at most ``max_rows`` rows.
 
-    Beyond that the join is left to Spark, which shuffles and splits hot keys.
+    The rows that were counted are the ones broadcast, so ``df`` runs once. Beyond
+    the bound the join is left to Spark, which shuffles and splits hot keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def label_map(train: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def training_batches(
 
     Batches are cut by position, so none is ever larger.
     """
-    placed = ranked(df.withColumn("_order", order_key(seed, key)), [], "_order", "_position")
+    placed = ranked(df.withColumn("_order", order_key(seed, key)), "_order", "_position")
     return placed.withColumn("batch_id", F.floor((F.col("_position") - 1) / size)).drop(
         "_position", "_order"
     )

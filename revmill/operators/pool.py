@@ -109,12 +109,9 @@ def shuffle(df: DataFrame, key: str = "review_id", seed=SEED) -> DataFrame:
     )
 
 
-def shuffled_positions(
-    df: DataFrame, key: str = "review_id", seed=SEED, by: Sequence[str] = ()
-) -> DataFrame:
+def shuffled_positions(df: DataFrame, key: str = "review_id", seed=SEED) -> DataFrame:
     """Rows with their 1-based ``position`` in the shuffled order."""
-    keyed = df.withColumn("_order", order_key(seed, key))
-    return ranked(keyed, by, "_order").drop("_order")
+    return ranked(df.withColumn("_order", order_key(seed, key)), "_order").drop("_order")
 
 
 def filter_pool(df: DataFrame) -> DataFrame:

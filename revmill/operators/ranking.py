@@ -2,7 +2,7 @@
 
 A window over a whole group would put a hot category or generator into one
 task. Here every order key is cut into 65,536 buckets first. ``ranked`` ranks
-inside (group, bucket) and adds the rows before it. ``slices`` goes further:
+inside a bucket and adds the rows before it. ``slices`` goes further:
 it needs only the keys at the cut positions, so it ranks nothing but the
 buckets that hold a cut and then labels the rows by comparing keys, which
 moves no row between tasks.
@@ -31,26 +31,22 @@ def bucket_counts(df: DataFrame, by: Sequence[str], key: str, bucket: Column | N
     return df.groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def ranked(df: DataFrame, by: Sequence[str], key: str, name: str = "position") -> DataFrame:
-    """Each row's 1-based position in the order of ``key`` within its group.
+def ranked(df: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """Each row's 1-based position in the order of ``key``, a unique order key.
 
-    ``key`` is an order key and unique within the group.
+    The window and the join share one placement by bucket, so rows move once.
     """
-    counts = bucket_counts(df, by, key)
-    across = Window.partitionBy(*by).orderBy("bucket")
+    counts = bucket_counts(df, [], key)
+    # An unpartitioned window over at most 65,536 rows.
     before = counts.select(
-        *[F.col(c).alias(f"_{c}") for c in by],
-        F.col("bucket").alias("_bucket"),
-        (_running("n", across) - F.col("n")).alias("_before"),
+        "bucket", (_running("n", Window.orderBy("bucket")) - F.col("n")).alias("_before")
     )
-    inside = Window.partitionBy(*by, "bucket").orderBy(key)
+    inside = Window.partitionBy("bucket").orderBy(key)
     local = df.withColumn("bucket", _bucket(key)).withColumn("_local", F.row_number().over(inside))
-    same = [F.col("bucket") == F.col("_bucket")]
-    same += [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     return (
-        local.join(before, on=same)
+        local.join(before, "bucket")
         .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("bucket", "_bucket", "_local", "_before", *[f"_{c}" for c in by])
+        .drop("bucket", "_local", "_before")
     )
 
 

@@ -226,30 +226,33 @@ def rotation_meta(splits: DataFrame, generators: Sequence[str] = GENERATORS) ->
 
 def leakage(
     splits: DataFrame,
-    key: str = "review_id",
+    keys: Sequence[str] = ("review_id",),
     left: str = "train",
     right: str = "test_crossgen",
 ) -> DataFrame:
-    """Per rotation, how many keys occur in both splits.
+    """Per key column and rotation, how many values occur in both splits.
 
-    One aggregate, combined before its shuffle, stands for the semi join: a key
+    One aggregate, combined before its shuffle, stands for the semi joins: a value
     that a third of the rows share costs one row per task.
     """
-    keys = (
-        splits.where(F.col("split").isin(left, right) & F.col(key).isNotNull())
-        .groupBy("rotation", key)
+    each = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])
+    )
+    values = (
+        splits.where(F.col("split").isin(left, right))
+        .select("rotation", "split", each.alias("k"))
+        .groupBy("rotation", "k.key", "k.value")
         .agg(
             F.bool_or(F.col("split") == left).alias("in_left"),
             F.bool_or(F.col("split") == right).alias("in_right"),
         )
     )
-    return keys.groupBy("rotation").agg(
-        F.count_if(F.col("in_left") & F.col("in_right")).alias("shared")
-    )
+    both = F.col("value").isNotNull() & F.col("in_left") & F.col("in_right")
+    return values.groupBy("key", "rotation").agg(F.count_if(both).alias("shared"))
 
 
-def assert_no_leakage(splits: DataFrame, **kwargs) -> None:
+def assert_no_leakage(splits: DataFrame) -> None:
     """Raise if train and cross-generator test of a rotation share a review."""
-    shared = {r["rotation"]: r["shared"] for r in leakage(splits, **kwargs).collect() if r["shared"]}
+    shared = {r["rotation"]: r["shared"] for r in leakage(splits).collect() if r["shared"]}
     if shared:
         raise ValueError(f"train and cross-generator test share reviews: {shared}")

@@ -12,7 +12,6 @@ from revmill.operators.pool import filter_pool
 from revmill.operators.splits import logo_splits
 from revmill.schema import HUMAN, MODELS, TEST_SPLITS, VARIANTS
 from revmill.session import new_folder
-from revmill.sources.reviews import scan_reviews, write_reviews
 
 STEPS = [200, 400, 600, 800, 1000]
 RAW_SQL = """
@@ -73,10 +72,19 @@ def ai(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a review table and read back, as stages hand over."""
+    """``df`` written to the shared folder and read back, as stages hand over.
+
+    What follows reads only the columns it needs, and a lost executor costs a
+    stage and not the chain before it.
+    """
     path = new_folder(spark, name)
-    write_reviews(df, path)
-    return scan_reviews(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_human(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The human pool from storage: its texts are filtered once."""
+    return stored(spark, human(spark, sf_dir), "human")
 
 
 def quarter():
@@ -86,7 +94,7 @@ def quarter():
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All splits of all rotations."""
-    return logo_splits(human(spark, sf_dir), ai(spark, sf_dir), quarter())
+    return logo_splits(stored_human(spark, sf_dir), ai(spark, sf_dir), quarter())
 
 
 def _with_p(df: DataFrame, *parts: str) -> DataFrame:

@@ -4,7 +4,7 @@ These are written from the definitions, with global windows and joins where the
 Spark operators avoid them.
 """
 
-from revmill.functions.text import SPACE, TOKEN_RUN, WORD_RUN
+from revmill.functions.text import TOKEN_RUN
 from revmill.schema import (
     CUTOFF_MS,
     DEFAULT_TITLE,
@@ -19,6 +19,13 @@ from revmill.schema import (
 
 ORACLES: dict[str, str] = {}
 
+# The characters that split words, spelled out.
+SPACE = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+WORD_RUN = f"[^{SPACE}]+"
+
 
 def _list(values) -> str:
     return ", ".join(values)

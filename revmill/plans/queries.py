@@ -102,8 +102,9 @@ def scan_split(spark, sf_dir):
 @query
 def write_reviews(spark, sf_dir):
     """The human pool after a round trip through storage."""
-    pool_ = inputs.stored(spark, inputs.human(spark, sf_dir), "human")
-    return pool_.groupBy("category").agg(
+    path = new_folder(spark, "human")
+    source.write_reviews(inputs.human(spark, sf_dir), path)
+    return source.scan_reviews(spark, path).groupBy("category").agg(
         F.count("*").alias("n"), F.sum(F.length("text").cast("bigint")).alias("n_chars")
     )
 
@@ -121,7 +122,7 @@ def write_splits(spark, sf_dir):
 
 
 def _all_metrics(spark, sf_dir) -> DataFrame:
-    scored = inputs.scored(spark, sf_dir)
+    scored = inputs.stored(spark, inputs.scored(spark, sf_dir), "scored")
     whole = metrics.metrics(scored, BY_SPLIT).withColumn("generator", F.lit(None).cast("string"))
     return whole.unionByName(metrics.per_generator(scored, BY_SPLIT))
 
@@ -265,7 +266,7 @@ def dedup_reviews(spark, sf_dir):
 
 @query
 def seeded_shuffle(spark, sf_dir):
-    return pool.shuffled_positions(inputs.human(spark, sf_dir)).select("review_id", "position")
+    return pool.shuffled_positions(inputs.stored_human(spark, sf_dir)).select("review_id", "position")
 
 
 @query
@@ -298,21 +299,20 @@ def head_rows(spark, sf_dir):
 # --- Generation tables -------------------------------------------------------
 
 
-def _n_products(spark, sf_dir) -> int:
-    """Half of the products of the human pool."""
-    return inputs.human(spark, sf_dir).select("parent_asin").distinct().count() // 2
+def _half_of_products(human: DataFrame) -> int:
+    return human.select("parent_asin").distinct().count() // 2
 
 
 @query
 def seed_products(spark, sf_dir):
-    human = inputs.human(spark, sf_dir)
-    return generation.seed_products(human, _n_products(spark, sf_dir))
+    human = inputs.stored_human(spark, sf_dir)
+    return generation.seed_products(human, _half_of_products(human))
 
 
 @query
 def length_draw(spark, sf_dir):
     """A length for every review, drawn from the human pool's lengths."""
-    bins = generation.length_bins(inputs.human(spark, sf_dir))
+    bins = generation.length_bins(inputs.stored_human(spark, sf_dir))
     rows = inputs.reviews(spark, sf_dir).select("review_id")
     return generation.draw_length(rows, bins, "review_id")
 
@@ -353,8 +353,8 @@ def chat_messages(spark, sf_dir):
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    human = inputs.human(spark, sf_dir)
-    return generation.requests(human, _n_products(spark, sf_dir))
+    human = inputs.stored_human(spark, sf_dir)
+    return generation.requests(human, _half_of_products(human))
 
 
 @query
@@ -395,7 +395,7 @@ def rotations(spark, sf_dir):
 
 @query
 def reserve_human(spark, sf_dir):
-    return splits.reserve_human(inputs.human(spark, sf_dir), inputs.quarter()).select(
+    return splits.reserve_human(inputs.stored_human(spark, sf_dir), inputs.quarter()).select(
         "rotation", "part", "review_id"
     )
 
@@ -409,7 +409,7 @@ def split_80_10_10(spark, sf_dir):
 @query
 def balance_human(spark, sf_dir):
     return splits.balance(
-        inputs.human(spark, sf_dir), inputs.ai(spark, sf_dir), inputs.quarter()
+        inputs.stored_human(spark, sf_dir), inputs.ai(spark, sf_dir), inputs.quarter()
     ).select("rotation", "split", "review_id")
 
 
@@ -428,7 +428,7 @@ def logo_splits(spark, sf_dir):
 @query
 def combine_shuffle(spark, sf_dir):
     """Humans and generated reviews together, with their shuffled position."""
-    human = inputs.human(spark, sf_dir).select("review_id", "generator")
+    human = inputs.stored_human(spark, sf_dir).select("review_id", "generator")
     ai = inputs.ai(spark, sf_dir).select("review_id", "generator")
     return pool.shuffled_positions(splits.combine(human, ai))
 
@@ -441,12 +441,7 @@ def rotation_meta(spark, sf_dir):
 @query
 def leakage_check(spark, sf_dir):
     """Reviews and products that train and cross-generator test share."""
-    rows = inputs.splits(spark, sf_dir)
-    checks = [
-        splits.leakage(rows, key).select(F.lit(key).alias("key"), "rotation", "shared")
-        for key in ("review_id", "parent_asin")
-    ]
-    return checks[0].unionByName(checks[1])
+    return splits.leakage(inputs.splits(spark, sf_dir), ["review_id", "parent_asin"])
 
 
 # --- Features ----------------------------------------------------------------
