@@ -4,7 +4,7 @@ from typing import NamedTuple
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,7 +54,8 @@ PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 def word_vocabulary(df: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """The most frequent lower-cased words of the texts, numbered from 2."""
     counts = (
-        df.select(F.explode(words(F.lower("text"))).alias("word"))
+        df.select(F.explode_outer(words(F.lower("text"))).alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -144,12 +145,13 @@ def scale_apply(df: DataFrame, scale: Scale, vector: str = "embedding") -> DataF
 # --- TF-IDF ------------------------------------------------------------------
 
 
-def terms(text="text") -> Column:
-    """Tokens and pairs of neighbouring tokens."""
-    return with_pairs(tokens(text))
+# Below, arrays made by a regex are exploded with the outer form. The inner form
+# makes Spark test for empty arrays before the projection, at the price of running
+# the regex again for each mention of it.
 
 
-def _with_terms(df: DataFrame, *keep: str) -> DataFrame:
+def with_terms(df: DataFrame, *keep: str) -> DataFrame:
+    """Each text's tokens and pairs of neighbouring tokens as the array ``t``."""
     # Two projections, so that the regex runs once per text.
     return df.select(*keep, tokens("text").alias("w")).select(*keep, with_pairs(F.col("w")).alias("t"))
 
@@ -164,18 +166,15 @@ def tfidf_fit(
     document and in total come from one pass: each term is emitted once per
     occurrence and once more per document, and combined before the shuffle.
     """
-    long = _with_terms(train).select(
-        F.explode(
-            F.concat(
-                F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("doc"))),
-                F.transform(
-                    F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("doc"))
-                ),
-            )
-        ).alias("e")
+    # List 0 has every occurrence, list 1 each term once.
+    lists = with_terms(train).select(
+        F.posexplode_outer(F.array("t", F.array_distinct("t"))).alias("list", "terms")
     )
-    counts = long.groupBy(F.col("e.term").alias("term")).agg(
-        F.sum("e.doc").alias("df"), F.count_if(F.col("e.doc") == 0).alias("total")
+    counts = (
+        lists.select("list", F.explode_outer("terms").alias("term"))
+        .where(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.sum("list").alias("df"), F.count_if(F.col("list") == 0).alias("total"))
     )
     documents = train.agg(F.count("*")).scalar()
     idf = F.log((documents + 1.0) / (F.col("df") + 1.0)) + 1.0
@@ -196,7 +195,7 @@ def tfidf_apply(df: DataFrame, vocabulary: DataFrame, key: str = "review_id") ->
     the counts, the norm and the zero rows all use that placement.
     """
     placed = df.select(key, "text").repartition(key)
-    long = _with_terms(placed, key).select(key, F.explode_outer("t").alias("term"))
+    long = with_terms(placed, key).select(key, F.explode_outer("t").alias("term"))
     # The vocabulary is limited to its max_features rows.
     known = long.join(F.broadcast(vocabulary.select("term", "idf")), "term", "left").withColumn(
         "term", F.when(F.col("idf").isNotNull(), F.col("term"))

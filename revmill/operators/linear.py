@@ -6,7 +6,7 @@ from typing import NamedTuple
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ def score(model: LogisticRegressionModel, features: DataFrame) -> DataFrame:
 
 def _sublinear():
     @F.udf(VectorUDT())
-    def damp(counts: SparseVector) -> SparseVector:
+    def damp(counts):
         return Vectors.sparse(
             counts.size, counts.indices, [1.0 + math.log(tf) for tf in counts.values]
         )

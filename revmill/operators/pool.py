@@ -10,6 +10,7 @@ from revmill.functions.text import word_count
 from revmill.operators.filters import as_human, before_cutoff, word_band
 from revmill.operators.ranking import linear_bucket, ranked, slices
 from revmill.schema import POOL_SIZE, SEED
+from revmill.session import stored
 
 
 def quotas(categories: Sequence[str], n: int) -> dict[str, int]:
@@ -40,20 +41,23 @@ def take_quota(
     large category nor a large quota gathers rows in a task. Copies of the last
     key all stay; ``dedup`` is what removes them.
     """
-    kept = df.where(F.col(by).isin(list(quota)))
-    if order is None:
-        kept = kept.withColumn("_order", order_key(seed, key))
-        bucket = None
-    else:
-        lo, hi = kept.agg(F.min(order), F.max(order)).first()
-        kept = kept.withColumn("_order", F.col(order))
+    place = order_key(seed, key) if order is None else F.col(order)
+    kept = df.where(F.col(by).isin(list(quota))).withColumn("_order", place)
+    # Finding the cuts reads the keys twice, so they are stored: the filters
+    # before this step run once for them and once for the rows.
+    keys = stored(kept.select(by, "_order"), "quota-keys")
+    bucket = None
+    if order is not None:
+        lo, hi = keys.agg(F.min("_order"), F.max("_order")).first()
         bucket = linear_bucket("_order", lo or 0, hi or 0)
     limits = F.create_map(*[F.lit(x) for c, q in quota.items() for x in (c, q)])
 
     def ends(sizes: DataFrame) -> DataFrame:
         return sizes.withColumn("kept", F.least("n", F.element_at(limits, F.col(by))))
 
-    taken = slices(kept, [by], "_order", ["kept"], ends, "_slice", bucket, keep_copies=True)
+    taken = slices(
+        keys, [by], "_order", ["kept"], ends, "_slice", bucket, keep_copies=True, rows=kept
+    )
     return taken.drop("_order", "_slice")
 
 

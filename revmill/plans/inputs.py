@@ -11,7 +11,7 @@ from revmill.operators.features import embed
 from revmill.operators.pool import filter_pool
 from revmill.operators.splits import logo_splits
 from revmill.schema import HUMAN, MODELS, TEST_SPLITS, VARIANTS
-from revmill.session import new_folder
+from revmill.session import stored
 
 STEPS = [200, 400, 600, 800, 1000]
 RAW_SQL = """
@@ -71,20 +71,9 @@ def ai(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).where(F.col("generator") != HUMAN)
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, as stages hand over.
-
-    What follows reads only the columns it needs, and a lost executor costs a
-    stage and not the chain before it.
-    """
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def stored_human(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The human pool from storage: its texts are filtered once."""
-    return stored(spark, human(spark, sf_dir), "human")
+    return stored(human(spark, sf_dir), "human")
 
 
 def quarter():

@@ -5,7 +5,10 @@ DataFrame whose columns match the SQL of the same name in ``oracles``.
 """
 
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ from revmill.operators import (
 )
 from revmill.plans import inputs
 from revmill.schema import GENERATORS, TEST_SPLITS
-from revmill.session import new_folder
+from revmill.session import new_folder, stored
 from revmill.sources import results
 from revmill.sources import reviews as source
 from revmill.streaming.ingest import ingest_stream
@@ -122,7 +125,7 @@ def write_splits(spark, sf_dir):
 
 
 def _all_metrics(spark, sf_dir) -> DataFrame:
-    scored = inputs.stored(spark, inputs.scored(spark, sf_dir), "scored")
+    scored = stored(inputs.scored(spark, sf_dir), "scored")
     whole = metrics.metrics(scored, BY_SPLIT).withColumn("generator", F.lit(None).cast("string"))
     return whole.unionByName(metrics.per_generator(scored, BY_SPLIT))
 
@@ -509,8 +512,7 @@ def standard_scale(spark, sf_dir):
 
 @query
 def tokens_ngrams(spark, sf_dir):
-    rows = inputs.reviews(spark, sf_dir).select("review_id", features.terms().alias("t"))
-    return rows.select(
+    return features.with_terms(inputs.reviews(spark, sf_dir), "review_id").select(
         "review_id",
         F.size("t").alias("n_terms"),
         F.md5(F.array_join("t", "|")).alias("terms_md5"),
@@ -541,17 +543,22 @@ def tfidf_weights(spark, sf_dir):
 
 
 def _rotation_metrics(rows: DataFrame, fit, model: str) -> DataFrame:
-    """Fit on each rotation's training rows, score its two tests."""
-    parts = []
-    for rotation in range(len(GENERATORS)):
+    """Fit on each rotation's training rows, score its two tests.
+
+    The fits are many short jobs each, so the rotations run side by side.
+    """
+
+    @inheritable_thread_target(rows.sparkSession)
+    def scored(rotation: int) -> DataFrame:
         here = rows.where(F.col("rotation") == rotation)
         fitted = fit(here.where(F.col("split") == "train"))
-        scored = fitted.score(here.where(F.col("split").isin(TEST_SPLITS)))
-        parts.append(scored.select("rotation", "split", "label", "p"))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return metrics.metrics(scored.withColumn("model", F.lit(model)), BY_SPLIT)
+        tests = fitted.score(here.where(F.col("split").isin(TEST_SPLITS)))
+        return tests.select("rotation", "split", "label", "p")
+
+    with ThreadPool(len(GENERATORS)) as threads:
+        parts = threads.map(scored, range(len(GENERATORS)))
+    every = reduce(DataFrame.unionByName, parts).withColumn("model", F.lit(model))
+    return metrics.metrics(every, BY_SPLIT)
 
 
 def _stored_splits(spark, sf_dir) -> DataFrame:
