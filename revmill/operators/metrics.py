@@ -126,13 +126,14 @@ def per_generator(df: DataFrame, by: Sequence[str], threshold: float = THRESHOLD
     at_score = Window.partitionBy(*by, "range", "p")
     up_to = Window.partitionBy(*by, "range").orderBy("p").rangeBetween(Window.unboundedPreceding, 0)
     own = Window.partitionBy(*group, "range").orderBy("p")
-    placed = _by_score(df, by, "generator")
-    for c in ("pos", "neg"):
-        # Humans scoring lower within the range, ties half.
-        placed = placed.withColumn(
-            f"human_{c}", F.sum(humans(c)).over(up_to) - F.sum(humans(c)).over(at_score) / 2
-        )
-    placed = placed.withColumn("own_neg", _running("neg", own) - F.col("neg"))
+    # Humans scoring lower within the range, ties half.
+    lower = lambda c: F.sum(humans(c)).over(up_to) - F.sum(humans(c)).over(at_score) / 2
+    placed = _by_score(df, by, "generator").select(
+        "*",
+        lower("pos").alias("human_pos"),
+        lower("neg").alias("human_neg"),
+        (_running("neg", own) - F.col("neg")).alias("own_neg"),
+    )
     ranges = placed.groupBy(*group, "range").agg(
         F.sum(F.col("pos") * (F.col("own_neg") + F.col("neg") / 2)).alias("own"),
         F.sum(F.col("pos") * F.col("human_neg")).alias("won"),
