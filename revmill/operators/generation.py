@@ -64,20 +64,24 @@ def draw_length(
     the position gives the length. Bins are joined by cell of the position range,
     so a row meets the one or two bins of its cell and not all of them.
     """
-    total = bins.agg(F.max("stop")).scalar()
-    cell_of = lambda position: F.floor(position * F.lit(float(CELLS)) / total)
-    cells = bins.select(
-        F.col("wc").alias("target_wc"),
-        "start",
-        "stop",
-        F.explode(F.sequence(cell_of(F.col("start")), cell_of(F.col("stop") - 1))).alias("cell"),
+    # At most 381 bins, and CELLS more rows where a bin spans cells.
+    listed = bins.collect()
+    if not listed:
+        raise ValueError("no lengths to draw from")
+    total = max(b["stop"] for b in listed)
+    cells = [
+        (cell, b["wc"], b["start"], b["stop"])
+        for b in listed
+        for cell in range(b["start"] * CELLS // total, (b["stop"] - 1) * CELLS // total + 1)
+    ]
+    table = df.sparkSession.createDataFrame(
+        cells, "cell bigint, target_wc int, start bigint, stop bigint"
     )
-    position = F.floor(uniform(F.lit(seed), F.lit("length"), F.col(key)) * total)
+    drawn = uniform(F.lit(seed), F.lit("length"), F.col(key))
     return (
-        df.withColumn("_at", position)
-        .withColumn("cell", cell_of(F.col("_at")))
-        # At most 381 bins and CELLS more rows where a bin spans cells.
-        .join(F.broadcast(cells), "cell")
+        df.withColumn("_at", F.floor(drawn * float(total)))
+        .withColumn("cell", F.expr(f"_at * {CELLS} div {total}"))
+        .join(F.broadcast(table), "cell")
         .where((F.col("start") <= F.col("_at")) & (F.col("_at") < F.col("stop")))
         .drop("_at", "cell", "start", "stop")
     )

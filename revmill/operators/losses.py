@@ -59,6 +59,16 @@ def supcon_of_batch(temperature: float):
     return losses
 
 
+def _gathered(vector: str, label: str) -> Column:
+    return F.collect_list(F.struct(F.col(vector).alias("v"), F.col(label).alias("y")))
+
+
+def _supcon_of(rows: str, size: int, temperature: float) -> Column:
+    too_large = F.raise_error(F.lit(f"a batch has more than {size} rows"))
+    rows = F.when(F.size(rows) > size, too_large).otherwise(F.col(rows))
+    return supcon_of_batch(temperature)(rows["v"], rows["y"])
+
+
 def supcon(
     batches: DataFrame,
     vector: str,
@@ -73,16 +83,29 @@ def supcon(
     matrix product of a batch runs inside its row and no pair is ever a row.
     A larger batch is an error and not a silent sample.
     """
+    rows = batches.groupBy(batch).agg(_gathered(vector, label).alias("rows"))
+    return rows.select(batch, _supcon_of("rows", size, temperature).alias("loss"))
+
+
+def loss_parts(
+    batches: DataFrame,
+    vector: str,
+    label: str,
+    logits: str,
+    gen_label: str,
+    gen_logits: str,
+    batch: str = "batch_id",
+    temperature: float = TEMPERATURE,
+    size: int = BATCH_SIZE,
+) -> DataFrame:
+    """The three losses of every batch, from one grouping."""
     rows = batches.groupBy(batch).agg(
-        F.collect_list(F.struct(F.col(vector).alias("v"), F.col(label).alias("y"))).alias("rows")
-    )
-    checked = F.when(
-        F.size("rows") > size, F.raise_error(F.lit(f"a batch has more than {size} rows"))
-    ).otherwise(F.col("rows"))
-    rows = rows.select(batch, checked.alias("rows"))
-    return rows.select(
-        batch, supcon_of_batch(temperature)(F.col("rows.v"), F.col("rows.y")).alias("loss")
+        F.avg(negative_log_softmax(logits, label)).alias("ce"),
+        F.avg(negative_log_softmax(gen_logits, gen_label)).alias("adversarial"),
+        _gathered(vector, label).alias("rows"),
     )
+    contrastive = _supcon_of("rows", size, temperature).alias("contrastive")
+    return rows.select(batch, "ce", contrastive, "adversarial")
 
 
 def variants_array() -> Column:

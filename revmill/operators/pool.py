@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revmill.functions.order import order_key
 from revmill.functions.text import word_count
 from revmill.operators.filters import as_human, before_cutoff, word_band
-from revmill.operators.ranking import linear_bucket, ranked, slices
+from revmill.operators.ranking import linear_bucket, nth_key, ranked, slices
 from revmill.schema import POOL_SIZE, SEED
 from revmill.session import stored
 
@@ -69,29 +69,23 @@ def take_first(
     complete: bool = True,
     rows: DataFrame | None = None,
 ) -> DataFrame:
-    """n rows drawn without replacement, by hash order of their key.
+    """n rows drawn without replacement, by hash order of their unique key.
 
     With ``complete`` a table of fewer rows is an error. With ``rows``, the rows
     of that table whose key is drawn. There is no LIMIT, which would send all n
-    rows through one task.
+    rows through one task, but a comparison with the n-th key.
     """
-    short = F.raise_error(
-        F.concat(F.lit(f"cannot take {n} rows out of "), F.col("n").cast("string"))
-    ).cast("bigint")
-
-    def keyed(table: DataFrame) -> DataFrame:
-        return table.withColumn("_all", F.lit(0)).withColumn("_order", order_key(seed, key))
-
-    def ends(sizes: DataFrame) -> DataFrame:
-        return sizes.withColumn(
-            "kept", F.when(F.col("n") >= n, F.lit(n)).otherwise(short if complete else F.col("n"))
-        )
-
-    taken = slices(
-        keyed(df), ["_all"], "_order", ["kept"], ends, "_slice",
-        rows=None if rows is None else keyed(rows),
+    keyed = lambda table: table.withColumn("_order", order_key(seed, key))
+    if n <= 0:
+        return (df if rows is None else rows).where(F.lit(False))
+    last = nth_key(keyed(df), "_order", n).scalar()
+    short = F.raise_error(F.lit(f"cannot take {n} rows out of fewer"))
+    drawn = F.when(last.isNull(), short.cast("boolean") if complete else F.lit(True))
+    return (
+        keyed(df if rows is None else rows)
+        .where(drawn.otherwise(F.col("_order") <= last))
+        .drop("_order")
     )
-    return taken.drop("_all", "_order", "_slice")
 
 
 def dedup(df: DataFrame, key: str = "review_id", order=None) -> DataFrame:

@@ -50,6 +50,31 @@ def ranked(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     )
 
 
+def nth_key(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The n-th smallest key as a table of one row, or of none if there are fewer.
+
+    Only the keys of the bucket that holds it are sorted.
+    """
+    # An unpartitioned window over at most 65,536 rows.
+    last = _running("n", Window.orderBy("bucket"))
+    edge = (
+        bucket_counts(df, [], key)
+        .select("bucket", last.alias("last"), (F.lit(n) - last + F.col("n")).alias("need"))
+        .where((F.col("last") >= n) & (F.col("need") > 0))
+    )
+    # The edge is one row.
+    near = (
+        df.select(F.col(key).alias("key"), _bucket(key).alias("bucket"))
+        .join(F.broadcast(edge), "bucket")
+        .groupBy("bucket", "need", "key")
+        .agg(F.count("*").alias("copies"))
+    )
+    seen = _running("copies", Window.partitionBy("bucket").orderBy("key"))
+    return near.withColumn("seen", seen).where("seen >= need").groupBy("bucket").agg(
+        F.min("key").alias("key")
+    ).select("key")
+
+
 def cut_keys(
     df: DataFrame,
     by: Sequence[str],

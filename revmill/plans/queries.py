@@ -367,13 +367,13 @@ def generation_requests(spark, sf_dir):
 
 @query
 def ingest_responses(spark, sf_dir):
-    requests = _requests(spark, sf_dir)
+    requests = stored(_requests(spark, sf_dir), "requests")
     return generation.ingest(requests, inputs.responses(requests))
 
 
 @query
 def pending_requests(spark, sf_dir):
-    requests = _requests(spark, sf_dir)
+    requests = stored(_requests(spark, sf_dir), "requests")
     return generation.pending(requests, inputs.responses(requests)).select(
         "request_id", "generator", "parent_asin"
     )
@@ -624,24 +624,16 @@ def generator_cross_entropy(spark, sf_dir):
     return loss.select("batch_id", *rounded("loss"))
 
 
-def _supcon(batches: DataFrame) -> DataFrame:
-    return losses.supcon(batches.withColumn("z", l2_normalize("embedding")), "z", "label")
-
-
 @query
 def supcon_loss(spark, sf_dir):
-    return _supcon(_batches(spark, sf_dir)).select("batch_id", *rounded("loss"))
+    batches = _batches(spark, sf_dir).withColumn("z", l2_normalize("embedding"))
+    return losses.supcon(batches, "z", "label").select("batch_id", *rounded("loss"))
 
 
 @query
 def weighted_loss(spark, sf_dir):
-    batches = _batches(spark, sf_dir)
-    ce = losses.cross_entropy(batches, "cls_logits", "label").withColumnRenamed("loss", "ce")
-    adversarial = losses.cross_entropy(batches, "gen_logits", "gen_label")
-    contrastive = _supcon(batches).withColumnRenamed("loss", "contrastive")
-    parts = ce.join(contrastive, "batch_id").join(
-        adversarial.withColumnRenamed("loss", "adversarial"), "batch_id"
-    )
+    batches = _batches(spark, sf_dir).withColumn("z", l2_normalize("embedding"))
+    parts = losses.loss_parts(batches, "z", "label", "cls_logits", "gen_label", "gen_logits")
     return losses.weighted_loss(parts).select(
         "batch_id", "variant", *rounded("ce", "contrastive", "adversarial", "total")
     )
