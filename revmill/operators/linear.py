@@ -22,6 +22,9 @@ from revmill.operators.features import (
 from revmill.schema import MAX_FEATURES, MIN_DF
 
 
+ROWS_PER_TASK = 10_000
+
+
 def fit_logistic(
     train: DataFrame, n: int, c: float, max_iter: int, family: str = "binomial"
 ) -> LogisticRegressionModel:
@@ -29,7 +32,9 @@ def fit_logistic(
 
     Spark averages the loss over rows, hence 1 / (C n) for a penalty of 1 / C on
     the sum. Features are taken as they are, and the intercept is not penalised.
+    Every iteration sends one gradient per task, so tasks with few rows are merged.
     """
+    train = train.coalesce(max(1, n // ROWS_PER_TASK))
     return LogisticRegression(
         family=family,
         maxIter=max_iter,
