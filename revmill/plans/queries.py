@@ -726,8 +726,5 @@ def stream_review_ingest(spark, sf_dir):
     landing, out, state = (new_folder(spark, name) for name in ("landing", "ingested", "state"))
     raw = inputs.raw_reviews(spark, sf_dir).drop("doc_id").repartition(6)
     source.write_raw_json(raw, landing)
-    # Copies may be as far apart as the table's timestamps.
-    ingest_stream(
-        spark, landing, out, state, files_per_trigger=8, delay="1200 days"
-    ).awaitTermination()
+    ingest_stream(spark, landing, out, state, files_per_trigger=8).awaitTermination()
     return source.scan_reviews(spark, out).select("review_id", "category", "timestamp", "label")

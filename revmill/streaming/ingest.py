@@ -17,10 +17,11 @@ def review_stream(
 ) -> DataFrame:
     """Pool reviews of a JSON-lines folder, each review once.
 
-    Copies are recognised while they are no further apart in event time than
-    ``delay``, which bounds the state. Copies of one review first meet others of
-    their own file block and then those of other blocks, so a review that makes
-    up much of the input does not pass through one task row by row.
+    Copies are recognised while they arrive no further apart than ``delay``, which
+    bounds the state. The watermark is on arrival and not on the review's own time:
+    feeds are not sorted by time, and an old review that comes late is kept. Copies
+    first meet others of their own file block and then those of other blocks, so a
+    review that makes up much of the input does not pass through one task row by row.
     """
     raw = (
         spark.readStream.schema(RAW_REVIEW)
@@ -35,11 +36,11 @@ def review_stream(
     )
     return (
         as_human(filter_pool(rows), "_salt")
-        .withColumn("event_time", F.timestamp_millis("timestamp"))
-        .withWatermark("event_time", delay)
+        .withColumn("arrived", F.current_timestamp())
+        .withWatermark("arrived", delay)
         .dropDuplicatesWithinWatermark(["review_id", "_salt"])
         .dropDuplicatesWithinWatermark(["review_id"])
-        .drop("event_time", "_salt")
+        .drop("arrived", "_salt")
     )
 
 

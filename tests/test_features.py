@@ -150,6 +150,23 @@ def test_embedding_lr_reaches_the_optimum(spark):
     assert np.allclose(p, 1 / (1 + np.exp(-(scaled @ w[:-1] + w[-1]))), atol=1e-3)
 
 
+def test_tfidf_lr_reaches_the_optimum(spark):
+    texts = [f"{a} {b} {a}" for a in ("red", "blue", "green") for b in ("fox", "hen", "owl")] * 3
+    labels = [int("red" in t or "owl" in t) if i % 7 else 0 for i, t in enumerate(texts)]
+    df = spark.createDataFrame(
+        [(str(i), t, y) for i, (t, y) in enumerate(zip(texts, labels))],
+        "review_id string, text string, label int",
+    )
+    model = linear.fit_tfidf_lr(df)
+    terms = model.vectorizer.vocabulary
+    _, weights = plain_tfidf(texts, 2, 50_000)
+    x = np.array([[w.get(t, 0.0) for t in terms] for w in weights])
+    w = newton_logistic(x, np.array(labels))
+    expected = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    got = {int(r.review_id): r.p for r in model.score(df).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], expected, atol=1e-3)
+
+
 def test_generator_probe_on_separable_vectors(spark):
     rng = np.random.default_rng(1)
     centres = {"human": [0, 0], "g1": [6, 0], "g2": [0, 6]}

@@ -16,7 +16,7 @@ def line(user, day, text=TEXT):
 
 def run(spark, root):
     query = ingest_stream(
-        spark, str(root / "in"), str(root / "out"), str(root / "state"), files_per_trigger=1, delay="30 days"
+        spark, str(root / "in"), str(root / "out"), str(root / "state"), files_per_trigger=1
     )
     query.awaitTermination()
     return sorted(r.review_id for r in source.scan_reviews(spark, str(root / "out")).collect())
@@ -25,6 +25,7 @@ def run(spark, root):
 def test_ingest_across_files_and_restarts(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
+    # "old" is years before what earlier files hold and must still arrive.
     one = [line("a", 9)] * 200 + [line("b", 8), line("short", 8, "w"), "{bad", "", line("late", -1)]
     (landing / "Books.jsonl").write_text("\n".join(one))
     (landing / "Pet_Supplies.jsonl").write_text("\n".join([line("a", 9)] * 3))
@@ -33,6 +34,6 @@ def test_ingest_across_files_and_restarts(spark, tmp_path):
     assert run(spark, tmp_path) == first
     assert run(spark, tmp_path) == first
     (landing / "Books.jsonl.gz").write_bytes(
-        __import__("gzip").compress("\n".join([line("a", 9), line("c", 7), line("c", 7)]).encode())
+        __import__("gzip").compress("\n".join([line("a", 9), line("c", 7), line("c", 7), line("old", 4000)]).encode())
     )
-    assert run(spark, tmp_path) == sorted(first + ids(("Books", "c", 7)))
+    assert run(spark, tmp_path) == sorted(first + ids(("Books", "c", 7), ("Books", "old", 4000)))
