@@ -1,8 +1,12 @@
 """Linear baselines with Spark ML."""
 
 import math
+from collections.abc import Callable, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,7 +23,8 @@ from revmill.operators.features import (
     scale_fit,
     tfidf_fit,
 )
-from revmill.schema import MAX_FEATURES, MIN_DF
+from revmill.operators.metrics import metrics
+from revmill.schema import GENERATORS, MAX_FEATURES, MIN_DF, TEST_SPLITS
 
 
 ROWS_PER_TASK = 10_000
@@ -132,6 +137,31 @@ def fit_embedding_lr(
     return EmbeddingLr(scale, fit_logistic(features, train.count(), c, max_iter, family))
 
 
+def rotation_metrics(
+    splits: DataFrame,
+    fit: Callable[[DataFrame], TfidfLr | EmbeddingLr],
+    model: str,
+    rotations: Sequence[int] = range(len(GENERATORS)),
+) -> DataFrame:
+    """Fit on each rotation's training rows and measure its two tests.
+
+    A fit is many short jobs, so the rotations run side by side. ``splits`` is read
+    once per rotation and step: pass a stored table.
+    """
+
+    @inheritable_thread_target(splits.sparkSession)
+    def scored(rotation: int) -> DataFrame:
+        rows = splits.where(F.col("rotation") == rotation)
+        fitted = fit(rows.where(F.col("split") == "train"))
+        tests = fitted.score(rows.where(F.col("split").isin(TEST_SPLITS)))
+        return tests.select("rotation", "split", "label", "p")
+
+    with ThreadPool(len(rotations)) as threads:
+        parts = threads.map(scored, rotations)
+    every = reduce(DataFrame.unionByName, parts).withColumn("model", F.lit(model))
+    return metrics(every, ["model", "rotation", "split"])
+
+
 def generator_probe(train: DataFrame, test: DataFrame) -> DataFrame:
     """How well a linear model tells the generators apart from the vectors.
 

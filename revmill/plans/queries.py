@@ -5,10 +5,7 @@ DataFrame whose columns match the SQL of the same name in ``oracles``.
 """
 
 from collections.abc import Callable
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,9 +81,7 @@ def scan_reviews_parquet(spark, sf_dir):
     """The human table and the generator tables, written and read together."""
     root = new_folder(spark, "tables")
     source.write_reviews(inputs.human(spark, sf_dir), f"{root}/human.parquet")
-    ai = inputs.ai(spark, sf_dir)
-    for g in GENERATORS:
-        source.write_reviews(ai.where(F.col("generator") == g), f"{root}/generated/{g}.parquet")
+    source.write_generated(inputs.ai(spark, sf_dir), f"{root}/generated")
     human, generated = source.load_all(spark, f"{root}/human.parquet", f"{root}/generated")
     return human.unionByName(generated).select(
         "review_id", "category", "rating", "timestamp", "label", "generator",
@@ -543,25 +538,6 @@ def tfidf_weights(spark, sf_dir):
 # --- Models ------------------------------------------------------------------
 
 
-def _rotation_metrics(rows: DataFrame, fit, model: str) -> DataFrame:
-    """Fit on each rotation's training rows, score its two tests.
-
-    The fits are many short jobs each, so the rotations run side by side.
-    """
-
-    @inheritable_thread_target(rows.sparkSession)
-    def scored(rotation: int) -> DataFrame:
-        here = rows.where(F.col("rotation") == rotation)
-        fitted = fit(here.where(F.col("split") == "train"))
-        tests = fitted.score(here.where(F.col("split").isin(TEST_SPLITS)))
-        return tests.select("rotation", "split", "label", "p")
-
-    with ThreadPool(len(GENERATORS)) as threads:
-        parts = threads.map(scored, range(len(GENERATORS)))
-    every = reduce(DataFrame.unionByName, parts).withColumn("model", F.lit(model))
-    return metrics.metrics(every, BY_SPLIT)
-
-
 def _stored_splits(spark, sf_dir) -> DataFrame:
     """The splits from storage: fitting reads them many times."""
     path = new_folder(spark, "splits")
@@ -571,7 +547,9 @@ def _stored_splits(spark, sf_dir) -> DataFrame:
 
 @query
 def tfidf_lr(spark, sf_dir):
-    return _rotation_metrics(_stored_splits(spark, sf_dir), linear.fit_tfidf_lr, "tfidf_lr")
+    return linear.rotation_metrics(
+        _stored_splits(spark, sf_dir), linear.fit_tfidf_lr, "tfidf_lr"
+    )
 
 
 @query
@@ -579,7 +557,7 @@ def embedding_lr(spark, sf_dir):
     rows = inputs.embedded(
         spark, sf_dir, _stored_splits(spark, sf_dir).select("review_id", "rotation", "split", "label")
     )
-    return _rotation_metrics(rows, linear.fit_embedding_lr, "deberta_zero_shot")
+    return linear.rotation_metrics(rows, linear.fit_embedding_lr, "deberta_zero_shot")
 
 
 @query

@@ -57,10 +57,18 @@ def write_reviews(df: DataFrame, path: str) -> None:
     df.select([F.col(f.name).cast(f.dataType) for f in REVIEW]).write.mode("overwrite").parquet(path)
 
 
+def write_generated(df: DataFrame, generated_dir: str, generators=GENERATORS) -> None:
+    """One table per generator, where ``load_all`` looks for them."""
+    for g in generators:
+        write_reviews(df.where(F.col("generator") == g), f"{generated_dir}/{g}.parquet")
+
+
 def write_splits(splits: DataFrame, path: str) -> None:
     """Store every split of every rotation, one folder each.
 
-    No shuffle: each task writes its own share of the folders.
+    No shuffle: each task writes its own share of the folders. Tasks sort their
+    rows by folder first, unless ``spark.sql.maxConcurrentOutputFileWriters`` is at
+    least the number of folders (16).
     """
     splits.write.mode("overwrite").partitionBy("rotation", "split").parquet(path)
 
