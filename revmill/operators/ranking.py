@@ -1,8 +1,8 @@
 """Exact positions in a shuffled order, without one task per group.
 
 A window over a whole group would put a hot category or generator into one
-task. Here every order key is cut into 65,536 buckets first. ``ranked`` ranks
-inside a bucket and adds the rows before it. ``slices`` goes further:
+task. Here every order key is cut into buckets first. ``ranked`` ranks inside a
+bucket and adds the rows before it. ``slices`` goes further:
 it needs only the keys at the cut positions, so it ranks nothing but the
 buckets that hold a cut and then labels the rows by comparing keys, which
 moves no row between tasks.
@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKET_DIGITS = 4  # hexadecimal digits of the order key: 65,536 buckets
+# Hexadecimal digits of the order key. Ranking sorts every bucket, so it has more of
+# them (65,536). Cuts sort only a few buckets, and fewer buckets (4,096) let each
+# task combine its rows to few counts before the shuffle.
+RANK_DIGITS = 4
+CUT_DIGITS = 3
 
 
-def _bucket(key: str) -> Column:
-    return F.substring(key, 1, BUCKET_DIGITS)
+def _bucket(key: str, digits: int = CUT_DIGITS) -> Column:
+    return F.substring(key, 1, digits)
 
 
 def _running(column: str, window) -> Column:
@@ -36,13 +40,14 @@ def ranked(df: DataFrame, key: str, name: str = "position") -> DataFrame:
 
     The window and the join share one placement by bucket, so rows move once.
     """
-    counts = bucket_counts(df, [], key)
+    own = _bucket(key, RANK_DIGITS)
+    counts = bucket_counts(df, [], key, own)
     # An unpartitioned window over at most 65,536 rows.
     before = counts.select(
         "bucket", (_running("n", Window.orderBy("bucket")) - F.col("n")).alias("_before")
     )
     inside = Window.partitionBy("bucket").orderBy(key)
-    local = df.withColumn("bucket", _bucket(key)).withColumn("_local", F.row_number().over(inside))
+    local = df.withColumn("bucket", own).withColumn("_local", F.row_number().over(inside))
     return (
         local.join(before, "bucket")
         .withColumn(name, F.col("_local") + F.col("_before"))
@@ -55,7 +60,7 @@ def nth_key(df: DataFrame, key: str, n: int) -> DataFrame:
 
     Only the keys of the bucket that holds it are sorted.
     """
-    # An unpartitioned window over at most 65,536 rows.
+    # An unpartitioned window over at most 4,096 rows.
     last = _running("n", Window.orderBy("bucket"))
     edge = (
         bucket_counts(df, [], key)
@@ -95,12 +100,12 @@ def cut_keys(
     spans = counts.select(
         *by, "bucket", "n", _running("n", across).alias("last")
     )
+    # One row per cut, and the caller lists the cuts: small by construction.
     edges = (
-        bounds.join(spans, list(by))
+        spans.join(F.broadcast(bounds), list(by))
         .where((F.col("upto") <= F.col("last")) & (F.col("upto") > F.col("last") - F.col("n")))
         .select(*by, "cut", "bucket", (F.col("upto") - F.col("last") + F.col("n")).alias("need"))
     )
-    # One row per cut, and the caller lists the cuts: small by construction.
     own = _bucket(key) if bucket is None else bucket
     near = (
         df.select(*by, F.col(key).alias("key"), own.alias("bucket"))
@@ -166,4 +171,4 @@ def slices(
 
 def linear_bucket(column: str, lo: int, hi: int) -> Column:
     """Bucket number of an integer order column whose values span lo..hi."""
-    return F.floor((F.col(column) - lo) * F.lit(65536.0) / float(max(hi - lo + 1, 1)))
+    return F.floor((F.col(column) - lo) * F.lit(4096.0) / float(max(hi - lo + 1, 1)))
