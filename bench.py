@@ -26,7 +26,6 @@ HEADLINE = """
     per_generator_metrics best_step comparison_table metrics_json embedding_lr tfidf_lr
     stream_review_ingest
 """.split()
-FITS = {"tfidf_lr", "embedding_lr"}
 
 
 def seconds(spark: SparkSession, sf_dir: str, name: str) -> float:
@@ -53,11 +52,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in names:
-        # Fits run once: they are long, and hundreds of jobs warm themselves.
-        if name not in FITS:
-            seconds(spark, sf_dir, name)
-        n = 1 if name in FITS else runs
-        times[name] = round(statistics.median(seconds(spark, sf_dir, name) for _ in range(n)), 3)
+        seconds(spark, sf_dir, name)
+        times[name] = round(statistics.median(seconds(spark, sf_dir, name) for _ in range(runs)), 3)
         print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
     print(

@@ -8,9 +8,15 @@ from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import (
+    IDF,
+    CountVectorizer,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import DenseVector, Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,26 +74,29 @@ def _sublinear():
     return damp
 
 
+def _with_counts(vectorizer: CountVectorizerModel, df: DataFrame) -> DataFrame:
+    listed = df.withColumn("w", tokens("text")).withColumn("terms", with_pairs(F.col("w")))
+    return vectorizer.transform(listed.drop("w")).drop("terms")
+
+
 class TfidfLr(NamedTuple):
     """A fitted vocabulary with its weights, and the classifier on top."""
 
     vectorizer: CountVectorizerModel
-    idf: list[float]
+    idf: DenseVector
     classifier: LogisticRegressionModel | None
 
     def features(self, df: DataFrame) -> DataFrame:
         """Unit-length sparse TF-IDF vectors, made row by row without a shuffle."""
-        counted = self.vectorizer.transform(
-            df.withColumn("w", tokens("text")).withColumn("terms", with_pairs(F.col("w"))).drop("w")
-        )
+        counted = _with_counts(self.vectorizer, df)
         damped = counted.withColumn("tf", _sublinear()("counts"))
         weighted = ElementwiseProduct(
-            scalingVec=Vectors.dense(self.idf), inputCol="tf", outputCol="weighted"
+            scalingVec=self.idf, inputCol="tf", outputCol="weighted"
         ).transform(damped)
         return (
             Normalizer(p=2.0, inputCol="weighted", outputCol="features")
             .transform(weighted)
-            .drop("terms", "counts", "tf", "weighted")
+            .drop("counts", "tf", "weighted")
         )
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -102,16 +111,17 @@ def fit_tfidf_lr(
     max_iter: int = 1000,
 ) -> TfidfLr:
     """TF-IDF over words and word pairs, then logistic regression."""
-    # At most max_features rows reach the driver.
-    vocabulary = tfidf_fit(train, min_df, max_features).orderBy("term").collect()
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        [row["term"] for row in vocabulary], inputCol="terms", outputCol="counts"
-    )
-    model = TfidfLr(vectorizer, [row["idf"] for row in vocabulary], None)
-    features = model.features(train.select("text", F.col("label").cast("int").alias("label")))
-    return model._replace(
-        classifier=fit_logistic(features.select("features", "label"), train.count(), c, max_iter)
-    )
+    rows = train.select("text", F.col("label").cast("int").alias("label"))
+    # The vectorizer is fitted on the chosen terms, one per row, so it has just these.
+    chosen = tfidf_fit(train, min_df, max_features).select(F.array("term").alias("terms"))
+    vectorizer = CountVectorizer(
+        vocabSize=max_features, minDF=1, inputCol="terms", outputCol="counts"
+    ).fit(chosen)
+    # Spark's IDF is ln((1 + n) / (1 + df)), without the + 1.
+    idf = IDF(inputCol="counts", outputCol="weighted").fit(_with_counts(vectorizer, rows)).idf
+    model = TfidfLr(vectorizer, Vectors.dense(idf.toArray() + 1.0), None)
+    features = model.features(rows).select("features", "label")
+    return model._replace(classifier=fit_logistic(features, train.count(), c, max_iter))
 
 
 class EmbeddingLr(NamedTuple):
