@@ -1,6 +1,6 @@
 """Row filters and projections to the review schema."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revmill.functions.text import review_key, strip, text_default, word_count
@@ -18,8 +18,13 @@ def word_band(df: DataFrame, lo: int = MIN_WORDS, hi: int = MAX_WORDS) -> DataFr
     ``lo`` words need ``2 * lo - 1`` characters, so a length test drops short
     texts before the regex sees them.
     """
-    text = text_default("text")
-    return df.where((F.length(text) >= max(2 * lo - 1, 0)) & word_count("text").between(lo, hi))
+    long_enough = F.length(text_default("text")) >= max(2 * lo - 1, 0)
+    return df.where(long_enough & in_band(word_count("text"), lo, hi))
+
+
+def in_band(n: Column, lo: int, hi: int) -> Column:
+    """lo <= n <= hi as one mention of n; ``between`` would count words twice."""
+    return F.width_bucket(n, F.lit(lo), F.lit(hi + 1), F.lit(1)) == 1
 
 
 def as_human(raw: DataFrame, *keep: str) -> DataFrame:

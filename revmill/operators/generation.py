@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from revmill.functions.order import order_key, uniform
 from revmill.functions.text import word_count
-from revmill.operators.filters import as_generated, generated_key
+from revmill.operators.filters import as_generated, generated_key, in_band
 from revmill.operators.pool import dedup, take_first
 from revmill.schema import (
     DEFAULT_STARS,
@@ -46,7 +46,7 @@ def length_bins(human: DataFrame, lo: int = MIN_WORDS, hi: int = MAX_WORDS) -> D
     """
     counts = (
         human.select(word_count("text").alias("wc"))
-        .where(F.col("wc").between(lo, hi))
+        .where(in_band(F.col("wc"), lo, hi))
         .groupBy("wc")
         .agg(F.count("*").alias("n"))
     )
