@@ -36,7 +36,7 @@ def _q(text: str) -> str:
 
 
 def words(text: str) -> str:
-    return f"len(regexp_extract_all(coalesce({text}, ''), '{WORD_RUN}'))"
+    return f"cast(len(regexp_extract_all(coalesce({text}, ''), '{WORD_RUN}')) AS int)"
 
 
 def shuffle_order(seed: str, key: str) -> str:
@@ -375,7 +375,7 @@ add("word_count", f"SELECT review_id, {words('text')} AS words FROM reviews")
 add("word_band_filter", f"""
     SELECT review_id, generator FROM reviews WHERE {words('text')} BETWEEN 20 AND 400""")
 add("text_default", """
-    SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5
+    SELECT doc_id, cast(length(t) AS int) AS n_chars, md5(t) AS text_md5
     FROM (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN coalesce(text, '') ELSE '' END AS t
           FROM raw) r""")
 add("review_key", f"""
@@ -392,7 +392,7 @@ add("feature_columns", """
     SELECT review_id, md5(coalesce(text, '')) AS text_md5, label FROM reviews""")
 
 add("category_quota", """
-    SELECT pos, category, quota, available
+    SELECT cast(pos AS int) AS pos, category, quota, available
     FROM quota JOIN (SELECT category, count(*) AS available FROM human GROUP BY 1) a USING (category)""")
 add("quota_take", f"""
     SELECT category, review_id
@@ -499,15 +499,16 @@ add("leakage_check", """
 LABELS = """(SELECT generator, CASE WHEN generator = 'human' THEN 0 ELSE
                  row_number() OVER (PARTITION BY generator = 'human' ORDER BY generator) END AS gen_label
              FROM (SELECT DISTINCT generator FROM train) d)"""
-add("generator_label_map", f"SELECT generator, gen_label FROM {LABELS} m")
+add("generator_label_map", f"SELECT generator, cast(gen_label AS int) AS gen_label FROM {LABELS} m")
 add("generator_label_encode", f"""
-    SELECT generator, review_id, coalesce(gen_label, 0) AS gen_label, gen_label IS NOT NULL AS gen_known
+    SELECT generator, review_id, cast(coalesce(gen_label, 0) AS int) AS gen_label,
+           gen_label IS NOT NULL AS gen_known
     FROM reviews LEFT JOIN {LABELS} m USING (generator)""")
 add("token_ids", f"""
     SELECT review_id,
            array_to_string(list_concat(coalesce(ids, []),
                            list_resize([]::bigint[], {MAX_LEN} - coalesce(len(ids), 0), 0)), ' ') AS ids,
-           coalesce(len(ids), 0) AS n_tokens
+           cast(coalesce(len(ids), 0) AS int) AS n_tokens
     FROM reviews LEFT JOIN (
         SELECT review_id, list(coalesce(id, 1) ORDER BY pos) AS ids
         FROM words LEFT JOIN vocabulary USING (word) WHERE pos < {MAX_LEN} GROUP BY review_id) e
@@ -516,7 +517,7 @@ add("masked_mean_pool", """
     SELECT doc, dim, round(sum(x * mask) / greatest(sum(mask), 1e-6), 6) AS x
     FROM dims GROUP BY doc, dim""")
 add("embed_table", """
-    SELECT review_id, r.label, len(embedding) AS dims,
+    SELECT review_id, r.label, cast(len(embedding) AS int) AS dims,
            round(list_sum(embedding::double[]), 6) AS total
     FROM reviews r JOIN embeddings e ON review_id = concat('r', cast(vec_id AS varchar))""")
 add("l2_normalize", "SELECT vec_id, dim, round(x, 6) AS x FROM unit")
@@ -525,7 +526,7 @@ add("standard_scale", """
     FROM dims d JOIN (SELECT dim, avg(x) AS mean, coalesce(nullif(stddev_pop(x), 0), 1) AS std
                       FROM dims WHERE label = 0 GROUP BY dim) s ON s.dim = d.dim""")
 add("tokens_ngrams", """
-    SELECT review_id, len(t) AS n_terms, md5(coalesce(array_to_string(t, '|'), '')) AS terms_md5
+    SELECT review_id, cast(len(t) AS int) AS n_terms, md5(coalesce(array_to_string(t, '|'), '')) AS terms_md5
     FROM terms""")
 add("tfidf_vocab", "SELECT term, df, total, round(idf, 6) AS idf FROM tfidf")
 add("tfidf_weights", """
