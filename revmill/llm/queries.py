@@ -1,8 +1,9 @@
 """The queries of this package by name, and SQL for those that SQL can express."""
 
+from revmill.llm.decontaminate import op10_benchmark_decontamination
 from revmill.llm.lengths import op9_token_counts
 from revmill.llm.packing import op8_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}
