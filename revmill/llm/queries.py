@@ -3,7 +3,9 @@
 from revmill.llm.decontaminate import op10_benchmark_decontamination
 from revmill.llm.lengths import op9_token_counts
 from revmill.llm.packing import op8_best_fit_packing
+from revmill.llm.quality import op3_quality
+from revmill.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_quality, op7_toxicity, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}

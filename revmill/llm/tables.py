@@ -29,6 +29,22 @@ def fold(key: str, folds: int) -> Column:
     return (F.crc32(F.encode(text, "UTF-8")) % folds).cast("int")
 
 
+def training_labels(labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
+    """(label_key, label) of at most `most` keys outside the held-out fold, those with the smallest hashes.
+
+    Rows with a null key or label do not train; of a repeated key the largest label counts.
+    """
+    return (
+        labels.select(named("doc_id").alias("label_key"), named(label).cast("int").alias("label"))
+        .where(F.col("label_key").isNotNull() & F.col("label").isNotNull())
+        .where(fold("label_key", folds) != held_out)
+        .groupBy("label_key")
+        .agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("label_key"), "label_key")
+        .limit(most)
+    )
+
+
 def shuffled(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -73,4 +89,4 @@ def mapped(
     return df.select(*[named(c) for c in keep], named(text).cast("string").alias(source)).mapInArrow(run, schema)
 
 
-__all__ = ["fold", "free_name", "mapped", "named", "read", "shuffled", "stored"]
+__all__ = ["fold", "free_name", "mapped", "named", "read", "shuffled", "stored", "training_labels"]
