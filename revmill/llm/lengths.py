@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revmill.llm.tables import mapped, read
+from revmill.llm.tables import mapped, read, stored
 from revmill.llm.tokens import Encoder, word_bpe
 
 #: Lengths that share a window of running sums; totals of the spans are added to it.
@@ -42,8 +42,9 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     L, truncated_tokens what a cut of every document at L leaves, dropped_tokens the
     rest; n_shorter documents are shorter, so L is the quantile of every rank in
     (n_shorter, n_shorter + n_docs]. Totals stand in each row. An empty table gives no row.
+    The counts are stored first: sums by span and within a span both read them.
     """
-    counts = counts.select(
+    counts = stored(counts, "histogram").select(
         "length",
         "n_docs",
         (F.col("length") * F.col("n_docs")).alias("tokens"),
