@@ -14,100 +14,35 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revmill.llm import words as W
+from revmill.llm.blocks import BITS, gathered, opened, pack, split_up, unpack, unpack_hashes
 from revmill.llm.tables import fold, named, read, stored
 
 FOLDS, HELD_OUT = 7, 2
 #: Of the training documents those with this remainder give the held-out counts of the weights.
 WEIGHING = 3
-#: Bytes of text in a block, and of asked hashes that one task answers, on average.
-BLOCK_BYTES, ANSWER_BYTES = 16 << 20, 32 << 20
+#: Bytes of asked hashes that one task answers, on average.
+ANSWER_BYTES = 32 << 20
 #: Context-frequency buckets: powers of two of the context's count.
 BUCKETS = 24
 #: Estimates are put into cells of this many steps to a factor of two for the weights.
 CELLS = 4
 ROUNDS = 40
 _TRAIN, _WEIGH, _TEST = 0, 1, 2
-_BITS = 56
 _U = np.uint64
 #: Hash of the end of a text, which is also the context of a first word.
 _END = _U(0x0123456789ABCDEF)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """An array of whole numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def _unpack(data: bytes, dtype: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
-
-
-def _pack_hashes(x: np.ndarray) -> bytes:
-    """Sorted hashes as differences."""
-    return _pack(np.diff(x, prepend=_U(0)))
-
-
-def _unpack_hashes(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
-
-
 def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, kind, keys, texts): stored runs of documents of one kind, texts compressed.
-
-    Kinds are training, weighing and test. A block's number tells its task and place.
-    """
-    names = ["block", "kind", "keys", "texts"]
+    """Stored blocks whose kind is training, weighing or test."""
     remainder = fold(key, FOLDS)
     kind = F.when(remainder == HELD_OUT, _TEST).when(remainder == WEIGHING, _WEIGH).otherwise(_TRAIN)
-    key_type = pa.string()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        made, waiting = TaskContext.get().partitionId() << 32, [[], [], []]
-        size = [0, 0, 0]
-
-        def block(of: int) -> pa.RecordBatch:
-            nonlocal made
-            keys, texts = zip(*waiting[of], strict=True)
-            table = pa.record_batch([pa.array(keys, key_type), pa.array(texts, pa.large_binary())], ["key", "text"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_batch(table)
-            data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
-            made, waiting[of], size[of] = made + 1, [], 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array([made], pa.int64()), pa.array([of], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([data], pa.binary())],
-                names,
-            )
-
-        for batch in batches:
-            for row_key, row_text, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = b"" if row_text is None else row_text.encode("utf-8", "surrogatepass")
-                waiting[of].append((row_key, data))
-                size[of] += len(data) + 16
-                if size[of] >= BLOCK_BYTES:
-                    yield block(of)
-        for of in range(3):
-            if waiting[of]:
-                yield block(of)
-
-    rows = docs.select(named(key).cast("string").alias("row_key"), named(text).cast("string").alias("text"), kind.alias("kind"))
-    return stored(rows.mapInArrow(run, "block long, kind int, keys long, texts binary"), "blocks")
-
-
-def _open(data: bytes) -> tuple[list[str | None], list[bytes]]:
-    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
-    return table["key"].to_pylist(), table["text"].to_pylist()
+    return gathered(docs, key, text, kind)
 
 
 def _tokens(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -123,10 +58,10 @@ def _tokens(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in run])])
         starts, _, hashes = W.word_hashes(joined, W.spaced())
         at = np.searchsorted(starts, offsets[1:])
-        words = np.insert(hashes, at, _END) >> _U(64 - _BITS)
+        words = np.insert(hashes, at, _END) >> _U(64 - BITS)
         counts = np.diff(np.concatenate([[0], at])) + 1
-        before = np.concatenate([[_END >> _U(64 - _BITS)], words[:-1]])
-        pairs = W.chained(before, words) >> _U(64 - _BITS)
+        before = np.concatenate([[_END >> _U(64 - BITS)], words[:-1]])
+        pairs = W.chained(before, words) >> _U(64 - BITS)
         yield len(run), counts, words, pairs
         first = last
 
@@ -140,30 +75,21 @@ def _asked(texts: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.
     return tuple(np.unique(np.concatenate(x), return_counts=True) for x in (words, pairs))
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket by the leading bits, so that sorted hashes fall into runs."""
-    return ((hashes >> _U(_BITS - 32)) * _U(buckets)) >> _U(32)
-
-
 def questions(held: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, kind, order, hashes, counts) of each block: its different n-grams by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, kind, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for order, (hashes, counts) in enumerate(_asked(_open(data)[1]), 1):
-                    at = np.searchsorted(_bucket_of(hashes, buckets), np.arange(buckets + 1))
-                    full = np.flatnonzero(np.diff(at))
-                    spans = [(k, slice(at[k], at[k + 1])) for k in full.tolist()]
-                    counts = counts.astype("<u4")
+                for order, (hashes, counts) in enumerate(_asked(opened(data)[1]), 1):
+                    full, asked, mine = split_up(hashes, counts, buckets)
+                    same = [[block] * len(full), [kind] * len(full), [order] * len(full)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([k for k, _ in spans], pa.int32()),
-                            pa.array([block] * len(spans), pa.int64()),
-                            pa.array([kind] * len(spans), pa.int32()),
-                            pa.array([order] * len(spans), pa.int32()),
-                            pa.array([_pack_hashes(hashes[s]) for _, s in spans], pa.binary()),
-                            pa.array([_pack(counts[s]) for _, s in spans], pa.binary()),
+                            pa.array(full, pa.int32()),
+                            *(pa.array(x, t) for x, t in zip(same, (pa.int64(), pa.int32(), pa.int32()), strict=True)),
+                            pa.array(asked, pa.binary()),
+                            pa.array(mine, pa.binary()),
                         ],
                         ["bucket", "block", "kind", "order", "hashes", "counts"],
                     )
@@ -189,8 +115,8 @@ def answers(asked: DataFrame) -> DataFrame:
         held, total, weigh = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         for start in range(0, len(train), 64):
             group = train[start : start + 64]
-            hashes = [_unpack_hashes(questions[k]) for k in group]
-            counts = [_unpack(mine[k], "<u4").astype(np.int64) for k in group]
+            hashes = [unpack_hashes(questions[k]) for k in group]
+            counts = [unpack(mine[k], "<u4").astype(np.int64) for k in group]
             weighs = [c if kinds[k] == _WEIGH else np.zeros_like(c) for k, c in zip(group, counts, strict=True)]
             together = np.concatenate([held, *hashes])
             order_of = np.argsort(together, kind="stable")
@@ -201,14 +127,14 @@ def answers(asked: DataFrame) -> DataFrame:
             held = together[first]
         made: dict[str, list[Any]] = {n: [] for n in ("block", "kind", "total", "weigh")}
         for k, question in enumerate(questions):
-            hashes = _unpack_hashes(question)
+            hashes = unpack_hashes(question)
             at = np.minimum(np.searchsorted(held, hashes), max(len(held) - 1, 0))
             found = held[at] == hashes if len(held) else np.zeros(len(hashes), dtype=bool)
             made["block"].append(rows["block"][k].as_py())
             made["kind"].append(kinds[k])
             for name, counts in (("total", total), ("weigh", weigh)):
                 of = np.where(found, counts[at], 0) if len(held) else np.zeros(len(hashes), np.int64)
-                made[name].append(_pack(of.astype("<u4")) if name == "total" or kinds[k] == _WEIGH else None)
+                made[name].append(pack(of.astype("<u4")) if name == "total" or kinds[k] == _WEIGH else None)
         n = len(questions) + 1
         return pa.table(
             {
@@ -233,7 +159,7 @@ class _Counts:
         told = told.select(["order", "bucket", column])
         rows = sorted(zip(*(told[c].to_pylist() for c in told.column_names), strict=True))
         self.words, self.pairs = (
-            np.concatenate([_unpack(data, "<u4") for o, _, data in rows if o == order]).astype(np.int64) for order in (1, 2)
+            np.concatenate([unpack(data, "<u4") for o, _, data in rows if o == order]).astype(np.int64) for order in (1, 2)
         )
         hashes = [(w, p) for _, _, w, p in _tokens(texts)]
         self.word_keys, self.pair_keys = (np.unique(np.concatenate(x)) for x in zip(*hashes, strict=True))
@@ -282,7 +208,7 @@ def cells(held: DataFrame, told: DataFrame, total: int, distinct: int) -> DataFr
     def run(key: tuple, ours: pa.Table, theirs: pa.Table) -> pa.Table:
         found: dict[tuple[int, int, int], int] = {}
         for data in ours["texts"].to_pylist():
-            texts = _open(data)[1]
+            texts = opened(data)[1]
             every, own = _Counts(texts, theirs, "total"), _Counts(texts, theirs, "weigh")
             for _, counts, words, pairs in _tokens(texts):
                 word, pair = (a - b for a, b in zip(every.of(words, pairs), own.of(words, pairs), strict=True))
@@ -359,7 +285,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def run(key: tuple, ours: pa.Table, theirs: pa.Table) -> pa.Table:
         made: dict[str, list[Any]] = {f.name: [] for f in schema}
         for kind, data in zip(ours["kind"].to_pylist(), ours["texts"].to_pylist(), strict=True):
-            keys, texts = _open(data)
+            keys, texts = opened(data)
             every = _Counts(texts, theirs, "total")
             made["key"] += keys
             made["held_out"] += [kind == _TEST] * len(keys)
