@@ -26,7 +26,7 @@ from revmill.llm.tables import free_name, mapped, named, read, stored
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Different fingerprints in a range, and ranges at most: what is broadcast has
 #: at most RANGES times UPPER nodes.
-RANGE, RANGES, UPPER = 20_000, 4_096, 16
+RANGE, RANGES, UPPER = 200_000, 4_096, 16
 FAN = 8
 #: Node visits held in memory at once.
 VISITS = 1 << 20
