@@ -28,9 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from revmill.llm import words as W
-from revmill.llm.blocks import BITS, gathered, opened, pack, split_up, unpack, unpack_hashes
+from revmill.llm.blocks import BITS, contents, gathered, pack, split_up, texts_of, unpack, unpack_hashes
 from revmill.llm.tables import named, read, stored
 
 LENGTH, GRAM = 100, 24
@@ -136,11 +137,14 @@ class Block:
     """A block's texts in the order of their keys, and its runs without those it has before."""
 
     def __init__(self, data: bytes):
-        keys, texts = opened(data)
+        table = contents(data)
+        keys, texts = table["key_of_row"].to_pylist(), texts_of(table)
         # A null key comes after all others.
         numbers = np.array([np.iinfo(np.int64).max if k is None else int(k) for k in keys], dtype=np.int64)
         order = np.argsort(numbers, kind="stable")
+        self.rest = table.drop(["key_of_row", "text_of_row"]).take(pa.array(order))
         self.keys = [keys[k] for k in order]
+        self.null = table["text_of_row"].is_null().to_numpy()[order]
         self.numbers = numbers[order]
         texts = [texts[k] for k in order]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -466,9 +470,9 @@ def _covered(block: Block, flags: list[bytes], many: np.ndarray) -> np.ndarray:
     return np.cumsum(depth)[:-1] > 0
 
 
-def _marked(docs: DataFrame, key: str, text: str, most: int) -> tuple[DataFrame, DataFrame]:
+def _marked(docs: DataFrame, key: str, text: str, most: int, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Blocks of all documents, and what each is told: counts (rounds 1 and 2) and flags (round 0)."""
-    held = gathered(docs, key, text)
+    held = gathered(docs, key, text, keep=keep)
     size = held.agg(F.sum(F.octet_length("texts")), F.count("*")).first()
     bytes_held = 3 * (size[0] or 0)  # texts shrink to about a third
     buckets, ranges = max(1, int(bytes_held // 8 // ANSWER_BYTES)), max(1, int(bytes_held // RANGE_BYTES))
@@ -529,6 +533,38 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
     return out.select(F.col("key").cast(kind).alias(key), *schema.names[1:])
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MANY) -> DataFrame:
+    """`docs` with repeats cut out of the texts; all rows and columns stay.
+
+    A character goes if all of its bytes go. Texts without a repeat stay as they are, null
+    texts too.
+    """
+    others = [c for c in docs.columns if c != text]
+    held, told = _marked(docs, key, text, most, others)
+    arrow = to_arrow_schema(docs.schema)
+
+    def run(key: tuple, ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        made = []
+        for data in ours["texts"].to_pylist():
+            block = Block(data)
+            gone, offsets = _kept(block, theirs, most)
+            raw, texts = block.runs.data, []
+            for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True)):
+                if not gone[a:b].any():
+                    texts.append(None if block.null[k] else block.joined[a:b].decode())
+                    continue
+                own = raw[a:b]
+                starts = np.flatnonzero((own & 0xC0) != 0x80)
+                whole = np.logical_and.reduceat(gone[a:b], starts)
+                left = ~np.repeat(whole, np.diff(np.concatenate([starts, [b - a]])))
+                texts.append(own[left].tobytes().decode())
+            columns = dict(zip(others, block.rest.columns, strict=True)) | {text: pa.array(texts, pa.string())}
+            made.append(pa.table([columns[f.name].cast(f.type) for f in arrow], schema=arrow))
+        return pa.concat_tables(made) if made else arrow.empty_table()
+
+    return held.select("block", "texts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, docs.schema)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeats of 100 bytes remove from all documents."""
     return removals(read(spark, sf_dir, "documents"))
