@@ -31,7 +31,7 @@ ROUNDS = 10
 PER_ROOT, FEWEST, MOST = 8, 4, 256
 #: Entries that a query passes at least: so many, and this share of all. Directions without
 #: structure need a large share; the recall of both is measured in the tests.
-CANDIDATES, PASSED = 8_192, 0.4
+CANDIDATES, PASSED = 8_192, 0.5
 #: Entries of a block on average at most.
 BLOCK = 10_000
 #: Queries whose scores for a block are held at once.

@@ -136,18 +136,20 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
         if room - (capacity - f) < f:
             break
         receivers = sorted({k for _, k in open_bins if k != donor and fill[k] < capacity}, key=lambda k: (fill[k], k))
-        for k in receivers:
-            while fill[k] < capacity and bins[donor] and fill[k] >= fill[donor]:
-                change = _exchange(bins[donor], bins[k], capacity - fill[k], size)
-                if change is None:
-                    break
-                moved, returned, gain = change
-                bins[donor] = [i for i in bins[donor] if i not in moved] + returned
-                bins[k] = [i for i in bins[k] if i not in returned] + moved
-                fill[k] += gain
-                fill[donor] -= gain
-            if not bins[donor]:
-                break
+        helped = True
+        while helped and bins[donor]:
+            helped = False
+            for k in receivers:
+                change = None
+                if bins[donor] and fill[donor] <= fill[k] < capacity:
+                    change = _exchange(bins[donor], bins[k], capacity - fill[k], size)
+                if change is not None:
+                    moved, returned, gain = change
+                    bins[donor] = [i for i in bins[donor] if i not in moved] + returned
+                    bins[k] = [i for i in bins[k] if i not in returned] + moved
+                    fill[k] += gain
+                    fill[donor] -= gain
+                    helped = True
         for k in receivers:
             if fill[k] < capacity:
                 heapq.heappush(open_bins, (fill[k], k))

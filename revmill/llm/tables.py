@@ -72,21 +72,26 @@ def mapped(
     a field gives way to the field.
     """
     keep = [c for c in keep if c not in fields.names]
-    kept = df.select(*[named(c) for c in keep])
-    schema = T.StructType([*kept.schema.fields, *fields.fields])
-    arrow = to_arrow_schema(schema)
-    source = free_name(df, "text_of_row")
+    # Plain names on the way, whatever the columns are called.
+    kept = [named(c).alias(f"kept_{k}") for k, c in enumerate(keep)]
+    made = T.StructType([T.StructField(f"made_{k}", f.dataType, f.nullable) for k, f in enumerate(fields)])
+    schema = T.StructType([*df.select(*kept).schema.fields, *made.fields])
+    arrow, names = to_arrow_schema(schema), fields.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = prepare()
         for batch in batches:
             if batch.num_rows:
-                made = compute(batch.column(batch.num_columns - 1).to_pylist())
-                added = [pa.array(made[f.name], type=arrow.field(f.name).type) for f in fields.fields]
+                found = compute(batch.column(batch.num_columns - 1).to_pylist())
+                added = [pa.array(found[n], type=f.type) for n, f in zip(names, list(arrow)[len(keep) :], strict=True)]
                 old = [c.cast(f.type) for c, f in zip(batch.columns[:-1], arrow, strict=False)]
                 yield pa.RecordBatch.from_arrays([*old, *added], schema=arrow)
 
-    return df.select(*[named(c) for c in keep], named(text).cast("string").alias(source)).mapInArrow(run, schema)
+    out = df.select(*kept, named(text).cast("string").alias("text_of_row")).mapInArrow(run, schema)
+    return out.select(
+        *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)],
+        *[F.col(f"made_{k}").alias(n) for k, n in enumerate(names)],
+    )
 
 
 __all__ = ["fold", "free_name", "mapped", "named", "read", "shuffled", "stored", "training_labels"]
