@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from revmill.llm.tables import named, stored
 
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of a hash that is asked for.
 BITS = 56
 _U = np.uint64

@@ -26,7 +26,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Of the training documents those with this remainder give the held-out counts of the weights.
 WEIGHING = 3
 #: Bytes of asked hashes that one task answers, on average.
-ANSWER_BYTES = 32 << 20
+ANSWER_BYTES = 8 << 20
 #: Context-frequency buckets: powers of two of the context's count.
 BUCKETS = 24
 #: Estimates are put into cells of this many steps to a factor of two for the weights.
