@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from revmill.functions.order import order_key, uniform
 from revmill.functions.text import word_count
-from revmill.operators.filters import as_generated, generated_key, in_band
+from revmill.operators.filters import as_generated, generated_key
 from revmill.operators.pool import dedup, take_first
 from revmill.schema import (
     DEFAULT_STARS,
@@ -16,12 +16,11 @@ from revmill.schema import (
     GENERATORS,
     LENGTH_MU,
     LENGTH_SIGMA,
-    MAX_WORDS,
-    MIN_WORDS,
     PROMPT_TEMPLATE,
     SEED,
     TOKENS_PER_WORD,
 )
+from revmill.session import stored
 
 CELLS = 1024
 
@@ -39,18 +38,10 @@ def seed_products(human: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     return dedup(drawn, "parent_asin", order_key(seed, "review_id"))
 
 
-def length_bins(human: DataFrame, lo: int = MIN_WORDS, hi: int = MAX_WORDS) -> DataFrame:
-    """The word counts of the pool as bins ``[start, stop)`` of row positions.
-
-    One row per word count of the pool's band, so at most ``hi - lo + 1`` rows.
-    """
-    counts = (
-        human.select(word_count("text").alias("wc"))
-        .where(in_band(F.col("wc"), lo, hi))
-        .groupBy("wc")
-        .agg(F.count("*").alias("n"))
-    )
-    # An unpartitioned window, over at most 381 rows.
+def length_bins(human: DataFrame) -> DataFrame:
+    """The word counts of the pool as bins ``[start, stop)`` of row positions."""
+    counts = human.groupBy(word_count("text").alias("wc")).agg(F.count("*").alias("n"))
+    # An unpartitioned window, over one row per length that occurs.
     stop = F.sum("n").over(Window.orderBy("wc").rowsBetween(Window.unboundedPreceding, 0))
     return counts.select("wc", (stop - F.col("n")).alias("start"), stop.alias("stop"))
 
@@ -62,31 +53,38 @@ def draw_length(
 
     A hash uniform picks a position among the pool's rows and the bin that holds
     the position gives the length. Bins are joined by cell of the position range,
-    so a row meets the one or two bins of its cell and not all of them.
+    so a row meets the one or two bins of its cell and not all of them. A pool without
+    rows has no lengths, and the lognormal draw takes their place.
     """
-    # At most 381 bins, and CELLS more rows where a bin spans cells.
-    listed = bins.collect()
-    if not listed:
-        raise ValueError("no lengths to draw from")
-    total = max(b["stop"] for b in listed)
-    cells = [
-        (cell, b["wc"], b["start"], b["stop"])
-        for b in listed
-        for cell in range(b["start"] * CELLS // total, (b["stop"] - 1) * CELLS // total + 1)
-    ]
-    table = df.sparkSession.createDataFrame(
-        cells, "cell bigint, target_wc int, start bigint, stop bigint"
+    bins = stored(bins, "bins")
+    total = bins.agg(F.max("stop")).first()[0] or 0
+    cell = lambda at: F.expr(f"({at}) * {CELLS} div {max(total, 1)}")
+    table = bins.select(
+        F.explode(F.sequence(cell("start"), cell("stop - 1"))).alias("_cell"),
+        F.col("wc").alias("_wc"),
+        F.col("start").alias("_start"),
+        F.col("stop").alias("_stop"),
     )
     drawn = uniform(F.lit(seed), F.lit("length"), F.col(key))
+    rows = df.withColumn("_at", F.floor(drawn * float(total))).withColumn("_own", cell("_at"))
+    here = (F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_stop"))
     return (
-        df.withColumn("_at", F.floor(drawn * float(total)))
-        .withColumn("cell", F.expr(f"_at * {CELLS} div {total}"))
-        .join(F.broadcast(table), "cell")
-        .where((F.col("start") <= F.col("_at")) & (F.col("_at") < F.col("stop")))
-        .drop("_at", "cell", "start", "stop")
+        rows.join(table, (F.col("_own") == F.col("_cell")) & here, "left")
+        .withColumn("target_wc", F.coalesce("_wc", lognormal(key, seed=seed)).cast("int"))
+        .drop("_at", "_own", "_cell", "_wc", "_start", "_stop")
     )
 
 
+def lognormal(
+    key: str, mu: float = LENGTH_MU, sigma: float = LENGTH_SIGMA, seed: int = SEED
+) -> Column:
+    """A truncated lognormal length from the hash uniforms of a key."""
+    u = F.lit(1.0) - uniform(F.lit(seed), F.lit("radius"), F.col(key))
+    v = uniform(F.lit(seed), F.lit("angle"), F.col(key))
+    normal = F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0) * F.pi() * v)
+    return F.exp(F.lit(mu) + F.lit(sigma) * normal).cast("int")
+
+
 def draw_lognormal(
     df: DataFrame,
     key: str = "parent_asin",
@@ -95,10 +93,7 @@ def draw_lognormal(
     seed: int = SEED,
 ) -> DataFrame:
     """A target length per row from a truncated lognormal, for want of a pool."""
-    u = F.lit(1.0) - uniform(F.lit(seed), F.lit("radius"), F.col(key))
-    v = uniform(F.lit(seed), F.lit("angle"), F.col(key))
-    normal = F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0) * F.pi() * v)
-    return df.withColumn("target_wc", F.exp(F.lit(mu) + F.lit(sigma) * normal).cast("int"))
+    return df.withColumn("target_wc", lognormal(key, mu, sigma, seed))
 
 
 def stars(rating) -> Column:
@@ -163,11 +158,6 @@ def ingest(requests: DataFrame, responses: DataFrame, seed: int = SEED) -> DataF
     return as_generated(requests.join(good, "request_id"), seed)
 
 
-def failures(responses: DataFrame) -> DataFrame:
-    """The responses that ``ingest`` leaves out."""
-    return responses.where(F.col("error").isNotNull()).select("request_id", "error")
-
-
 def pending(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests that have no good response yet."""
     good = responses.where(F.col("error").isNull()).select("request_id")

@@ -3,6 +3,8 @@
 Everything here is derived by Spark from all rows of a given table.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from revmill.functions.order import hash_u32
 from revmill.operators.features import embed
 from revmill.operators.pool import filter_pool
 from revmill.operators.splits import logo_splits
-from revmill.schema import HUMAN, MODELS, TEST_SPLITS, VARIANTS
+from revmill.schema import HUMAN, MODELS, REVIEW, TEST_SPLITS, VARIANTS
 from revmill.session import stored
 
 STEPS = [200, 400, 600, 800, 1000]
@@ -25,7 +27,7 @@ RAW_SQL = """
                 THEN concat('u', cast((doc_id div 3) % 7 AS string)) END AS user_id,
            concat('P', cast(doc_id % 500 AS string)) AS parent_asin,
            cast(1 + doc_id % 5 AS double) AS rating,
-           substr(text, 1, 40) AS title
+           concat(source, ' ', cast(doc_id AS string)) AS title
     FROM {documents}
 """
 REVIEWS_SQL = """
@@ -33,7 +35,7 @@ REVIEWS_SQL = """
            lang AS category,
            concat('P', cast(doc_id % 500 AS string)) AS parent_asin,
            cast(1 + doc_id % 5 AS double) AS rating,
-           substr(text, 1, 40) AS title,
+           concat(source, ' ', cast(doc_id AS string)) AS title,
            text,
            CASE WHEN k >= 16 OR doc_id % 29 = 0 THEN NULL
                 ELSE 1669766400000 + ((doc_id * 7919) % 1000 - 850) * 86400000
@@ -71,9 +73,9 @@ def ai(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).where(F.col("generator") != HUMAN)
 
 
-def stored_human(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The human pool from storage: its texts are filtered once."""
-    return stored(human(spark, sf_dir), "human")
+def stored_human(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the human pool from storage: its texts are filtered once."""
+    return stored(human(spark, sf_dir).select(*columns), "human")
 
 
 def quarter():
@@ -81,9 +83,19 @@ def quarter():
     return F.expr("humans div 4")
 
 
-def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All splits of all rotations."""
-    return logo_splits(stored_human(spark, sf_dir), ai(spark, sf_dir), quarter())
+#: What is known of a review without its text.
+BRIEF = ["review_id", "category", "parent_asin", "rating", "label", "generator"]
+
+
+def splits(spark: SparkSession, sf_dir: str, columns: Sequence[str] = BRIEF) -> DataFrame:
+    """All splits of all rotations, with these columns of the reviews."""
+    generated = ai(spark, sf_dir).select(*columns)
+    return logo_splits(stored_human(spark, sf_dir, *columns), generated, quarter())
+
+
+def whole_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All splits with all columns of the reviews, texts too."""
+    return splits(spark, sf_dir, REVIEW.names)
 
 
 def _with_p(df: DataFrame, *parts: str) -> DataFrame:

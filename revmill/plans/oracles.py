@@ -60,7 +60,7 @@ TABLES = {
                     THEN concat('u', cast((doc_id // 3) % 7 AS varchar)) END AS user_id,
                concat('P', cast(doc_id % 500 AS varchar)) AS parent_asin,
                cast(1 + doc_id % 5 AS double) AS rating,
-               substr(text, 1, 40) AS title
+               concat(source, ' ', cast(doc_id AS varchar)) AS title
         FROM documents""",
     "raw_pool": f"""
         SELECT concat_ws('_', category, coalesce(user_id, ''), cast(timestamp AS varchar)) AS review_id,
@@ -73,7 +73,7 @@ TABLES = {
                lang AS category,
                concat('P', cast(doc_id % 500 AS varchar)) AS parent_asin,
                cast(1 + doc_id % 5 AS double) AS rating,
-               substr(text, 1, 40) AS title,
+               concat(source, ' ', cast(doc_id AS varchar)) AS title,
                text,
                CASE WHEN k >= 16 OR doc_id % 29 = 0 THEN NULL
                     ELSE 1669766400000 + ((doc_id * 7919) % 1000 - 850) * 86400000
@@ -344,7 +344,13 @@ def r6(*names: str) -> str:
 KEY = "model, rotation, split"
 
 add("scan_reviews_json", """
-    SELECT category, timestamp, md5(text) AS text_md5, user_id, parent_asin, rating, title
+    SELECT category,
+           CASE WHEN doc_id % 41 <> 0 THEN timestamp END AS timestamp,
+           CASE WHEN doc_id % 41 <> 0 THEN md5(text) END AS text_md5,
+           CASE WHEN doc_id % 41 <> 0 THEN user_id END AS user_id,
+           CASE WHEN doc_id % 41 <> 0 THEN parent_asin END AS parent_asin,
+           CASE WHEN doc_id % 41 <> 0 AND (doc_id % 19 = 0 OR doc_id % 23 <> 0) THEN rating END AS rating,
+           CASE WHEN doc_id % 41 <> 0 THEN title END AS title
     FROM raw WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0""")
 add("scan_reviews_parquet", """
     SELECT review_id, category, rating, timestamp, label, generator, md5(text) AS text_md5
@@ -593,4 +599,5 @@ add("pending_runs", """
     WHERE NOT EXISTS (SELECT 1 FROM metrics m WHERE m.model = v.variant AND m.rotation = g.rotation)""")
 
 add("stream_review_ingest", """
-    SELECT DISTINCT review_id, category, timestamp, label FROM raw_pool""")
+    SELECT DISTINCT review_id, category, timestamp, label FROM raw_pool
+    WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 41 <> 0""")

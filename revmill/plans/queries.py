@@ -32,6 +32,7 @@ from revmill.streaming.ingest import ingest_stream
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 BY_SPLIT = ["model", "rotation", "split"]
+PRODUCT = ["parent_asin", "category", "rating", "title", "review_id"]
 SPLIT_ROW = ["rotation", "split", "review_id", "category", "generator", "label"]
 
 
@@ -53,18 +54,30 @@ def long_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
 # --- Sources and sinks -------------------------------------------------------
 
 
-@query
-def scan_reviews_json(spark, sf_dir):
-    """Raw reviews as JSON lines with malformed and blank lines, scanned."""
+def _raw_lines(spark, sf_dir) -> DataFrame:
+    """Raw reviews as lines: some malformed, blank, arrays, or with a field of another type."""
     raw = inputs.raw_reviews(spark, sf_dir)
-    fields = F.struct("timestamp", "text", "user_id", "parent_asin", "rating", "title")
-    line = (
-        F.when(F.col("doc_id") % 13 == 0, F.lit("{bad"))
-        .when(F.col("doc_id") % 17 == 0, F.lit(""))
-        .otherwise(F.to_json(fields))
+    line = F.to_json(F.struct("timestamp", "text", "user_id", "parent_asin", "rating", "title"))
+    every = lambda n: F.col("doc_id") % n == 0
+    rating = r'"rating":([0-9.]+)'
+    return raw.select(
+        "category",
+        F.when(every(13), F.lit("{bad"))
+        .when(every(17), F.lit(""))
+        .when(every(41), F.lit('[1, {"rating": 2}]'))
+        .when(every(19), F.regexp_replace(line, rating, '"rating":"$1"'))
+        .when(every(23), F.regexp_replace(line, rating, '"rating":"abc"'))
+        .when(every(7), F.regexp_replace(line, r'"timestamp":([0-9]+)', '"timestamp":$1.0'))
+        .otherwise(line)
+        .alias("value"),
     )
+
+
+@query
+def scan_reviews_json(spark, sf_dir):
+    """Raw reviews as JSON lines of all kinds, scanned."""
     path = new_folder(spark, "raw")
-    raw.select("category", line.alias("value")).write.partitionBy("category").text(path)
+    _raw_lines(spark, sf_dir).write.partitionBy("category").text(path)
     return source.scan_reviews_json(spark, path).select(
         "category",
         "timestamp",
@@ -93,7 +106,7 @@ def scan_reviews_parquet(spark, sf_dir):
 def scan_split(spark, sf_dir):
     """One split of one rotation, read from its own folder."""
     path = new_folder(spark, "splits")
-    source.write_splits(inputs.splits(spark, sf_dir), path)
+    source.write_splits(inputs.whole_splits(spark, sf_dir), path)
     return source.read_split(spark, path, 1, "test_crossgen").select(SPLIT_ROW)
 
 
@@ -111,7 +124,7 @@ def write_reviews(spark, sf_dir):
 def write_splits(spark, sf_dir):
     """Sizes of all stored splits."""
     path = new_folder(spark, "splits")
-    source.write_splits(inputs.splits(spark, sf_dir), path)
+    source.write_splits(inputs.whole_splits(spark, sf_dir), path)
     return (
         source.read_splits(spark, path)
         .groupBy("rotation", "split", "generator")
@@ -264,7 +277,7 @@ def dedup_reviews(spark, sf_dir):
 
 @query
 def seeded_shuffle(spark, sf_dir):
-    return pool.shuffled_positions(inputs.stored_human(spark, sf_dir)).select("review_id", "position")
+    return pool.shuffled_positions(inputs.stored_human(spark, sf_dir, "review_id"))
 
 
 @query
@@ -303,14 +316,14 @@ def _half_of_products(human: DataFrame) -> int:
 
 @query
 def seed_products(spark, sf_dir):
-    human = inputs.stored_human(spark, sf_dir)
+    human = inputs.stored_human(spark, sf_dir, *PRODUCT)
     return generation.seed_products(human, _half_of_products(human))
 
 
 @query
 def length_draw(spark, sf_dir):
     """A length for every review, drawn from the human pool's lengths."""
-    bins = generation.length_bins(inputs.stored_human(spark, sf_dir))
+    bins = generation.length_bins(inputs.human(spark, sf_dir))
     rows = inputs.reviews(spark, sf_dir).select("review_id")
     return generation.draw_length(rows, bins, "review_id")
 
@@ -351,7 +364,7 @@ def chat_messages(spark, sf_dir):
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    human = inputs.stored_human(spark, sf_dir)
+    human = inputs.stored_human(spark, sf_dir, *PRODUCT, "text")
     return generation.requests(human, _half_of_products(human))
 
 
@@ -393,9 +406,8 @@ def rotations(spark, sf_dir):
 
 @query
 def reserve_human(spark, sf_dir):
-    return splits.reserve_human(inputs.stored_human(spark, sf_dir), inputs.quarter()).select(
-        "rotation", "part", "review_id"
-    )
+    human = inputs.stored_human(spark, sf_dir, "review_id")
+    return splits.reserve_human(human, inputs.quarter()).select("rotation", "part", "review_id")
 
 
 @query
@@ -406,9 +418,9 @@ def split_80_10_10(spark, sf_dir):
 
 @query
 def balance_human(spark, sf_dir):
-    return splits.balance(
-        inputs.stored_human(spark, sf_dir), inputs.ai(spark, sf_dir), inputs.quarter()
-    ).select("rotation", "split", "review_id")
+    human = inputs.stored_human(spark, sf_dir, *inputs.BRIEF)
+    ai = inputs.ai(spark, sf_dir).select(*inputs.BRIEF)
+    return splits.balance(human, ai, inputs.quarter()).select("rotation", "split", "review_id")
 
 
 @query
@@ -426,7 +438,7 @@ def logo_splits(spark, sf_dir):
 @query
 def combine_shuffle(spark, sf_dir):
     """Humans and generated reviews together, with their shuffled position."""
-    human = inputs.stored_human(spark, sf_dir).select("review_id", "generator")
+    human = inputs.stored_human(spark, sf_dir, "review_id", "generator")
     ai = inputs.ai(spark, sf_dir).select("review_id", "generator")
     return pool.shuffled_positions(splits.combine(human, ai))
 
@@ -540,9 +552,7 @@ def tfidf_weights(spark, sf_dir):
 
 def _stored_splits(spark, sf_dir) -> DataFrame:
     """The splits from storage: fitting reads them many times."""
-    path = new_folder(spark, "splits")
-    source.write_splits(inputs.splits(spark, sf_dir), path)
-    return source.read_splits(spark, path)
+    return stored(inputs.splits(spark, sf_dir, [*inputs.BRIEF, "text"]), "splits")
 
 
 @query
@@ -702,7 +712,7 @@ def pending_runs(spark, sf_dir):
 def stream_review_ingest(spark, sf_dir):
     """The pool filter as a stream over JSON files, in several micro-batches."""
     landing, out, state = (new_folder(spark, name) for name in ("landing", "ingested", "state"))
-    raw = inputs.raw_reviews(spark, sf_dir).drop("doc_id").repartition(6)
-    source.write_raw_json(raw, landing)
+    lines = _raw_lines(spark, sf_dir).repartition(6)
+    lines.write.partitionBy("category").text(landing)
     ingest_stream(spark, landing, out, state, files_per_trigger=8).awaitTermination()
     return source.scan_reviews(spark, out).select("review_id", "category", "timestamp", "label")

@@ -61,13 +61,22 @@ def build_splits(
     generators: Sequence[str] = GENERATORS,
     rotation: int | None = None,
 ) -> DataFrame:
-    """Stored tables to stored splits, checked for leakage; returns their sizes."""
+    """Stored tables to stored splits, checked for leakage; returns their sizes.
+
+    With ``rotation`` that one is built and any others that are stored stay. The sizes
+    are stored beside the splits, in ``<splits_path>_meta``.
+    """
     human, ai = reviews.load_all(spark, human_path, generated_dir, generators)
     rows = splits.logo_splits(human, ai, reserve, seed, generators, rotation)
     reviews.write_splits(rows, splits_path)
-    stored = reviews.read_splits(spark, splits_path)
-    splits.assert_no_leakage(stored)
-    return splits.rotation_meta(stored, generators)
+    built = reviews.read_splits(spark, splits_path)
+    if rotation is not None:
+        built = built.where(F.col("rotation") == rotation)
+    splits.assert_no_leakage(built)
+    meta_path = f"{splits_path.rstrip('/')}_meta"
+    reviews.write_meta(splits.rotation_meta(built, generators), meta_path)
+    meta = reviews.read_meta(spark, meta_path)
+    return meta if rotation is None else meta.where(F.col("rotation") == rotation)
 
 
 def run_baseline(

@@ -23,6 +23,11 @@ REVIEW = T.StructType([
     T.StructField("generator", T.StringType()),
 ])
 
+META = (
+    "held_out string, train_gens string, n_train bigint, n_val bigint, "
+    "n_test_indist bigint, n_test_crossgen bigint"
+)
+
 METRICS = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("rotation", T.IntegerType()),

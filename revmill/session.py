@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``.
 
-    Only a session that names none (a unit test) gets a temporary folder.
+    Without one, a cluster session is an error: each executor would write to its own
+    disk. A local session, where one machine is all there is, gets a temporary folder.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="revmill-")
         context.setCheckpointDir(root)
     return root
@@ -28,7 +31,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, as stages hand over.
 
     What follows reads only the columns it needs, and a lost executor costs a
-    stage and not the chain before it.
+    stage and not the chain before it. Select the columns that are needed first:
+    all of ``df`` is written.
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)

@@ -5,7 +5,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revmill.schema import GENERATORS, RAW_REVIEW, REVIEW
+from revmill.operators.filters import conform
+from revmill.schema import GENERATORS, META, RAW_REVIEW, REVIEW
+from revmill.session import stored
 
 # `Books.jsonl`, `Books.jsonl/part-0.json` and `category=Books/part-0.json`
 # all belong to category Books.
@@ -18,24 +20,32 @@ def category_of(path) -> "F.Column":
     return F.regexp_extract(path, CATEGORY_OF_PATH, 1)
 
 
-def scan_reviews_json(spark: SparkSession, path) -> DataFrame:
-    """Raw reviews from JSON lines, one file or folder per category.
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Raw reviews from a table of JSON lines (``value``) with file metadata.
 
-    The schema is given, so nothing is inferred; blank and malformed lines are
-    left out.
+    Only blank lines and lines that do not parse are left out, whatever columns are
+    read. A field that is missing or cannot be cast to its type is null, and so are
+    all fields of a line that is no object. A line that names a field twice does not
+    parse.
     """
+    fields = [
+        F.try_variant_get("json", f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
+        for f in RAW_REVIEW
+    ]
     return (
-        spark.read.schema(RAW_REVIEW)
-        .option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", True)
-        .json(path)
-        .withColumn("category", category_of(F.col("_metadata.file_path")))
+        lines.select(
+            F.try_parse_json("value").alias("json"),
+            category_of(F.col("_metadata.file_path")).alias("category"),
+            F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("file_block"),
+        )
+        .where(F.col("json").isNotNull())
+        .select(*fields, "category", "file_block")
     )
 
 
-def write_raw_json(df: DataFrame, path: str) -> None:
-    """Raw reviews as JSON lines, one folder per category."""
-    df.write.mode("overwrite").partitionBy("category").json(path)
+def scan_reviews_json(spark: SparkSession, path) -> DataFrame:
+    """Raw reviews from JSON lines, one file or folder per category."""
+    return parsed_lines(spark.read.option("recursiveFileLookup", True).text(path)).drop("file_block")
 
 
 def scan_reviews(spark: SparkSession, path) -> DataFrame:
@@ -54,23 +64,52 @@ def load_all(
 
 def write_reviews(df: DataFrame, path: str) -> None:
     """Store a pool or a generated table."""
-    df.select([F.col(f.name).cast(f.dataType) for f in REVIEW]).write.mode("overwrite").parquet(path)
+    conform(df).write.mode("overwrite").parquet(path)
 
 
 def write_generated(df: DataFrame, generated_dir: str, generators=GENERATORS) -> None:
-    """One table per generator, where ``load_all`` looks for them."""
+    """One table per generator, where ``load_all`` looks for them.
+
+    ``df`` is computed once. Rows of a generator that is not listed are an error.
+    """
+    listed = F.col("generator").isin(list(generators))
+    unlisted = F.raise_error(F.concat(F.lit("generator not listed: "), F.coalesce("generator", F.lit("null"))))
+    checked = conform(df).withColumn("generator", F.when(listed, F.col("generator")).otherwise(unlisted))
+    rows = stored(checked, "generated")
     for g in generators:
-        write_reviews(df.where(F.col("generator") == g), f"{generated_dir}/{g}.parquet")
+        write_reviews(rows.where(F.col("generator") == g), f"{generated_dir}/{g}.parquet")
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
     """Store every split of every rotation, one folder each.
 
-    No shuffle: each task writes its own share of the folders. Tasks sort their
-    rows by folder first, unless ``spark.sql.maxConcurrentOutputFileWriters`` is at
-    least the number of folders (16).
+    Only the folders of the rotations in ``splits`` are replaced. Rows are brought
+    together by folder, in pieces of an even size, so that the number of files
+    follows the size of the data.
     """
-    splits.write.mode("overwrite").partitionBy("rotation", "split").parquet(path)
+    (
+        splits.hint("rebalance", "rotation", "split")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("rotation", "split")
+        .parquet(path)
+    )
+
+
+def write_meta(meta: DataFrame, path: str) -> None:
+    """Store the sizes of the rotations in ``meta`` beside others that are there."""
+    (
+        meta.repartition(1)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("rotation")
+        .parquet(path)
+    )
+
+
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """The stored sizes of all rotations."""
+    return spark.read.schema(f"{META}, rotation int").parquet(path)
 
 
 def read_split(spark: SparkSession, path: str, rotation: int, split: str) -> DataFrame:

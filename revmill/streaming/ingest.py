@@ -6,8 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from revmill.operators.filters import as_human
 from revmill.operators.pool import filter_pool
-from revmill.schema import RAW_REVIEW
-from revmill.sources.reviews import category_of
+from revmill.sources.reviews import parsed_lines
 
 SALTS = 16
 
@@ -18,22 +17,17 @@ def review_stream(
     """Pool reviews of a JSON-lines folder, each review once.
 
     Copies are recognised while they arrive no further apart than ``delay``, which
-    bounds the state. The watermark is on arrival and not on the review's own time:
+    bounds the state; which copy of a review stays is not defined. The watermark is on arrival and not on the review's own time:
     feeds are not sorted by time, and an old review that comes late is kept. Copies
     first meet others of their own file block and then those of other blocks, so a
     review that makes up much of the input does not pass through one task row by row.
     """
-    raw = (
-        spark.readStream.schema(RAW_REVIEW)
-        .option("mode", "DROPMALFORMED")
-        .option("maxFilesPerTrigger", files_per_trigger)
+    lines = (
+        spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
         .option("recursiveFileLookup", True)
-        .json(in_dir)
-    )
-    block = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
-    rows = raw.withColumn("category", category_of(F.col("_metadata.file_path"))).withColumn(
-        "_salt", F.pmod(block, F.lit(SALTS))
+        .text(in_dir)
     )
+    rows = parsed_lines(lines).withColumn("_salt", F.pmod("file_block", F.lit(SALTS)))
     return (
         as_human(filter_pool(rows), "_salt")
         .withColumn("arrived", F.current_timestamp())

@@ -81,6 +81,19 @@ def test_drawn_lengths_follow_the_pool(spark):
         assert abs(drawn[wc] / 60_000 - share) < 5 * math.sqrt(share / 60_000)
 
 
+def test_lengths_are_not_cut_and_may_be_missing(spark):
+    texts = [(" ".join(["w"] * n),) for n in (5, 20, 30, 500, 900)]
+    bins = generation.length_bins(spark.createDataFrame(texts, "text string"))
+    assert sorted(b.wc for b in bins.collect()) == [5, 20, 30, 500, 900]
+    keys = spark.range(400).select(F.col("id").cast("string").alias("parent_asin"))
+    drawn = {r.target_wc for r in generation.draw_length(keys, bins).collect()}
+    assert drawn == {5, 20, 30, 500, 900}
+    none = generation.draw_length(keys, bins.limit(0)).collect()
+    assert {(r.parent_asin, r.target_wc) for r in none} == {
+        (r.parent_asin, r.target_wc) for r in generation.draw_lognormal(keys).collect()
+    }
+
+
 def test_lognormal_lengths(spark):
     draws = generation.draw_lognormal(
         spark.range(40_000).select(F.col("id").cast("string").alias("parent_asin"))
@@ -104,4 +117,3 @@ def test_requests_and_responses(spark):
     assert all(r.text == r.text.strip() and r.label == 1 and r.timestamp is None for r in reviews)
     pending = {r.request_id for r in generation.pending(requests, responses).collect()}
     assert pending == set(ids) - good
-    assert generation.failures(responses).count() == 5

@@ -3,10 +3,13 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from revmill.operators import splits
 from revmill.plans import stages
-from revmill.schema import CUTOFF_MS, GENERATORS
+from revmill.schema import CUTOFF_MS, GENERATORS, REVIEW
+from revmill.sources import reviews
 
 WORDS = "good bad soap book lamp blue works broke love again price daily gift small".split()
 
@@ -55,14 +58,35 @@ def test_end_to_end(spark, tmp_path):
     assert [r.model for r in table.collect()] == ["TF-IDF + LR"]
 
 
-def test_one_rotation_only(spark, tmp_path):
+def test_one_rotation_is_rebuilt_beside_the_others(spark, tmp_path):
     write_raw(tmp_path / "raw")
     path = lambda name: str(tmp_path / name)
     stages.build_pool(spark, path("raw"), path("human"), 300, categories=["Books", "Pet_Supplies"])
     requests = stages.write_requests(spark, path("human"), path("requests"), 40)
     answers = requests.select("request_id", F.col("prompt").alias("text"), F.lit(None).cast("string").alias("error"))
     stages.write_generated(requests, answers, path("generated"))
-    meta = stages.build_splits(
-        spark, path("human"), path("generated"), path("splits"), reserve=50, rotation=3
-    ).collect()
-    assert [(r.rotation, r.held_out, r.n_train) for r in meta] == [(3, "qwen", 192)]
+    build = lambda **only: stages.build_splits(
+        spark, path("human"), path("generated"), path("splits"), reserve=50, **only
+    )
+    files = lambda r: sorted(str(f) for f in (tmp_path / f"splits/rotation={r}").rglob("*.parquet"))
+    first = build(rotation=3).collect()
+    assert [(r.rotation, r.held_out, r.n_train) for r in first] == [(3, "qwen", 192)]
+    whole = sorted(tuple(r) for r in build().collect())
+    before = {r: files(r) for r in range(4)}
+    assert all(0 < len(before[r]) <= 40 for r in before)
+    again = build(rotation=2).collect()
+    assert [r.rotation for r in again] == [2]
+    assert all(files(r) == before[r] for r in (0, 1, 3)) and files(2) != before[2]
+    stored = reviews.read_meta(spark, path("splits_meta"))
+    assert sorted(tuple(r) for r in stored.collect()) == whole
+    counted = splits.rotation_meta(reviews.read_splits(spark, path("splits")))
+    assert sorted(tuple(r) for r in counted.select(stored.columns).collect()) == whole
+
+
+def test_a_generator_that_is_not_listed_is_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "other")], "review_id string, generator string")
+    for field in REVIEW:
+        if field.name not in rows.columns:
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+    with pytest.raises(Exception, match="not listed: other"):
+        reviews.write_generated(rows, str(tmp_path / "generated"))
