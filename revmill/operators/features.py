@@ -1,5 +1,6 @@
 """Label maps, token ids, pooled and scaled vectors, TF-IDF."""
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,36 +12,23 @@ from pyspark.sql.window import Window
 from revmill.functions.text import tokens, with_pairs, words
 from revmill.functions.vectors import doubles
 from revmill.schema import HUMAN, MAX_FEATURES, MAX_LEN, MIN_DF
+from revmill.session import stored
 
-BROADCAST_ROWS = 100_000
+def label_map(train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Class numbers for each group of ``by``: human is 0, the other generators 1..N by name."""
+    others = F.collect_set(F.when(F.col("generator") != HUMAN, F.col("generator")))
+    names = train.groupBy(*by).agg(F.array_sort(others).alias("g"))
+    listed = F.posexplode(F.concat(F.array(F.lit(HUMAN)), F.col("g"))).alias("gen_label", "generator")
+    return names.select(*by, listed).select(*by, "generator", "gen_label")
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a broadcast table if it has at most ``max_rows`` rows.
+def encode_generator(df: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``gen_label`` by the map; an unseen generator gets 0 and ``gen_known`` false.
 
-    The rows that were counted are the ones broadcast, so ``df`` runs once. Beyond
-    the bound the join is left to Spark, which shuffles and splits hot keys.
+    A plain join: Spark broadcasts the map if it is small and splits hot keys if not.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def label_map(train: DataFrame) -> DataFrame:
-    """Class numbers: human is 0, the other generators 1..N by name."""
-    names = train.agg(
-        F.array_sort(F.collect_set(F.when(F.col("generator") != HUMAN, F.col("generator")))).alias("g")
-    )
-    return names.select(F.posexplode(F.concat(F.array(F.lit(HUMAN)), F.col("g")))).select(
-        F.col("col").alias("generator"), F.col("pos").alias("gen_label")
-    )
-
-
-def encode_generator(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """``gen_label`` by the map; an unseen generator gets 0 and ``gen_known`` false."""
     return (
-        df.join(broadcast_checked(labels), "generator", "left")
+        df.join(labels, [*by, "generator"], "left")
         .withColumn("gen_known", F.col("gen_label").isNotNull())
         .withColumn("gen_label", F.coalesce("gen_label", F.lit(0)))
     )
@@ -51,40 +39,78 @@ def encode_generator(df: DataFrame, labels: DataFrame) -> DataFrame:
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 
 
-def word_vocabulary(df: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The most frequent lower-cased words of the texts, numbered from 2."""
+def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
+    """Rows with their place from 1 in a total order, without one task that has them all.
+
+    Rows are range-partitioned in the order and stored with their range; a place is the
+    one in the range and the rows of the ranges before it. The order's first range holds
+    the smallest rows, as the partitioner numbers ranges.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (
+        ranged.withColumn("_here", here)
+        .join(offsets, "_range")
+        .withColumn(name, F.col("_here") + F.col("_before"))
+        .drop("_range", "_here", "_before")
+    )
+
+
+def word_vocabulary(df: DataFrame, max_features: int | None = None) -> DataFrame:
+    """The lower-cased words of the texts, numbered from 2 by falling frequency.
+
+    All words, unless the caller names how many of the most frequent it wants.
+    """
     counts = (
         df.select(F.explode_outer(words(F.lower("text"))).alias("word"))
         .where(F.col("word").isNotNull())
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
-    top = counts.orderBy(F.desc("n"), "word").limit(max_features)
-    # An unpartitioned window over the at most max_features rows of a vocabulary.
-    number = F.row_number().over(Window.orderBy(F.desc("n"), "word")) + (FIRST_ID - 1)
-    return top.select("word", number.alias("id"))
+    ranked = numbered(counts, F.desc("n"), F.asc("word"))
+    if max_features is not None:
+        ranked = ranked.where(F.col("position") <= max_features)
+    return ranked.select("word", (F.col("position") + (FIRST_ID - 1)).alias("id"))
 
 
 def encode_tokens(
-    df: DataFrame, vocabulary: DataFrame, max_len: int = MAX_LEN, key: str = "review_id"
+    df: DataFrame,
+    vocabulary: DataFrame,
+    max_len: int = MAX_LEN,
+    key: str = "review_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``input_ids`` and ``attention_mask`` of length ``max_len`` per text.
+    """``input_ids`` and ``attention_mask`` of length ``max_len`` per text, and columns to keep.
 
     Longer texts are truncated, shorter ones padded with 0; words outside the
     vocabulary get 1. Rows are placed by key once, before the words are exploded,
-    so that regrouping them needs no second shuffle.
+    so that regrouping them needs no second shuffle. A key that stands in two rows
+    is an error.
     """
     first = F.slice(words(F.lower("text")), 1, max_len)
-    placed = df.select(key, first.alias("words")).repartition(key)
-    long = placed.select(key, F.posexplode_outer("words").alias("pos", "word"))
-    # The vocabulary is limited to its max_features rows.
-    found = long.join(F.broadcast(vocabulary), "word", "left")
+    placed = df.select(key, *keep, first.alias("words")).repartition(key)
+    long = placed.select(key, *keep, F.posexplode_outer("words").alias("pos", "word"))
+    found = long.join(vocabulary, "word", "left")
     ids = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id")))
-    grouped = found.groupBy(key).agg(F.sort_array(F.collect_list(ids)).getField("id").alias("ids"))
+    grouped = found.groupBy(key).agg(
+        F.sort_array(F.collect_list(ids)).alias("ids"), *[F.first(c).alias(c) for c in keep]
+    )
+    places = F.col("ids").getField("pos")
+    twice = F.raise_error(F.concat(F.lit("two rows with the key "), F.col(key).cast("string")))
+    grouped = grouped.withColumn(
+        "ids",
+        F.when(F.size(F.array_distinct(places)) == F.size("ids"), F.col("ids").getField("id")).otherwise(twice),
+    )
     pad = F.lit(max_len) - F.size("ids")
     return grouped.select(
         key,
-        F.concat("ids", F.array_repeat(F.lit(PAD), pad)).alias("input_ids"),
+        *keep,
+        F.concat("ids", F.array_repeat(F.lit(PAD).cast("bigint"), pad)).alias("input_ids"),
         F.concat(
             F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), pad)
         ).alias("attention_mask"),
@@ -112,8 +138,8 @@ def mean_pool(
 
 
 def embed(ids: DataFrame, vectors: DataFrame, key: str = "vec_id") -> DataFrame:
-    """The stored vector of each row that has one."""
-    return ids.join(vectors, key)
+    """Every row with its stored vector; without one it is null and ``has_vector`` false."""
+    return ids.join(vectors, key, "left").withColumn("has_vector", F.col("embedding").isNotNull())
 
 
 class Scale(NamedTuple):
@@ -163,27 +189,26 @@ def tfidf_fit(
 
     Terms of at least ``min_df`` documents, the most frequent ``max_features`` by
     total count (ties by term); idf = ln((1 + n) / (1 + df)) + 1. Counts per
-    document and in total come from one pass: each term is emitted once per
-    occurrence and once more per document, and combined before the shuffle.
+    document and in total come from one pass: a text's terms are sorted, each is
+    emitted once, marked where it is the first of its kind, and combined before the
+    shuffle. The last term that gets in is found by position, not by a LIMIT, which
+    would send ``max_features`` rows of every task through one.
     """
-    # List 0 has every occurrence, list 1 each term once.
-    lists = with_terms(train).select(
-        F.posexplode_outer(F.array("t", F.array_distinct("t"))).alias("list", "terms")
+    terms = with_terms(train).select(F.array_sort("t").alias("t"))
+    marked = F.transform(
+        "t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).alias("first"))
     )
     counts = (
-        lists.select("list", F.explode_outer("terms").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.sum("list").alias("df"), F.count_if(F.col("list") == 0).alias("total"))
+        terms.select(F.explode_outer(marked).alias("m"))
+        .where(F.col("m").isNotNull())
+        .groupBy("m.term")
+        .agg(F.count_if("m.first").alias("df"), F.count("*").alias("total"))
     )
     documents = train.agg(F.count("*")).scalar()
     idf = F.log((documents + 1.0) / (F.col("df") + 1.0)) + 1.0
-    return (
-        counts.where(F.col("df") >= min_df)
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-        .withColumn("idf", idf)
-    )
+    frequent = counts.where(F.col("df") >= min_df).withColumn("idf", idf)
+    ranked = numbered(frequent, F.desc("total"), F.asc("term"))
+    return ranked.where(F.col("position") <= max_features).drop("position")
 
 
 def tfidf_apply(df: DataFrame, vocabulary: DataFrame, key: str = "review_id") -> DataFrame:

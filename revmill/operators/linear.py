@@ -1,6 +1,5 @@
 """Linear baselines with Spark ML."""
 
-import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -8,17 +7,12 @@ from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    CountVectorizerModel,
-    ElementwiseProduct,
-    Normalizer,
-)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revmill.functions.text import tokens, with_pairs
 from revmill.operators.features import (
@@ -31,9 +25,7 @@ from revmill.operators.features import (
 )
 from revmill.operators.metrics import metrics
 from revmill.schema import GENERATORS, MAX_FEATURES, MIN_DF, TEST_SPLITS
-
-
-ROWS_PER_TASK = 10_000
+from revmill.session import new_folder
 
 
 def fit_logistic(
@@ -43,15 +35,16 @@ def fit_logistic(
 
     Spark averages the loss over rows, hence 1 / (C n) for a penalty of 1 / C on
     the sum. Features are taken as they are, and the intercept is not penalised.
-    Every iteration sends one gradient per task, so tasks with few rows are merged.
+    Give stored features: every iteration reads them. Gradients are added up in a
+    tree, so that the driver receives few whatever the number of tasks.
     """
-    train = train.coalesce(max(1, n // ROWS_PER_TASK))
     return LogisticRegression(
         family=family,
         maxIter=max_iter,
         regParam=1.0 / (c * n),
         elasticNetParam=0.0,
         standardization=False,
+        aggregationDepth=3,
     ).fit(train)
 
 
@@ -64,21 +57,6 @@ def score(model: LogisticRegressionModel, features: DataFrame) -> DataFrame:
     )
 
 
-def _sublinear():
-    @F.udf(VectorUDT())
-    def damp(counts):
-        return Vectors.sparse(
-            counts.size, counts.indices, [1.0 + math.log(tf) for tf in counts.values]
-        )
-
-    return damp
-
-
-def _with_counts(vectorizer: CountVectorizerModel, df: DataFrame) -> DataFrame:
-    listed = df.withColumn("w", tokens("text")).withColumn("terms", with_pairs(F.col("w")))
-    return vectorizer.transform(listed.drop("w")).drop("terms")
-
-
 class TfidfLr(NamedTuple):
     """A fitted vocabulary with its weights, and the classifier on top."""
 
@@ -87,16 +65,28 @@ class TfidfLr(NamedTuple):
     classifier: LogisticRegressionModel | None
 
     def features(self, df: DataFrame) -> DataFrame:
-        """Unit-length sparse TF-IDF vectors, made row by row without a shuffle."""
-        counted = _with_counts(self.vectorizer, df)
-        damped = counted.withColumn("tf", _sublinear()("counts"))
+        """Unit-length sparse TF-IDF vectors, made row by row in the JVM and stored.
+
+        The counts are damped as arrays: a stored vector column and a struct of the same
+        fields are the same file.
+        """
+        listed = df.withColumn("w", tokens("text")).withColumn("terms", with_pairs(F.col("w")))
+        counted = self.vectorizer.transform(listed.drop("w")).drop("terms", "text")
+        fields = F.unwrap_udt("counts")
+        damped = F.transform(fields["values"], lambda x: F.lit(1.0) + F.log(x))
+        parts = [fields[c].alias(c) for c in ("type", "size", "indices")]
+        rows = counted.withColumn("tf", F.struct(*parts, damped.alias("values"))).drop("counts")
+        path = new_folder(df.sparkSession, "tfidf")
+        rows.write.parquet(path)
+        others = [f for f in rows.schema if f.name != "tf"]
+        vectors = T.StructType([*others, T.StructField("tf", VectorUDT())])
         weighted = ElementwiseProduct(
             scalingVec=self.idf, inputCol="tf", outputCol="weighted"
-        ).transform(damped)
+        ).transform(df.sparkSession.read.schema(vectors).parquet(path))
         return (
             Normalizer(p=2.0, inputCol="weighted", outputCol="features")
             .transform(weighted)
-            .drop("counts", "tf", "weighted")
+            .drop("tf", "weighted")
         )
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -110,17 +100,18 @@ def fit_tfidf_lr(
     c: float = 1.0,
     max_iter: int = 1000,
 ) -> TfidfLr:
-    """TF-IDF over words and word pairs, then logistic regression."""
+    """TF-IDF over words and word pairs, then logistic regression.
+
+    The vocabulary, at most ``max_features`` terms, and its weights come to the driver.
+    """
     rows = train.select("text", F.col("label").cast("int").alias("label"))
-    # The vectorizer is fitted on the chosen terms, one per row, so it has just these.
-    chosen = tfidf_fit(train, min_df, max_features).select(F.array("term").alias("terms"))
-    vectorizer = CountVectorizer(
-        vocabSize=max_features, minDF=1, inputCol="terms", outputCol="counts"
-    ).fit(chosen)
-    # Spark's IDF is ln((1 + n) / (1 + df)), without the + 1.
-    idf = IDF(inputCol="counts", outputCol="weighted").fit(_with_counts(vectorizer, rows)).idf
-    model = TfidfLr(vectorizer, Vectors.dense(idf.toArray() + 1.0), None)
-    features = model.features(rows).select("features", "label")
+    chosen = tfidf_fit(train, min_df, max_features).select("term", "idf").collect()
+    chosen = sorted((r["term"], r["idf"]) for r in chosen)
+    vectorizer = CountVectorizerModel.from_vocabulary(
+        [term for term, _ in chosen], inputCol="terms", outputCol="counts"
+    )
+    model = TfidfLr(vectorizer, Vectors.dense([idf for _, idf in chosen]), None)
+    features = model.features(rows)
     return model._replace(classifier=fit_logistic(features, train.count(), c, max_iter))
 
 
@@ -147,28 +138,39 @@ def fit_embedding_lr(
     return EmbeddingLr(scale, fit_logistic(features, train.count(), c, max_iter, family))
 
 
-def rotation_metrics(
+def each_rotation(
     splits: DataFrame,
-    fit: Callable[[DataFrame], TfidfLr | EmbeddingLr],
-    model: str,
+    do: Callable[[DataFrame], DataFrame],
     rotations: Sequence[int] = range(len(GENERATORS)),
 ) -> DataFrame:
-    """Fit on each rotation's training rows and measure its two tests.
+    """``do`` of each rotation's rows, with the rotation as a column.
 
     A fit is many short jobs, so the rotations run side by side. ``splits`` is read
     once per rotation and step: pass a stored table.
     """
 
     @inheritable_thread_target(splits.sparkSession)
-    def scored(rotation: int) -> DataFrame:
+    def done(rotation: int) -> DataFrame:
         rows = splits.where(F.col("rotation") == rotation)
-        fitted = fit(rows.where(F.col("split") == "train"))
-        tests = fitted.score(rows.where(F.col("split").isin(TEST_SPLITS)))
-        return tests.select("rotation", "split", "label", "p")
+        return do(rows).withColumn("rotation", F.lit(rotation))
 
     with ThreadPool(len(rotations)) as threads:
-        parts = threads.map(scored, rotations)
-    every = reduce(DataFrame.unionByName, parts).withColumn("model", F.lit(model))
+        return reduce(DataFrame.unionByName, threads.map(done, rotations))
+
+
+def rotation_metrics(
+    splits: DataFrame,
+    fit: Callable[[DataFrame], TfidfLr | EmbeddingLr],
+    model: str,
+    rotations: Sequence[int] = range(len(GENERATORS)),
+) -> DataFrame:
+    """Fit on each rotation's training rows and measure its two tests."""
+
+    def scored(rows: DataFrame) -> DataFrame:
+        fitted = fit(rows.where(F.col("split") == "train"))
+        return fitted.score(rows.where(F.col("split").isin(TEST_SPLITS))).select("split", "label", "p")
+
+    every = each_rotation(splits, scored, rotations).withColumn("model", F.lit(model))
     return metrics(every, ["model", "rotation", "split"])
 
 

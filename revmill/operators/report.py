@@ -4,20 +4,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from revmill.operators.losses import variants_array
 from revmill.operators.splits import rotations
-from revmill.schema import (
-    BATCH_SIZE,
-    EPOCHS,
-    EVAL_EVERY,
-    GENERATORS,
-    GRAD_ACCUM,
-    MODELS,
-    TEST_SPLITS,
-    VARIANTS,
-    WARMUP_PERCENT,
-)
+from revmill.schema import GENERATORS, MODELS, TEST_SPLITS, VARIANTS
 
 
 def variants(spark) -> DataFrame:
@@ -25,13 +16,10 @@ def variants(spark) -> DataFrame:
     return spark.range(1).select(F.inline(variants_array()))
 
 
-def training_plan(meta: DataFrame) -> DataFrame:
-    """Every variant × rotation with its loss weights and step counts, from the
-    split sizes of ``rotation_meta``."""
-    batches = F.ceil(F.col("n_train") / BATCH_SIZE)
-    steps = F.floor(batches / GRAD_ACCUM) * EPOCHS
+def variant_weights(meta: DataFrame) -> DataFrame:
+    """Every variant × rotation with its loss weights and the rows it trains on."""
     return (
-        meta.select("rotation", "held_out", "n_train", steps.alias("steps"))
+        meta.select("rotation", "held_out", "n_train")
         .withColumn("v", F.explode(variants_array()))
         .select(
             F.col("v.name").alias("variant"),
@@ -41,9 +29,6 @@ def training_plan(meta: DataFrame) -> DataFrame:
             F.col("v.losses.contrastive").alias("contrastive"),
             F.col("v.losses.adversarial").alias("adversarial"),
             "n_train",
-            "steps",
-            F.floor(F.col("steps") * WARMUP_PERCENT / 100).alias("warmup_steps"),
-            F.floor(F.col("steps") / EVAL_EVERY).alias("evaluations"),
         )
     )
 
@@ -75,15 +60,19 @@ def _model_table(spark) -> DataFrame:
 
 
 def comparison(metrics: DataFrame) -> DataFrame:
-    """One row per model: f1 and auc, in-distribution and cross-generator."""
+    """One row per scored model: f1 and auc, in-distribution and cross-generator."""
     average = rotation_average(metrics.where(F.col("split").isin(TEST_SPLITS)))
     wide = average.groupBy("model").pivot("split", TEST_SPLITS).agg(
         F.first("f1").alias("f1"), F.first("auc").alias("auc")
     )
     order = _model_table(metrics.sparkSession)
-    return wide.join(F.broadcast(order), F.col("model") == F.col("run")).select(
-        "position",
-        F.col("name").alias("model"),
+    # One row per model; those that are not listed come after the others, by name.
+    joined = wide.join(F.broadcast(order), F.col("model") == F.col("run"), "left")
+    listed = F.col("position").isNotNull()
+    after = F.row_number().over(Window.partitionBy(listed).orderBy("model")) + (len(MODELS) - 1)
+    return joined.select(
+        F.coalesce("position", after).alias("position"),
+        F.coalesce("name", "model").alias("model"),
         F.col("test_indist_f1").alias("f1_indist"),
         F.col("test_crossgen_f1").alias("f1_crossgen"),
         F.col("test_indist_auc").alias("auc_indist"),

@@ -137,6 +137,13 @@ def validation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_p(each, "run", "step", "review_id")
 
 
+def _folded(vector: str, n: int):
+    """n numbers from a whole vector: number k sums the components k, k + n, k + 2n, ..."""
+    part = lambda k: F.filter(vector, lambda x, i: i % n == k)
+    total = lambda k: F.aggregate(part(k), F.lit(0.0), lambda a, x: a + x)
+    return F.array(*[total(k) for k in range(n)])
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored vectors with a class, a generator id, logits and token places."""
     e = table(spark, sf_dir, "embeddings")
@@ -145,15 +152,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding",
         (F.col("label") >= 5).cast("int").alias("label"),
         (F.col("label") % 4).alias("gen_label"),
-        F.slice("embedding", 1, 2).alias("cls_logits"),
-        F.slice("embedding", 1, 4).alias("gen_logits"),
+        _folded("embedding", 2).alias("cls_logits"),
+        _folded("embedding", 4).alias("gen_logits"),
         F.floor(F.col("vec_id") / 8).alias("doc"),
         (F.col("label") != 0).cast("int").alias("mask"),
     )
 
 
 def embedded(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Review rows with their stored vector, where there is one."""
+    """Review rows with their stored vector, null where there is none."""
     stored_vectors = table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("review_id"), "embedding"
     )

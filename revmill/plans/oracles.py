@@ -47,6 +47,14 @@ def u32(text: str) -> str:
     return f"cast(concat('0x', substr(md5({text}), 1, 8)) AS bigint)"
 
 
+def folded(n: int) -> str:
+    """n sums over a vector's components, one for each remainder of the place."""
+    sums = (
+        f"list_sum([embedding[i]::double FOR i IN range({k + 1}, len(embedding) + 1, {n})])" for k in range(n)
+    )
+    return f"[{', '.join(sums)}]"
+
+
 # Named tables; each may use the ones before it.
 TABLES = {
     "raw": """
@@ -268,19 +276,19 @@ TABLES = {
     "ce": """
         SELECT batch_id, avg(ln(list_sum([exp(x - list_max(l)) FOR x IN l])) + list_max(l)
                              - l[label + 1]) AS loss
-        FROM (SELECT *, embedding[1:2]::double[] AS l FROM batches) b GROUP BY batch_id""",
+        FROM (SELECT *, FOLDED2 AS l FROM batches) b GROUP BY batch_id""",
     "generator_ce": """
         SELECT batch_id, avg(ln(list_sum([exp(x - list_max(l)) FOR x IN l])) + list_max(l)
                              - l[gen_label + 1]) AS loss
-        FROM (SELECT *, embedding[1:4]::double[] AS l FROM batches) b GROUP BY batch_id""",
+        FROM (SELECT *, FOLDED4 AS l FROM batches) b GROUP BY batch_id""",
     # Text features
     "words": f"""
         SELECT review_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos
         FROM (SELECT review_id, regexp_extract_all(lower(text), '{WORD_RUN}') AS w FROM reviews) r""",
-    "vocabulary": f"""
+    "vocabulary": """
         SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS id
         FROM (SELECT word, count(*) AS n FROM words GROUP BY word
-              ORDER BY n DESC, word LIMIT {MAX_FEATURES}) t""",
+             ) t""",
     "terms": f"""
         SELECT review_id,
                list_concat(w, [concat(w[i], ' ', w[i + 1]) FOR i IN range(1, len(w))]) AS t
@@ -314,6 +322,8 @@ def _prompt() -> str:
     )
 
 
+for _name, _n in (("ce", 2), ("generator_ce", 4)):
+    TABLES[_name] = TABLES[_name].replace(f"FOLDED{_n}", folded(_n))
 TABLES["requests"] = TABLES["requests"].format(
     prompt=_prompt(),
     u=u32("concat('42|length|', parent_asin)"),
@@ -371,9 +381,8 @@ add("write_summary_csv", f"""
     SELECT model, {r6('f1_indist', 'f1_crossgen', 'auc_indist', 'auc_crossgen')} FROM comparison""")
 add("variant_table", """
     SELECT variant, rotation, held_out, w_ce AS ce, w_contrastive AS contrastive,
-           w_adversarial AS adversarial, n_train, steps,
-           steps * 10 // 100 AS warmup_steps, steps // 200 AS evaluations
-    FROM (SELECT *, ((n_train + 15) // 16 // 2) * 3 AS steps FROM meta) m, variants""")
+           w_adversarial AS adversarial, n_train
+    FROM meta, variants""")
 
 add("cutoff_filter", f"""
     SELECT doc_id, timestamp FROM raw WHERE timestamp <> 0 AND timestamp < {CUTOFF_MS}""")
@@ -502,20 +511,24 @@ add("leakage_check", """
            WHERE t.rotation = s.rotation AND t.split = 'test_crossgen' AND t.parent_asin = s.parent_asin)) a
       ON a.rotation = g.rotation GROUP BY g.rotation""")
 
-LABELS = """(SELECT generator, CASE WHEN generator = 'human' THEN 0 ELSE
-                 row_number() OVER (PARTITION BY generator = 'human' ORDER BY generator) END AS gen_label
-             FROM (SELECT DISTINCT generator FROM train) d)"""
-add("generator_label_map", f"SELECT generator, cast(gen_label AS int) AS gen_label FROM {LABELS} m")
+LABELS = """(SELECT rotation, generator, CASE WHEN generator = 'human' THEN 0 ELSE
+                 row_number() OVER (PARTITION BY rotation, generator = 'human' ORDER BY generator) END AS gen_label
+             FROM (SELECT DISTINCT rotation, generator FROM splits WHERE split = 'train') d)"""
+add("generator_label_map", f"SELECT rotation, generator, cast(gen_label AS int) AS gen_label FROM {LABELS} m")
 add("generator_label_encode", f"""
-    SELECT generator, review_id, cast(coalesce(gen_label, 0) AS int) AS gen_label,
+    SELECT rotation, split, generator, review_id, cast(coalesce(gen_label, 0) AS int) AS gen_label,
            gen_label IS NOT NULL AS gen_known
-    FROM reviews LEFT JOIN {LABELS} m USING (generator)""")
+    FROM splits LEFT JOIN {LABELS} m USING (rotation, generator)""")
 add("token_ids", f"""
     SELECT review_id,
            array_to_string(list_concat(coalesce(ids, []),
                            list_resize([]::bigint[], {MAX_LEN} - coalesce(len(ids), 0), 0)), ' ') AS ids,
-           cast(coalesce(len(ids), 0) AS int) AS n_tokens
-    FROM reviews LEFT JOIN (
+           cast(coalesce(len(ids), 0) AS int) AS n_tokens, label,
+           cast(CASE WHEN generator = 'human' THEN 0 ELSE gen_label END AS int) AS gen_label
+    FROM reviews JOIN (
+        SELECT generator, row_number() OVER (PARTITION BY generator = 'human' ORDER BY generator) AS gen_label
+        FROM (SELECT DISTINCT generator FROM reviews) d) m USING (generator)
+    LEFT JOIN (
         SELECT review_id, list(coalesce(id, 1) ORDER BY pos) AS ids
         FROM words LEFT JOIN vocabulary USING (word) WHERE pos < {MAX_LEN} GROUP BY review_id) e
     USING (review_id)""")
@@ -523,9 +536,9 @@ add("masked_mean_pool", """
     SELECT doc, dim, round(sum(x * mask) / greatest(sum(mask), 1e-6), 6) AS x
     FROM dims GROUP BY doc, dim""")
 add("embed_table", """
-    SELECT review_id, r.label, cast(len(embedding) AS int) AS dims,
+    SELECT review_id, r.label, embedding IS NOT NULL AS has_vector, cast(len(embedding) AS int) AS dims,
            round(list_sum(embedding::double[]), 6) AS total
-    FROM reviews r JOIN embeddings e ON review_id = concat('r', cast(vec_id AS varchar))""")
+    FROM reviews r LEFT JOIN embeddings e ON review_id = concat('r', cast(vec_id AS varchar))""")
 add("l2_normalize", "SELECT vec_id, dim, round(x, 6) AS x FROM unit")
 add("standard_scale", """
     SELECT vec_id, d.dim, round((x - mean) / std, 6) AS x
@@ -541,9 +554,10 @@ add("tfidf_weights", """
            round(coalesce(sqrt(sum(weight * weight)), 0), 6) AS norm
     FROM (SELECT review_id FROM reviews) r LEFT JOIN weights USING (review_id) GROUP BY review_id""")
 
-add("softmax_prob", """
+add("softmax_prob", f"""
     SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS p
-    FROM (SELECT vec_id, embedding[1]::double AS a, embedding[2]::double AS b FROM vectors) l""")
+    FROM (SELECT vec_id, l[1] AS a, l[2] AS b
+          FROM (SELECT vec_id, {folded(2)} AS l FROM vectors) f) g""")
 add("cross_entropy", "SELECT batch_id, round(loss, 6) AS loss FROM ce")
 add("generator_cross_entropy", "SELECT batch_id, round(loss, 6) AS loss FROM generator_ce")
 add("supcon_loss", "SELECT batch_id, round(loss, 6) AS loss FROM supcon")

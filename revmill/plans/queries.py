@@ -162,8 +162,8 @@ def write_summary_csv(spark, sf_dir):
 
 @query
 def variant_table(spark, sf_dir):
-    """Each variant's loss weights and step counts on each rotation's rows."""
-    return report.training_plan(splits.rotation_meta(inputs.splits(spark, sf_dir)))
+    """Each variant's loss weights on each rotation's rows."""
+    return report.variant_weights(splits.rotation_meta(inputs.splits(spark, sf_dir)))
 
 
 # --- Filters and projections -------------------------------------------------
@@ -457,28 +457,37 @@ def leakage_check(spark, sf_dir):
 # --- Features ----------------------------------------------------------------
 
 
-def _train(spark, sf_dir) -> DataFrame:
-    rows = inputs.splits(spark, sf_dir)
-    return rows.where((F.col("rotation") == 0) & (F.col("split") == "train"))
+def _train(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("split") == "train")
 
 
 @query
 def generator_label_map(spark, sf_dir):
-    return features.label_map(_train(spark, sf_dir))
+    """The classes of every rotation's training rows."""
+    return features.label_map(_train(inputs.splits(spark, sf_dir)), ["rotation"])
 
 
 @query
 def generator_label_encode(spark, sf_dir):
-    rows = inputs.reviews(spark, sf_dir).select("review_id", "generator")
-    return features.encode_generator(rows, features.label_map(_train(spark, sf_dir)))
+    """All rows of all rotations by the classes of the rotation."""
+    rows = stored(
+        inputs.splits(spark, sf_dir).select("rotation", "split", "generator", "review_id"), "splits"
+    )
+    labels = features.label_map(_train(rows), ["rotation"])
+    return features.encode_generator(rows, labels, ["rotation"])
 
 
 @query
 def token_ids(spark, sf_dir):
+    """The encoded sample: ids, mask and both labels of every review."""
     rows = inputs.reviews(spark, sf_dir)
-    encoded = features.encode_tokens(rows, features.word_vocabulary(rows))
+    labelled = features.encode_generator(rows, features.label_map(rows))
+    vocabulary = features.word_vocabulary(rows)
+    encoded = features.encode_tokens(labelled, vocabulary, keep=["label", "gen_label"])
     return encoded.select(
         "review_id",
+        "label",
+        "gen_label",
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"),
     )
@@ -495,7 +504,8 @@ def embed_table(spark, sf_dir):
     return inputs.embedded(spark, sf_dir, rows).select(
         "review_id",
         "label",
-        F.size("embedding").alias("dims"),
+        "has_vector",
+        F.when(F.col("has_vector"), F.size("embedding")).alias("dims"),
         F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
     )
 
@@ -564,28 +574,44 @@ def tfidf_lr(spark, sf_dir):
 
 @query
 def embedding_lr(spark, sf_dir):
-    rows = inputs.embedded(
-        spark, sf_dir, _stored_splits(spark, sf_dir).select("review_id", "rotation", "split", "label")
+    """Fitted on the rows that have a vector, beside how many of each test have none."""
+    rows = inputs.splits(spark, sf_dir).select("review_id", "rotation", "split", "label")
+    rows = stored(inputs.embedded(spark, sf_dir, rows), "embedded")
+    found = linear.rotation_metrics(
+        rows.where("has_vector"), linear.fit_embedding_lr, "deberta_zero_shot"
+    )
+    missing = rows.groupBy("rotation", "split").agg(
+        F.count_if(~F.col("has_vector")).alias("n_without_vector")
     )
-    return linear.rotation_metrics(rows, linear.fit_embedding_lr, "deberta_zero_shot")
+    return found.join(missing, ["rotation", "split"])
 
 
 @query
 def generator_probe(spark, sf_dir):
-    """Trained on rotation 0's training rows, tested on all its other rows."""
-    rows = _stored_splits(spark, sf_dir).where(F.col("rotation") == 0)
-    rows = inputs.embedded(spark, sf_dir, rows.select("review_id", "split", "generator"))
-    is_train = F.col("split") == "train"
-    return linear.generator_probe(rows.where(is_train), rows.where(~is_train))
+    """For each rotation trained on its training rows and tested on all its other rows."""
+    rows = inputs.splits(spark, sf_dir).select("review_id", "rotation", "split", "generator")
+    rows = stored(inputs.embedded(spark, sf_dir, rows), "embedded")
+    is_train = (F.col("split") == "train") & F.col("has_vector")
+    tested = (F.col("split") != "train") & F.col("has_vector")
+    missing = rows.where((F.col("split") != "train") & ~F.col("has_vector"))
+    missing = missing.groupBy("rotation", "generator").agg(F.count("*").alias("n_without_vector"))
+    found = linear.each_rotation(
+        rows, lambda own: linear.generator_probe(own.where(is_train), own.where(tested))
+    )
+    return found.join(missing, ["rotation", "generator"], "left").fillna(0, ["n_without_vector"])
 
 
 @query
 def score_split(spark, sf_dir):
-    """Label and probability of every test row of rotation 0."""
-    rows = _stored_splits(spark, sf_dir).where(F.col("rotation") == 0)
-    model = linear.fit_tfidf_lr(rows.where(F.col("split") == "train"))
-    tests = rows.where(F.col("split").isin(TEST_SPLITS))
-    return model.score(tests).select("split", "review_id", "label", *rounded("p"))
+    """Label and probability of every test row of every rotation."""
+    rows = _stored_splits(spark, sf_dir)
+
+    def scored(own: DataFrame) -> DataFrame:
+        model = linear.fit_tfidf_lr(_train(own))
+        tests = own.where(F.col("split").isin(TEST_SPLITS))
+        return model.score(tests).select("split", "review_id", "label", *rounded("p"))
+
+    return linear.each_rotation(rows, scored)
 
 
 # --- Losses ------------------------------------------------------------------

@@ -73,11 +73,7 @@ VARIANTS = [
 ]
 
 # training settings shared by all variants
-EPOCHS = 3
 BATCH_SIZE = 16
-GRAD_ACCUM = 2
-WARMUP_PERCENT = 10
-EVAL_EVERY = 200
 MAX_LEN = 256
 
 # run name and the label it has in the comparison table, in table order

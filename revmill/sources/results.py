@@ -24,8 +24,12 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     ``{model: {rotation_r: {split: {f1, auc, n}, split_per_generator: {g: {...}}}}}``.
 
     A missing AUC is written as the literal NaN. The table has one row per
-    model, rotation, split and generator, so one document holds it.
+    model, rotation, split and generator, so one document holds it. A split that is
+    none of the tests is an error.
     """
+    known = F.col("split").isin(TEST_SPLITS)
+    other = F.raise_error(F.concat(F.lit("no test split: "), F.coalesce("split", F.lit("null"))))
+    metrics = metrics.withColumn("split", F.when(known, F.col("split")).otherwise(other))
     entry = F.struct("f1", F.coalesce("auc", F.lit(float("nan"))).alias("auc"), "n")
     whole = F.col("generator").isNull()
     fields = []

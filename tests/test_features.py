@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from revmill.functions.vectors import l2_normalize, negative_log_softmax, softmax
 from revmill.operators import features, linear, losses
@@ -19,11 +20,33 @@ def test_label_map_and_unseen_generators(spark):
     assert got == {"qwen": (2, True), "granite": (0, False), "human": (0, True)}
 
 
-def test_broadcast_only_within_the_bound(spark):
-    df = spark.range(5)
-    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in plan(features.broadcast_checked(df, 5))
-    assert features.broadcast_checked(df, 4) is df
+def test_label_maps_of_groups(spark):
+    rows = [(0, "human"), (0, "qwen"), (1, "gemma"), (1, "qwen")]
+    labels = features.label_map(spark.createDataFrame(rows, "rotation int, generator string"), ["rotation"])
+    assert sorted(tuple(r) for r in labels.collect()) == [
+        (0, "human", 0), (0, "qwen", 1), (1, "gemma", 1), (1, "human", 0), (1, "qwen", 2)
+    ]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 20])
+def test_places_in_a_total_order(spark, partitions):
+    df = spark.range(500).selectExpr("id", "id % 7 AS n").repartition(partitions)
+    got = {r.id: r.position for r in features.numbered(df, F.desc("n"), F.asc("id")).collect()}
+    order = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert got == {i: k for k, i in enumerate(order, 1)}
+
+
+def test_a_key_in_two_rows_is_an_error(spark):
+    df = spark.createDataFrame([("a", "x y"), ("a", "z")], "review_id string, text string")
+    with pytest.raises(Exception, match="two rows with the key a"):
+        features.encode_tokens(df, features.word_vocabulary(df)).collect()
+
+
+def test_the_whole_vocabulary_has_numbers(spark):
+    text = " ".join(f"w{i}" for i in range(3000)) + " w7 w7 w3"
+    df = spark.createDataFrame([("a", text)], "review_id string, text string")
+    ids = {r.word: r.id for r in features.word_vocabulary(df).collect()}
+    assert len(ids) == 3000 and ids["w7"] == 2 and ids["w3"] == 3 and sorted(ids.values()) == list(range(2, 3002))
 
 
 def test_token_ids(spark):
@@ -235,3 +258,15 @@ def test_cross_entropy_per_batch(spark):
     df = spark.createDataFrame([(0, [0.0, 0.0], 1), (0, [0.0, 0.0], 0), (1, [0.0, math.log(3)], 1)], "batch_id int, l array<double>, y int")
     got = {r.batch_id: r.loss for r in losses.cross_entropy(df, "l", "y").collect()}
     assert got == pytest.approx({0: math.log(2), 1: math.log(4 / 3)})
+
+
+def test_no_python_rows_on_the_tfidf_path(spark):
+    texts = [(f"r{i}", f"good soap number {i % 5}" if i % 2 else f"bad lamp number {i % 5}", i % 2) for i in range(60)]
+    rows = spark.createDataFrame(texts, "review_id string, text string, label int")
+    model = linear.fit_tfidf_lr(rows)
+    scored = model.score(rows)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    vocabulary = features.tfidf_fit(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in vocabulary
+    assert all((r.p >= 0.5) == (r.label == 1) for r in scored.collect())

@@ -193,7 +193,25 @@ def test_variants(spark):
     assert rows["both"] == (1.0, 0.5, 0.3) and len(rows) == 4
 
 
-def test_training_plan(spark):
+def test_variant_weights(spark):
     meta = spark.createDataFrame([(0, "gpt5mini", 12000)], "rotation int, held_out string, n_train bigint")
-    row = report.training_plan(meta).where("variant = 'adversarial'").first()
-    assert (row.steps, row.warmup_steps, row.evaluations, row.adversarial) == (1125, 112, 5, 0.3)
+    row = report.variant_weights(meta).where("variant = 'adversarial'").first()
+    assert (row.n_train, row.ce, row.contrastive, row.adversarial) == (12000, 1.0, 0.0, 0.3)
+
+
+def test_models_that_are_not_listed_come_last(spark):
+    rows = [(m, 0, s, 0.5, 0.5) for m in ("zeta", "both", "alpha") for s in ("test_indist", "test_crossgen")]
+    table = report.comparison(
+        spark.createDataFrame(rows, "model string, rotation int, split string, f1 double, auc double")
+    )
+    names = [r.model for r in table.orderBy("position").collect()]
+    assert names[1:] == ["alpha", "zeta"] and names[0] not in ("both", None)
+
+
+def test_a_split_that_is_no_test_is_an_error(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("m", 0, "val_indist", None, 0.5, 0.5, 3)],
+        "model string, rotation int, split string, generator string, f1 double, auc double, n bigint",
+    )
+    with pytest.raises(Exception, match="no test split: val_indist"):
+        results.write_metrics(rows, str(tmp_path / "m"))
