@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from revmill.functions.order import order_key
 from revmill.functions.text import word_count
 from revmill.operators.filters import as_human, before_cutoff, word_band
-from revmill.operators.ranking import linear_bucket, nth_key, ranked, slices
+from revmill.operators.ranking import (
+    CUT_LEVELS,
+    INTEGER_LEVELS,
+    integer_key,
+    nth_key,
+    ranked,
+    slices,
+)
 from revmill.schema import POOL_SIZE, SEED
 from revmill.session import stored
 
@@ -25,40 +32,43 @@ def quota_table(spark, quota: Mapping[str, int]) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, category string, quota bigint")
 
 
+def spread(rows: DataFrame, n: int, by: str = "category") -> DataFrame:
+    """n spread over the categories that occur, in name order, as a quota table."""
+    names = rows.agg(F.array_sort(F.collect_set(by)).alias("names"))
+    each = names.select(F.size("names").alias("k"), F.posexplode("names").alias("pos", by))
+    extra = F.when(F.col("pos") < F.lit(n) % F.col("k"), 1).otherwise(0)
+    return each.select("pos", by, (F.expr(f"{n} div k") + extra).alias("quota"))
+
+
 def take_quota(
     df: DataFrame,
-    quota: Mapping[str, int],
+    quota: Mapping[str, int] | DataFrame,
     by: str = "category",
     key: str = "review_id",
     order: str | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """The first ``quota[g]`` rows of each listed category.
+    """The first ``quota`` rows of each listed category (a mapping or a quota table).
 
     First means smallest in the integer column ``order`` if one is named (such
     as a position in the source file), else first in the seeded hash order.
     Rows are kept by comparing with one cut key per category, so neither a
     large category nor a large quota gathers rows in a task. Copies of the last
-    key all stay; ``dedup`` is what removes them.
+    key all stay; ``dedup`` is what removes them. The filters before this step run
+    once: the rows that pass them are stored.
     """
-    place = order_key(seed, key) if order is None else F.col(order)
-    kept = df.where(F.col(by).isin(list(quota))).withColumn("_order", place)
-    # Finding the cuts reads the keys twice, so they are stored: the filters
-    # before this step run once for them and once for the rows.
-    keys = stored(kept.select(by, "_order"), "quota-keys")
-    bucket = None
-    if order is not None:
-        lo, hi = keys.agg(F.min("_order"), F.max("_order")).first()
-        bucket = linear_bucket("_order", lo or 0, hi or 0)
-    limits = F.create_map(*[F.lit(x) for c, q in quota.items() for x in (c, q)])
+    if isinstance(quota, Mapping):
+        quota = quota_table(df.sparkSession, quota).withColumnRenamed("category", by)
+    place = order_key(seed, key) if order is None else integer_key(order)
+    listed = df.join(quota.select(by), by, "left_semi")
+    kept = stored(listed.withColumn("_order", place).select(*df.columns, "_order"), "quota")
 
     def ends(sizes: DataFrame) -> DataFrame:
-        return sizes.withColumn("kept", F.least("n", F.element_at(limits, F.col(by))))
+        return sizes.join(quota.select(by, "quota"), by).withColumn("kept", F.least("n", "quota"))
 
-    taken = slices(
-        keys, [by], "_order", ["kept"], ends, "_slice", bucket, keep_copies=True, rows=kept
-    )
-    return taken.drop("_order", "_slice")
+    digits = CUT_LEVELS if order is None else INTEGER_LEVELS
+    taken = slices(kept, [by], "_order", ["kept"], ends, "_slice", keep_copies=True, digits=digits)
+    return taken.select(*df.columns)
 
 
 def take_first(
@@ -119,19 +129,21 @@ def filter_pool(df: DataFrame) -> DataFrame:
 
 def build_human_pool(
     df: DataFrame,
-    categories: Sequence[str],
+    categories: Sequence[str] | DataFrame,
     n: int = POOL_SIZE,
     seed: int = SEED,
     order: str | None = None,
 ) -> DataFrame:
     """The human pool from raw reviews: filter, take each category's quota, keep
-    one row per review, shuffle.
+    one row per review, shuffle. The quotas are ``n`` spread over a list of
+    categories, or a quota table.
 
     As duplicates go after the quota is filled, the pool may be below n.
     """
     place = [order] if order else []
     rows = as_human(filter_pool(df), *place)
-    taken = take_quota(rows, quotas(categories, n), order=order, seed=seed)
+    quota = categories if isinstance(categories, DataFrame) else quotas(categories, n)
+    taken = take_quota(rows, quota, order=order, seed=seed)
     return shuffle(dedup(taken, "review_id", order).drop(*place), seed=seed)
 
 

@@ -16,12 +16,15 @@ from pyspark.sql.window import Window
 
 # Hexadecimal digits of the order key. Ranking sorts every bucket, so it has more of
 # them (65,536). Cuts sort only a few buckets, and fewer buckets (4,096) let each
-# task combine its rows to few counts before the shuffle.
+# task combine its rows to few counts before the shuffle; the bucket of a cut is
+# divided once more, into 4,096 again.
 RANK_DIGITS = 4
-CUT_DIGITS = 3
+CUT_LEVELS = (3, 6)
+# Digits of an integer key may all agree but the last: it is cut down to single values.
+INTEGER_LEVELS = (4, 8, 12, 16)
 
 
-def _bucket(key: str, digits: int = CUT_DIGITS) -> Column:
+def _bucket(key: str, digits: int = CUT_LEVELS[0]) -> Column:
     return F.substring(key, 1, digits)
 
 
@@ -56,28 +59,15 @@ def ranked(df: DataFrame, key: str, name: str = "position") -> DataFrame:
 
 
 def nth_key(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The n-th smallest key as a table of one row, or of none if there are fewer.
-
-    Only the keys of the bucket that holds it are sorted.
-    """
-    # An unpartitioned window over at most 4,096 rows.
-    last = _running("n", Window.orderBy("bucket"))
-    edge = (
-        bucket_counts(df, [], key)
-        .select("bucket", last.alias("last"), (F.lit(n) - last + F.col("n")).alias("need"))
-        .where((F.col("last") >= n) & (F.col("need") > 0))
+    """The n-th smallest key as a table of one row, or of none if there are fewer."""
+    one = df.select(F.lit(0).alias("_all"), F.col(key).alias("key"))
+    cut = df.sparkSession.range(1).select(
+        F.lit(0).alias("_all"), F.lit("n").alias("cut"), F.lit(n).cast("bigint").alias("upto")
     )
-    # The edge is one row.
-    near = (
-        df.select(F.col(key).alias("key"), _bucket(key).alias("bucket"))
-        .join(F.broadcast(edge), "bucket")
-        .groupBy("bucket", "need", "key")
-        .agg(F.count("*").alias("copies"))
+    counts = bucket_counts(one, ["_all"], "key")
+    return cut_keys(one, ["_all"], "key", cut, counts, keep_copies=True).select(
+        F.col("cut_key").alias("key")
     )
-    seen = _running("copies", Window.partitionBy("bucket").orderBy("key"))
-    return near.withColumn("seen", seen).where("seen >= need").groupBy("bucket").agg(
-        F.min("key").alias("key")
-    ).select("key")
 
 
 def cut_keys(
@@ -86,30 +76,43 @@ def cut_keys(
     key: str,
     bounds: DataFrame,
     counts: DataFrame,
-    bucket: Column | None = None,
     keep_copies: bool = False,
+    digits: Sequence[int] = CUT_LEVELS,
 ) -> DataFrame:
     """The order key at each cut position.
 
     ``bounds`` has the group columns, ``cut`` and ``upto``, the 1-based position
-    of the last row before the cut. Copies of one key count as often as they
-    occur. A cut that falls between copies is an error, unless ``keep_copies``
-    says that all of them go before it.
+    of the last row before the cut; ``counts`` the rows per group and first
+    ``digits[0]`` digits. The bucket that holds a cut is cut by more digits, level by
+    level, so that the keys which are sorted in the end are few however the keys lie.
+    Copies of one key count as often as they occur. A cut that falls between copies
+    is an error, unless ``keep_copies`` says that all of them go before it.
     """
-    across = Window.partitionBy(*by).orderBy("bucket")
-    spans = counts.select(
-        *by, "bucket", "n", _running("n", across).alias("last")
-    )
     # One row per cut, and the caller lists the cuts: small by construction.
-    edges = (
-        spans.join(F.broadcast(bounds), list(by))
-        .where((F.col("upto") <= F.col("last")) & (F.col("upto") > F.col("last") - F.col("n")))
-        .select(*by, "cut", "bucket", (F.col("upto") - F.col("last") + F.col("n")).alias("need"))
-    )
-    own = _bucket(key) if bucket is None else bucket
+    edges = bounds.select(*by, "cut", F.lit("").alias("near"), F.col("upto").alias("need"))
+    known = 0
+    for more in digits:
+        if known:
+            places = edges.select(*by, "near").distinct()
+            counts = (
+                df.select(*by, _bucket(key, known).alias("near"), _bucket(key, more).alias("bucket"))
+                .join(F.broadcast(places), [*by, "near"])
+                .groupBy(*by, "near", "bucket")
+                .agg(F.count("*").alias("n"))
+            )
+        else:
+            counts = counts.select(*by, F.lit("").alias("near"), "bucket", "n")
+        across = Window.partitionBy(*by, "near").orderBy("bucket")
+        spans = counts.withColumn("last", _running("n", across))
+        edges = (
+            spans.join(F.broadcast(edges), [*by, "near"])
+            .where((F.col("need") <= F.col("last")) & (F.col("need") > F.col("last") - F.col("n")))
+            .select(*by, "cut", F.col("bucket").alias("near"), (F.col("need") - F.col("last") + F.col("n")).alias("need"))
+        )
+        known = more
     near = (
-        df.select(*by, F.col(key).alias("key"), own.alias("bucket"))
-        .join(F.broadcast(edges), [*by, "bucket"])
+        df.select(*by, F.col(key).alias("key"), _bucket(key, known).alias("near"))
+        .join(F.broadcast(edges), [*by, "near"])
         .groupBy(*by, "cut", "need", "key")
         .agg(F.count("*").alias("copies"))
     )
@@ -130,9 +133,9 @@ def slices(
     names: Sequence[str],
     bounds: Callable[[DataFrame], DataFrame],
     name: str = "split",
-    bucket: Column | None = None,
     keep_copies: bool = False,
     rows: DataFrame | None = None,
+    digits: Sequence[int] = CUT_LEVELS,
 ) -> DataFrame:
     """Label the rows of each group by consecutive slices of its order.
 
@@ -142,19 +145,20 @@ def slices(
     small and known to the caller (rotations, generators, listed categories),
     as their cut keys are broadcast.
 
-    ``df`` is read three times, twice with only the group columns and the key.
+    ``df`` is read once for each level of ``digits`` and once more for the keys at the
+    cuts, with only the group columns and the key, and then for its rows.
     With ``rows`` the third reading is of that table: its rows are labelled by the
     order of the keys in ``df``.
     """
     by = list(by)
-    counts = bucket_counts(df, by, key, bucket)
+    counts = bucket_counts(df, by, key, _bucket(key, digits[0]))
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("n"))
     ends = bounds(sizes).select(*by, *names)
     cuts = ends.select(
         *by,
         F.inline(F.array(*[F.struct(F.lit(n).alias("cut"), F.col(n).alias("upto")) for n in names])),
     )
-    found = cut_keys(df, by, key, cuts, counts, bucket, keep_copies)
+    found = cut_keys(df, by, key, cuts, counts, keep_copies, digits)
     # Cut columns by name; a slice that ends at position 0 has no cut key.
     wide = found.groupBy(*by).agg(
         *[F.max(F.when(F.col("cut") == n, F.col("cut_key"))).alias(f"_end_{n}") for n in names]
@@ -169,6 +173,7 @@ def slices(
     )
 
 
-def linear_bucket(column: str, lo: int, hi: int) -> Column:
-    """Bucket number of an integer order column whose values span lo..hi."""
-    return F.floor((F.col(column) - lo) * F.lit(4096.0) / float(max(hi - lo + 1, 1)))
+def integer_key(column: str) -> Column:
+    """An integer as 16 hexadecimal digits in the same order, negative ones first."""
+    least = F.lit(-(1 << 63)).cast("bigint")
+    return F.lpad(F.hex(F.col(column).cast("bigint").bitwiseXOR(least)), 16, "0")

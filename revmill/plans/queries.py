@@ -239,33 +239,23 @@ def feature_columns(spark, sf_dir):
 # --- The human pool ----------------------------------------------------------
 
 
-def _categories(spark, sf_dir) -> list[str]:
-    """The categories of the tables in name order; a list as in a configuration."""
-    found = inputs.reviews(spark, sf_dir).select("category").distinct().limit(1001).collect()
-    if len(found) > 1000:
-        raise ValueError("more than 1000 categories")
-    return sorted(row["category"] for row in found)
-
-
-def _quota(spark, sf_dir) -> dict[str, int]:
+def _quota(spark, sf_dir) -> DataFrame:
     """Quotas for a pool of a quarter of the documents."""
-    n = inputs.table(spark, sf_dir, "documents").count() // 4 + 3
-    return pool.quotas(_categories(spark, sf_dir), n)
+    rows = inputs.reviews(spark, sf_dir).select("category")
+    return pool.spread(rows, rows.count() // 4 + 3)
 
 
 @query
 def category_quota(spark, sf_dir):
     """Each category's quota beside the pool rows it has."""
-    quota = pool.quota_table(spark, _quota(spark, sf_dir))
     rows = inputs.human(spark, sf_dir).groupBy("category").agg(F.count("*").alias("available"))
-    # One quota per listed category.
-    return rows.join(F.broadcast(quota), "category").select("pos", "category", "quota", "available")
+    return rows.join(_quota(spark, sf_dir), "category").select("pos", "category", "quota", "available")
 
 
 @query
 def quota_take(spark, sf_dir):
-    rows = inputs.human(spark, sf_dir)
-    return pool.take_quota(rows, _quota(spark, sf_dir)).select("category", "review_id")
+    rows = inputs.human(spark, sf_dir).select("category", "review_id")
+    return pool.take_quota(rows, _quota(spark, sf_dir))
 
 
 @query
@@ -283,9 +273,8 @@ def seeded_shuffle(spark, sf_dir):
 @query
 def human_pool(spark, sf_dir):
     """Filters, quota in document order, dedup, shuffle."""
-    quota = _quota(spark, sf_dir)
     built = pool.build_human_pool(
-        inputs.raw_reviews(spark, sf_dir), list(quota), sum(quota.values()), order="doc_id"
+        inputs.raw_reviews(spark, sf_dir), _quota(spark, sf_dir), order="doc_id"
     )
     return built.withColumn("text_md5", F.md5("text")).drop("text")
 

@@ -119,3 +119,24 @@ def test_profile(spark):
     assert [tuple(r) for r in pool.value_counts(df, "category").collect()] == [("b", 2), ("a", 1)]
     assert tuple(pool.word_stats(df).first()) == (1, 3, 2.0)
     assert [r.text for r in pool.head(df, 2, "text").collect()] == ["x", "x y"]
+
+
+def test_positions_with_an_outlier_and_negative_ones(spark):
+    """Clustered positions are told apart, however far one of them lies."""
+    places = [*range(-50, 4000), 2**50, -(2**40)]
+    rows = [(f"r{i}", "hot", p) for i, p in enumerate(places)]
+    df = spark.createDataFrame(rows, "review_id string, category string, ord bigint").repartition(3)
+    got = {r.ord for r in pool.take_quota(df, {"hot": 1234}, order="ord").collect()}
+    assert got == set(sorted(places)[:1234])
+    # What is sorted in the end is one value: all its digits have been counted before.
+    from revmill.operators.ranking import INTEGER_LEVELS, integer_key
+
+    assert INTEGER_LEVELS[-1] == 16
+    keys = [r[0] for r in df.orderBy("ord").select(integer_key("ord")).collect()]
+    assert keys == sorted(keys) and all(len(k) == 16 for k in keys)
+
+
+def test_quota_table_of_the_categories_that_occur(spark):
+    df = spark.createDataFrame([(c,) for c in "ddbbca"], "category string")
+    got = sorted(tuple(r) for r in pool.spread(df, 10).collect())
+    assert got == [(0, "a", 3), (1, "b", 3), (2, "c", 2), (3, "d", 2)]
