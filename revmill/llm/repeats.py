@@ -38,7 +38,7 @@ LENGTH, GRAM = 100, 24
 #: Different runs of a token from which on its windows are counted one by one.
 MANY = 1_000
 #: Bytes of text that one range of the sort answers for, and of asked hashes in a task.
-RANGE_BYTES, ANSWER_BYTES = 24 << 20, 16 << 20
+RANGE_BYTES, ANSWER_BYTES = 12 << 20, 8 << 20
 #: Tokens of a block that take part in choosing splitters.
 SAMPLED = 64
 #: Bytes of text whose windows are looked at together.
