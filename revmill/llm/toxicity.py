@@ -123,13 +123,20 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return plain
 
 
-def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
-    """Words whose document rate is far higher in toxic texts, near that of the most telling one."""
+def _words(windows: list[bytes]) -> set[bytes]:
+    return {x for w in windows for x in _LETTERS.findall(w)}
+
+
+def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+    """Words whose document rate is far higher in toxic texts, near that of the most telling one.
+
+    Only words of toxic texts are counted, so that what is held follows those.
+    """
     ours, theirs = Counter(), Counter()
-    for words in toxic:
-        ours.update(words)
-    for words in ordinary:
-        theirs.update(words)
+    for windows in toxic:
+        ours.update(_words(windows))
+    for windows in ordinary:
+        theirs.update(_words(windows) & ours.keys())
     a, b = max(len(toxic), 1), max(len(ordinary), 1)
     gain = {w: n / a - theirs[w] / b for w, n in ours.items() if n > 1 and n / a >= RATIO * theirs[w] / b}
     best = max(gain.values(), default=0.0)
@@ -159,21 +166,18 @@ def fit(rows: Iterable[tuple[str | None, int]], window: int = WINDOW_WORDS) -> D
         return Distance(b"", b"", [0.0] * STEPS, window)
     texts, label = [t for t, _ in rows], np.array([y for _, y in rows])
     windows = [w for _, _, joined, offsets in W.blocks(texts) for w in _windows(joined, offsets, window)]
-    words = [{x for w in doc for x in _LETTERS.findall(w)} for doc in windows]
-    telling = _telling([w for w, y in zip(words, label, strict=True) if y], [w for w, y in zip(words, label, strict=True) if not y])
-    reduced = (
-        [x for w in doc for x in _LETTERS.findall(w) if x in telling]
-        for doc, y, own in zip(windows, label, words, strict=True)
-        if y and own & telling
-    )
-    toxic = [b" " + b" ".join(found) + b" " for found in reduced]
-    ordinary = [w for doc, y in zip(windows, label, strict=True) if not y for w in doc]
+    marked, plain = ([doc for doc, y in zip(windows, label, strict=True) if bool(y) == kind] for kind in (True, False))
+    telling = _telling(marked, plain)
+    reduced = ([x for w in doc for x in _LETTERS.findall(w) if x in telling] for doc in marked)
+    toxic = [b" " + b" ".join(found) + b" " for found in reduced if found]
+    ordinary = [w for doc in plain for w in doc]
     if len(ordinary) > FIT_WINDOWS:
         ordinary = [ordinary[i] for i in np.random.default_rng(0).choice(len(ordinary), FIT_WINDOWS, replace=False)]
     rate = [float((label.sum() + 0.5) / (len(label) + 1.0))] * STEPS
     if not toxic or not ordinary:
         return Distance(b"", b"", rate, window)
     model = Distance(_trained(ordinary, ORDINARY_BYTES), _trained(toxic, TOXIC_BYTES), rate, window)
+    del windows, marked, plain, ordinary
     model.scores = _steps(model.distances(texts), label)
     return model
 
