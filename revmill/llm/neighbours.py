@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revmill.llm.tables import named, read, stored
+from revmill.llm.tables import named, read, shuffled, stored
 
 NEAREST = 20
 QUERY_EVERY = 20
@@ -115,9 +115,20 @@ class MultiIndex:
         half = self.first.shape[1]
         return _nearest(x[:, :half], self.first), _nearest(x[:, half:], self.second)
 
-    def blocks(self) -> np.ndarray:
-        """Blocks that each first-half centroid's entries are split into."""
-        return np.maximum(1, -(-self.counts.sum(axis=1) // BLOCK))
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(group of each first-half centroid, parts of each group).
+
+        Neighbouring centroids share a group of up to BLOCK entries; a centroid with
+        more is a group of its own, in several parts.
+        """
+        group, parts, held = [], [], BLOCK + 1
+        for n in self.counts.sum(axis=1).tolist():
+            if held + n > BLOCK:
+                parts.append(max(1, -(-n // BLOCK)))
+                held = 0
+            group.append(len(parts) - 1)
+            held += n
+        return np.array(group), np.array(parts)
 
     def walk(self, query: np.ndarray, enough: int) -> dict[int, list[int]]:
         """Non-empty cells by first centroid, in order of summed inner product until they hold `enough`."""
@@ -203,30 +214,30 @@ def search(
     counted = MultiIndex(index.first, index.second)
     for r in placed.groupBy("i", "j").count().collect():  # at most MOST * MOST rows
         counted.counts[r["i"], r["j"]] = r["count"]
-    ready, splits = spark.sparkContext.broadcast(counted), counted.blocks()
-    split = F.array(*[F.lit(int(n)) for n in splits])
-    part = F.pmod(F.xxhash64("vector"), F.get(split, F.col("i"))).cast("int")
-    held = placed.withColumn("part", part)
+    ready = spark.sparkContext.broadcast(counted)
+    group, parts = (F.array(*[F.lit(int(n)) for n in x]) for x in counted.blocks())
+    held = placed.select(
+        "vector", "ids", (F.col("i") * MOST + F.col("j")).alias("cell"), F.get(group, F.col("i")).alias("group")
+    )
+    held = held.withColumn("part", F.pmod(F.xxhash64("vector"), F.get(parts, F.col("group"))).cast("int"))
 
     queries = rows.where(F.col("id") % every == 0).select("id", "vector").distinct()
 
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ready.value
-        splits = index.blocks()
+        group, parts = index.blocks()
         for batch in batches:
-            vectors, i, part, js = [], [], [], []
             for v in batch.column(0).to_pylist():
+                cells: dict[int, list[int]] = {}
                 for first, second in index.walk(np.frombuffer(v), enough).items():
-                    for k in range(int(splits[first])):
-                        vectors.append(v)
-                        i.append(first)
-                        part.append(k)
-                        js.append(second)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(vectors, pa.binary()), pa.array(i, pa.int32()), pa.array(part, pa.int32())]
-                + [pa.array(js, pa.list_(pa.int32()))],
-                ["query", "i", "part", "js"],
-            )
+                    cells.setdefault(int(group[first]), []).extend(first * MOST + j for j in second)
+                rows = [(g, k, c) for g, c in cells.items() for k in range(int(parts[g]))]
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v] * len(rows), pa.binary()), pa.array(columns[0], pa.int32())]
+                    + [pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int32()))],
+                    ["query", "group", "part", "cells"],
+                )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,18 +246,20 @@ def search(
             yield pa.RecordBatch.from_arrays([batch.column(0), data], ["query_id", "query"])
 
     asked = stored(queries.mapInArrow(packed, "query_id long, query binary"), "queries")
-    asking = asked.select("query").distinct().mapInArrow(walks, "query binary, i int, part int, js array<int>")
+    # A number of its own, as walks take long and their rows are few.
+    different = asked.select("query").distinct().repartition(shuffled(vectors), "query")
+    asking = different.mapInArrow(walks, "query binary, group int, part int, cells array<int>")
 
     def score(key: tuple, ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        j, x, ids = ours["j"].to_numpy(), _matrix(ours["vector"]), ours["ids"].to_pylist()
+        cell, x, ids = ours["cell"].to_numpy(), _matrix(ours["vector"]), ours["ids"].to_pylist()
         made: dict[str, list] = {"query": [], "vec_id": [], "score": []}
-        for batch in theirs.to_batches(QUERIES) if len(j) else ():
+        for batch in theirs.to_batches(QUERIES) if len(cell) else ():
             asked = _matrix(batch["query"])
             rough = asked @ x.T
-            for q, data, js, row in zip(asked, batch["query"].to_pylist(), batch["js"].to_pylist(), rough, strict=True):
-                wanted = np.zeros(MOST, dtype=bool)
-                wanted[js] = True
-                row[~wanted[j]] = -np.inf
+            for q, data, cells, row in zip(asked, batch["query"].to_pylist(), batch["cells"], rough, strict=True):
+                wanted = np.zeros(MOST * MOST, dtype=bool)
+                wanted[cells.values.to_numpy()] = True
+                row[~wanted[cell]] = -np.inf
                 found, best = _best(x, q, row, ids, nearest + 1)
                 made["query"] += [data] * len(found)
                 made["vec_id"] += found.tolist()
@@ -254,7 +267,7 @@ def search(
         types = {"query": pa.binary(), "vec_id": pa.int64(), "score": pa.float64()}
         return pa.table({c: pa.array(v, types[c]) for c, v in made.items()})
 
-    met = held.groupBy("i", "part").cogroup(asking.groupBy("i", "part"))
+    met = held.groupBy("group", "part").cogroup(asking.groupBy("group", "part"))
     partial = met.applyInArrow(score, "query binary, vec_id long, score double")
     best = partial.groupBy("query").agg(
         F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("away"), "vec_id"))), 1, nearest + 1).alias("best")
