@@ -217,17 +217,22 @@ def tfidf_apply(df: DataFrame, vocabulary: DataFrame, key: str = "review_id") ->
     weight = (1 + ln tf) * idf, scaled to unit length per document; terms
     outside the vocabulary are dropped, and a document without any known term
     keeps one row with a null term and weight 0. Texts are placed by key once;
-    the counts, the norm and the zero rows all use that placement.
+    the counts, the norm and the zero rows all use that placement. A key that stands
+    in two rows is an error.
     """
     placed = df.select(key, "text").repartition(key)
-    long = with_terms(placed, key).select(key, F.explode_outer("t").alias("term"))
+    long = with_terms(placed, key).select(key, F.posexplode_outer("t").alias("pos", "term"))
     # The vocabulary is limited to its max_features rows.
     known = long.join(F.broadcast(vocabulary.select("term", "idf")), "term", "left").withColumn(
         "term", F.when(F.col("idf").isNotNull(), F.col("term"))
     )
-    counted = known.groupBy(key, "term", "idf").agg(F.count("*").alias("tf"))
+    counted = known.groupBy(key, "term", "idf").agg(
+        F.count("*").alias("tf"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("texts")
+    )
     raw = F.coalesce((F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf"), F.lit(0.0))
     document = Window.partitionBy(key)
+    twice = F.raise_error(F.concat(F.lit("two rows with the key "), F.col(key).cast("string")))
+    raw = F.when(F.sum("texts").over(document) == 1, raw).otherwise(twice)
     return (
         counted.withColumn("raw", raw)
         .withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(document)))

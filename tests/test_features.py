@@ -40,6 +40,8 @@ def test_a_key_in_two_rows_is_an_error(spark):
     df = spark.createDataFrame([("a", "x y"), ("a", "z")], "review_id string, text string")
     with pytest.raises(Exception, match="two rows with the key a"):
         features.encode_tokens(df, features.word_vocabulary(df)).collect()
+    with pytest.raises(Exception, match="two rows with the key a"):
+        features.tfidf_apply(df, features.tfidf_fit(df, min_df=1)).collect()
 
 
 def test_the_whole_vocabulary_has_numbers(spark):
@@ -270,3 +272,19 @@ def test_no_python_rows_on_the_tfidf_path(spark):
     vocabulary = features.tfidf_fit(rows)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in vocabulary
     assert all((r.p >= 0.5) == (r.label == 1) for r in scored.collect())
+
+
+def test_the_tfidf_fit_is_the_optimum_of_all_its_rows(spark):
+    """The gradient of the penalised loss over all training rows vanishes at the fit."""
+    words = "soap lamp book blue works broke love again price daily gift small".split()
+    rng = np.random.default_rng(5)
+    texts = [(" ".join(rng.choice(words, 12)) + (" fine" if i % 3 else " bad"), int(i % 3 > 0) ^ int(i % 10 == 0)) for i in range(300)]
+    train = spark.createDataFrame(texts, "text string, label int")
+    model = linear.fit_tfidf_lr(train)
+    rows = model.features(train.withColumn("id", F.monotonically_increasing_id())).collect()
+    x = np.array([r.features.toArray() for r in rows])
+    y = np.array([r.label for r in rows], dtype=float)
+    weights = model.classifier.coefficients.toArray()
+    p = 1 / (1 + np.exp(-(x @ weights + model.classifier.intercept)))
+    assert len(rows) == 300 and np.allclose(np.linalg.norm(x, axis=1), 1)
+    assert np.abs(x.T @ (p - y) + weights).max() / 300 < 1e-5 and abs((p - y).mean()) < 1e-5
