@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from revmill.llm.tables import named, read
 
@@ -54,19 +55,25 @@ class Layout:
     roles: dict[str, str] = field(default_factory=dict)
 
 
+def _one_turn_each(name: str, user: tuple[str, ...], assistant: tuple[str, ...], more: tuple[str, ...] = ()) -> Layout:
+    """A system turn if there is one, then the user's paths (`more` of them optional), then the assistant's."""
+    fields = (("system", ("system",)), ("user", user + more), ("assistant", assistant))
+    return Layout(name, user + assistant, fields=fields)
+
+
 #: The first layout whose paths a record has is its layout.
 LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), "messages", "role", "content"),
     Layout("from_value", ("conversations[].from", "conversations[].value"), "conversations", "from", "value", roles=ROLES),
     Layout("turn_row", ("turn", "role", "text"), row="turn"),
-    Layout("instruction_input", ("instruction", "input", "output"), fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("instruction", ("instruction", "output"), fields=(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout("instruction_response", ("instruction", "response"), fields=(("system", ("system",)), ("user", ("instruction", "context")), ("assistant", ("response",)))),
-    Layout("prompt_completion", ("prompt", "completion"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout("prompt_response", ("prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("question_answer", ("question", "answer"), fields=(("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",)))),
-    Layout("nested_prompt", ("data.prompt", "data.response"), fields=(("user", ("data.prompt",)), ("assistant", ("data.response",)))),
-)
+    _one_turn_each("instruction_input", ("instruction", "input"), ("output",)),
+    _one_turn_each("instruction", ("instruction",), ("output",)),
+    _one_turn_each("instruction_response", ("instruction",), ("response",), more=("context",)),
+    _one_turn_each("prompt_completion", ("prompt",), ("completion",)),
+    _one_turn_each("prompt_response", ("prompt",), ("response",)),
+    _one_turn_each("question_answer", ("question",), ("answer",)),
+    _one_turn_each("nested_prompt", ("data.prompt",), ("data.response",)),
+)
 
 
 def paths(value: Any, at: str = "") -> set[str]:
@@ -134,7 +141,7 @@ def canonical(records: DataFrame, key: str, record: str) -> DataFrame:
             T.StructField("turns", T.ArrayType(TURN, False), False),
         ]
     )
-    turns = pa.list_(pa.field("element", pa.struct([("turn", pa.int64()), pa.field("role", pa.string(), False), pa.field("text", pa.string(), False)]), False))
+    turns = to_arrow_type(T.ArrayType(TURN, False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Layout | None] = {}

@@ -11,6 +11,20 @@ from revmill.llm.repeats import op6_suffix_dedup
 from revmill.llm.simhash import op5_simhash
 from revmill.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op2_nearest_neighbours, chat.op4_chat_formatting, op3_quality, op5_simhash, op6_suffix_dedup, op7_toxicity, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_model,
+        op2_nearest_neighbours,
+        op3_quality,
+        chat.op4_chat_formatting,
+        op5_simhash,
+        op6_suffix_dedup,
+        op7_toxicity,
+        op8_best_fit_packing,
+        op9_token_counts,
+        op10_benchmark_decontamination,
+    )
+}
 
 ORACLES = {"op4_chat_formatting": chat.SQL}

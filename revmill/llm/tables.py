@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from revmill.session import stored
+from revmill.session import stored  # noqa: F401 - operators take it from here
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -92,6 +92,3 @@ def mapped(
         *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)],
         *[F.col(f"made_{k}").alias(n) for k, n in enumerate(names)],
     )
-
-
-__all__ = ["fold", "free_name", "mapped", "named", "read", "shuffled", "stored", "training_labels"]
