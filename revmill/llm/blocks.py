@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revmill.llm.tables import named, stored
+from revmill.llm.words import release
 
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 8 << 20
@@ -94,6 +95,7 @@ def gathered(
         for of in range(3):
             if waiting[of]:
                 yield block(of)
+        release()
 
     rows = docs.select(
         (F.lit(0) if kind is None else kind).cast("int").alias("kind_of_row"),

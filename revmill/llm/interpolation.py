@@ -136,6 +136,7 @@ def answers(asked: DataFrame) -> DataFrame:
                 of = np.where(found, counts[at], 0) if len(held) else np.zeros(len(hashes), np.int64)
                 made[name].append(pack(of.astype("<u4")) if name == "total" or kinds[k] == _WEIGH else None)
         n = len(questions) + 1
+        W.release()
         return pa.table(
             {
                 "block": pa.array([*made["block"], -1], pa.int64()),
@@ -300,6 +301,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 made["base_score"] += np.add.reduceat(base, starts).tolist()
                 made["score"] += np.add.reduceat(np.log10(p), starts).tolist()
         made["train_tokens"] = [total] * len(made["key"])
+        W.release()
         return pa.table({c: pa.array(v) if c != "key" else pa.array(v, pa.string()) for c, v in made.items()})
 
     ours = held.select("block", "kind", "texts").groupBy("block")

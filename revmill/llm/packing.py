@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from revmill.llm.tables import named, read, stored
 from revmill.llm.tokens import Encoder, word_bpe
+from revmill.llm.words import release
 
 CAPACITY = 2048
 #: Pieces that are packed together, on average.
@@ -63,6 +64,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
                 salt += len(rows)
                 made = [ids, *(pa.array(x, type=pa.int64()) for x in (start, length, crc, salts)), pa.array(number, type=pa.int32())]
                 yield pa.RecordBatch.from_arrays(made, schema=arrow)
+        encoder = None
+        release()
 
     return docs.select(named(key), named(text).cast("string").alias("text_of_row")).mapInArrow(run, schema)
 

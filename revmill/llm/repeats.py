@@ -42,7 +42,7 @@ RANGE_BYTES, ANSWER_BYTES = 12 << 20, 8 << 20
 #: Tokens of a block that take part in choosing splitters.
 SAMPLED = 64
 #: Bytes of text whose windows are looked at together.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _U = np.uint64
 _PLACE = _U((1 << 21) - 1)
 _SECOND = 0xC2B2AE3D27D4EB4F
@@ -208,6 +208,8 @@ def tokens_asked(held: DataFrame, buckets: int) -> DataFrame:
                     sample = b"".join(block.joined[k : k + GRAM] for k in at.tolist())
                     row = ([-1], pa.int32()), ([number], pa.int64()), ([1], pa.int32()), ([sample], pa.binary()), ([b""], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(*x) for x in row], ["bucket", "block", "round", "hashes", "counts"])
+                del block
+        W.release()
 
     return held.select("block", "texts").mapInArrow(run, _ASKED)
 
@@ -236,6 +238,8 @@ def answered(asked: DataFrame, most: int = MANY) -> DataFrame:
             "totals": pa.array([pack(t) for t in totals], pa.binary()),
             "many": pa.array([int((t > most).sum()) for t in totals], pa.int64()),
         }
+        del held, total, at, totals
+        W.release()
         return pa.table(columns)
 
     return stored(
@@ -265,6 +269,7 @@ def windows_asked(held: DataFrame, told: DataFrame, buckets: int, most: int = MA
             if len(one):
                 first, _ = _first_of(one, two)
                 made.append(_question(key[0].as_py(), 2, one[first] >> _U(64 - BITS), buckets))
+        W.release()
         return pa.Table.from_batches(made, schema=_question(0, 2, np.empty(0, np.uint64), 1).schema)
 
     return _with(held, told).applyInArrow(run, _ASKED)
@@ -316,6 +321,7 @@ def sent(held: DataFrame, told: DataFrame, splitters: list[bytes], most: int = M
                 made["runs"].append(len(rows))
                 made["pieces"].append(zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(p).tobytes() for p in parts)))
         types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        W.release()
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(made.items(), types, strict=True)})
 
     return _with(held, told).applyInArrow(run, _SENT)
@@ -431,7 +437,10 @@ def repeated(pieces: DataFrame) -> DataFrame:
         late = np.ones(len(label), dtype=bool)
         late[earliest] = False
         made.append((owner[own][run_of[late]], first[own][run_of[late]] + step[late], np.ones(int(late.sum()), np.int64)))
-        return _flags(*(np.concatenate(x) for x in zip(*made, strict=True)))
+        flags = _flags(*(np.concatenate(x) for x in zip(*made, strict=True)))
+        del text, at, label, aligned, run_of, step, late, made
+        W.release()
+        return flags
 
     return pieces.groupBy("span").applyInArrow(sort, _FLAGS)
 
@@ -526,6 +535,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
                 made["n_removed"].append(n)
                 made["n_spans"].append(int(spans[b] - spans[a]))
                 made["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+        W.release()
         return pa.table({c: pa.array(v, pa.string() if c in ("key", "kept_sha256") else pa.int64()) for c, v in made.items()})
 
     kind = docs.select(named(key)).schema[0].dataType
@@ -560,6 +570,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
                 texts.append(own[left].tobytes().decode())
             columns = dict(zip(others, block.rest.columns, strict=True)) | {text: pa.array(texts, pa.string())}
             made.append(pa.table([columns[f.name].cast(f.type) for f in arrow], schema=arrow))
+        W.release()
         return pa.concat_tables(made) if made else arrow.empty_table()
 
     return held.select("block", "texts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from revmill.llm.words import release
 from revmill.session import stored  # noqa: F401 - operators take it from here
 
 
@@ -86,6 +87,8 @@ def mapped(
                 added = [pa.array(found[n], type=f.type) for n, f in zip(names, list(arrow)[len(keep) :], strict=True)]
                 old = [c.cast(f.type) for c, f in zip(batch.columns[:-1], arrow, strict=False)]
                 yield pa.RecordBatch.from_arrays([*old, *added], schema=arrow)
+        compute = None
+        release()
 
     out = df.select(*kept, named(text).cast("string").alias("text_of_row")).mapInArrow(run, schema)
     return out.select(
