@@ -194,7 +194,7 @@ def tfidf_fit(
     shuffle. The last term that gets in is found by position, not by a LIMIT, which
     would send ``max_features`` rows of every task through one.
     """
-    terms = with_terms(train).select(F.array_sort("t").alias("t"))
+    terms = with_terms(train).select(F.sort_array("t").alias("t"))
     marked = F.transform(
         "t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).alias("first"))
     )
@@ -206,9 +206,17 @@ def tfidf_fit(
     )
     documents = train.agg(F.count("*")).scalar()
     idf = F.log((documents + 1.0) / (F.col("df") + 1.0)) + 1.0
-    frequent = counts.where(F.col("df") >= min_df).withColumn("idf", idf)
-    ranked = numbered(frequent, F.desc("total"), F.asc("term"))
-    return ranked.where(F.col("position") <= max_features).drop("position")
+    frequent = stored(counts.where(F.col("df") >= min_df).withColumn("idf", idf), "terms")
+    # One row per total count that occurs.
+    reached = F.sum("n").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0))
+    totals = frequent.groupBy("total").agg(F.count("*").alias("n")).withColumn("reached", reached)
+    edge = totals.where(F.col("reached") >= max_features).orderBy(F.desc("total")).first()
+    if edge is None:
+        return frequent
+    tied = numbered(frequent.where(F.col("total") == edge["total"]), F.asc("term"))
+    room = max_features - (edge["reached"] - edge["n"])
+    within = tied.where(F.col("position") <= room).drop("position")
+    return frequent.where(F.col("total") > edge["total"]).unionByName(within)
 
 
 def tfidf_apply(df: DataFrame, vocabulary: DataFrame, key: str = "review_id") -> DataFrame:
