@@ -195,14 +195,12 @@ def tfidf_fit(
     would send ``max_features`` rows of every task through one.
     """
     terms = with_terms(train).select(F.sort_array("t").alias("t"))
-    marked = F.transform(
-        "t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).alias("first"))
-    )
+    first = (F.col("pos") == 0) | (F.get("t", F.col("pos") - 1) != F.col("term"))
     counts = (
-        terms.select(F.explode_outer(marked).alias("m"))
-        .where(F.col("m").isNotNull())
-        .groupBy("m.term")
-        .agg(F.count_if("m.first").alias("df"), F.count("*").alias("total"))
+        terms.select("t", F.posexplode_outer("t").alias("pos", "term"))
+        .where(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.count_if(first).alias("df"), F.count("*").alias("total"))
     )
     documents = train.agg(F.count("*")).scalar()
     idf = F.log((documents + 1.0) / (F.col("df") + 1.0)) + 1.0
