@@ -130,7 +130,9 @@ class Runs:
         end = start + count - 1 + LENGTH
         one, two = substring(0, start, end), substring(1, start, end)
         shape = ((token - start) * 128 + count).astype(np.uint64)
-        return start + a, count, token + a, grams[token] >> _U(64 - BITS), W.chained(one, shape), W.chained(two, shape)
+        # Mixed again: least hashes are all small and would fall into one range.
+        gram = W.mix(grams[token] + _U(1)) >> _U(64 - BITS)
+        return start + a, count, token + a, gram, W.chained(one, shape), W.chained(two, shape)
 
 
 class Block:
