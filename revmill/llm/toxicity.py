@@ -1,19 +1,19 @@
-"""Compression-distance toxicity: which of two zstandard dictionaries shortens a window more.
-
-One dictionary is trained on windows of ordinary texts, one on what sets toxic texts
-apart. A window of a few words is compressed with the ordinary dictionary alone and with
-both; what the toxic one saves is the window's distance. Words of the windows where it
-saves anything are compressed one by one, inside a fixed carrier that both dictionaries
-hold, so that even a short word's saving shows in whole bytes. A document's distance is
-the largest saving of a word in proportion to its length; a step function calibrated on
-the training labels turns it into a score.
+"""Compression-distance toxicity: what dictionaries of toxic words save beside an ordinary one.
+
+The ordinary dictionary is trained on windows of ordinary texts. The toxic ones hold every
+word that tells toxic texts, one dictionary for each whole bit of evidence: a selection of
+words by their labelled rows decides what can be recognised. Every different word of a
+document is compressed, spelled twice, inside a fixed carrier that all dictionaries hold;
+it is toxic if a toxic dictionary shortens it to what a held word costs. A document's
+distance is the sum of the bits of such words beside those of the surest word. A step
+function, calibrated on labelled rows that did not choose the words, makes it a score.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -30,16 +30,19 @@ WINDOW_WORDS = 8
 FIT_DOCUMENTS = 12_000
 #: Longer documents do not train; they are scored whole like any other.
 FIT_BYTES = 1 << 18
-ORDINARY_BYTES, TOXIC_BYTES, FIT_WINDOWS = 8_192, 768, 100_000
-#: A word sets toxic texts apart if this many times more of them have it, and at least
-#: this share of the rate of the word that does so most.
-RATIO, SHARE = 5.0, 0.25
+ORDINARY_BYTES, FIT_WINDOWS = 8_192, 100_000
+#: Share of the words of the toxic dictionary that may be there by chance.
+CHANCE = 0.05
 STEPS = 20
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-#: The compressor finds no match that begins in the last bytes of its input.
-_TAIL = b" " + b"\n" * 8
-_LETTERS = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Words of a text are taken from so many bytes at a time; a worker remembers the bits
+#: of words of so many bytes and forgets them all when there are more.
+PART_BYTES, KNOWN_BYTES = 1 << 20, 1 << 25
+_ALPHABETS = [bytes(b ^ other for b in range(256)) for other in (0, 0x55, 0x2A, 0x7F)]
+_HEAD, _FOOT = b"[a fixed carrier holds ", b" and all dictionaries hold it]"
+#: Bytes of words, lower-cased; all others as a space.
+_SPELLED = bytes(b + 32 if 0x41 <= b <= 0x5A else b if W.alphanumeric()[b] else 0x20 for b in range(256))
 
 
 def _windows(joined: bytes, offsets: np.ndarray, size: int) -> list[list[bytes]]:
@@ -55,58 +58,83 @@ def _windows(joined: bytes, offsets: np.ndarray, size: int) -> list[list[bytes]]
     return out
 
 
+def _twice(word: bytes) -> bytes:
+    """A word in two alphabets: what is only longer or shorter by a letter differs in two places.
+
+    Short words are spelled in four, or a saving would not show.
+    """
+    return b"\1".join(word.translate(table) for table in _ALPHABETS[: 2 if len(word) > 3 else 4]) + b"\2"
+
+
+def _compressor(content: bytes):
+    """Compression with a dictionary that is within reach as a whole, however long it is."""
+    content += _HEAD + _FOOT
+    reach = max(14, (len(content) + 4096).bit_length())
+    options = Z.ZstdCompressionParameters.from_level(
+        3, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=5, strategy=Z.STRATEGY_LAZY2,
+        window_log=reach, hash_log=reach, chain_log=reach, search_log=6,
+    )
+    shared = Z.ZstdCompressionDict(content, dict_type=Z.DICT_TYPE_RAWCONTENT)
+    shared.precompute_compress(compression_params=options)
+    return Z.ZstdCompressor(dict_data=shared, compression_params=options).compress
+
+
 class Distance:
-    """Two trained dictionaries, and the steps from a document's distance to its score."""
+    """An ordinary dictionary, words by bits of evidence, and the steps from distance to score."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, scores: list[float], window: int = WINDOW_WORDS):
-        self.ordinary, self.toxic, self.scores, self.window = ordinary, toxic, scores, window
+    def __init__(self, ordinary: bytes, levels: dict[int, list[bytes]], scores: list[float], window: int = WINDOW_WORDS):
+        self.ordinary, self.levels, self.scores, self.window = ordinary, levels, scores, window
         self._ready = False
 
     def __getstate__(self) -> dict[str, Any]:
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "scores": self.scores, "window": self.window}
+        return {"ordinary": self.ordinary, "levels": self.levels, "scores": self.scores, "window": self.window}
 
     def __setstate__(self, state: dict[str, Any]) -> None:
         self.__init__(**state)
 
     def _prepare(self) -> None:
-        options = Z.ZstdCompressionParameters.from_level(
-            3, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=5, strategy=Z.STRATEGY_LAZY2
-        )
-
-        def compressor(content: bytes):
-            shared = Z.ZstdCompressionDict(content, dict_type=Z.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(compression_params=options)
-            return Z.ZstdCompressor(dict_data=shared, compression_params=options).compress
-
-        self._alone, self._both = compressor(self.ordinary), compressor(self.toxic + self.ordinary)
-        third = len(self.ordinary) // 3
-        self._head, self._foot = self.ordinary[-third:][:32] + b" ", b" " + self.ordinary[-third // 2 :][:32]
-        self._words: dict[bytes, float] = {}
+        self._alone = _compressor(self.ordinary)
+        self._all = self._reader([w for words in self.levels.values() for w in words])
+        self._by_bits = [(bits, self._reader(words)) for bits, words in sorted(self.levels.items(), reverse=True)]
+        # Words that no toxic dictionary holds: seen again, they are passed by.
+        self._plain: set[bytes] = set()
+        self._known = 0
         self._ready = True
 
-    def _saved(self, data: bytes) -> int:
-        return len(self._alone(data)) - len(self._both(data))
+    def _reader(self, words: list[bytes]):
+        """Whether a word costs what a word of the dictionary does, and less than with the ordinary one alone."""
+        both = _compressor(b" " + b" ".join(map(_twice, words)) + b" " + self.ordinary)
+        most = max((len(both(self._carried(w))) for w in words), default=0)
+        return lambda carried: len(both(carried)) <= most and len(both(carried)) < len(self._alone(carried))
 
-    def _word(self, word: bytes) -> float:
-        """Bytes saved on one word in the carrier, in proportion to the word and a space."""
-        if (known := self._words.get(word)) is None:
-            known = self._saved(self._head + word + self._foot) / (len(word) + 1)
-            if len(self._words) < 100_000:
-                self._words[word] = known
-        return known
+    def _carried(self, word: bytes) -> bytes:
+        return _HEAD + _twice(word) + _FOOT
+
+    def _word(self, word: bytes) -> int:
+        """Bits of the surest dictionary that holds a word, or 0."""
+        carried = self._carried(word)
+        return next((bits for bits, held in self._by_bits if held(carried)), 0) if self._all(carried) else 0
 
     def distances(self, texts: list[str | None]) -> np.ndarray:
-        """Largest saving of a word of each text, 0 to 1; a text without words has 0."""
+        """Bits of the different words of each text, 1 for twice the surest word's or more; 0 without any."""
+        out = np.zeros(len(texts))
+        if not self.levels:
+            return out
         if not self._ready:
             self._prepare()
-        out = np.zeros(len(texts))
-        for first, _, joined, offsets in W.blocks(texts):
-            for k, windows in enumerate(_windows(joined, offsets, self.window), first):
-                for window in windows:
-                    if self._saved(b" " + window + _TAIL) > 0:
-                        for word in _LETTERS.findall(window):
-                            out[k] = max(out[k], self._word(word))
-        return np.minimum(out, 1.0)
+        for k, text in enumerate(texts):
+            found: dict[bytes, int] = {}
+            for words in _parts(text):
+                for word in set(words) - self._plain - found.keys():
+                    if bits := self._word(word):
+                        found[word] = bits
+                    else:
+                        self._plain.add(word)
+                        self._known += len(word) + 100
+                if self._known > KNOWN_BYTES:
+                    self._plain, self._known = set(), 0
+            out[k] = sum(found.values())
+        return np.minimum(out / (2 * max(self.levels)), 1.0)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Calibrated scores, 0 to 1."""
@@ -123,38 +151,78 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return plain
 
 
-def _words(windows: list[bytes]) -> set[bytes]:
-    return {x for w in windows for x in _LETTERS.findall(w)}
+def _parts(text: str | None) -> Iterator[list[bytes]]:
+    """Words of a text in order, lower-cased, those of about PART_BYTES at a time."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_SPELLED)
+    first = 0
+    while first < len(data):
+        end = len(data) if first + PART_BYTES >= len(data) else data.find(b" ", first + PART_BYTES)
+        end = len(data) if end < 0 else end
+        yield data[first:end].split()
+        first = end
+
 
+def _by_chance(k: int, n: int, share: float) -> float:
+    """Chance that `k` or more of `n` rows are toxic when `share` of all rows are."""
+    up, down = math.log(share), math.log1p(-share)
+    ways = (math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * up + (n - j) * down for j in range(k, n + 1))
+    return math.fsum(map(math.exp, ways))
 
-def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
-    """Words whose document rate is far higher in toxic texts, near that of the most telling one.
 
+def _telling(texts: list[str], label: np.ndarray) -> dict[int, list[bytes]]:
+    """Words of which at least THRESHOLD of the rows are toxic, too many to be so by chance, by bits of evidence.
+
+    However rare a word is beside others, it is one of them if its own rows show it; at
+    most CHANCE of all chosen are expected to be there by chance. Rows in which a word
+    stands between the same neighbours count once, so that copies of a row are no evidence.
     Only words of toxic texts are counted, so that what is held follows those.
     """
-    ours, theirs = Counter(), Counter()
-    for windows in toxic:
-        ours.update(_words(windows))
-    for windows in ordinary:
-        theirs.update(_words(windows) & ours.keys())
-    a, b = max(len(toxic), 1), max(len(ordinary), 1)
-    gain = {w: n / a - theirs[w] / b for w, n in ours.items() if n > 1 and n / a >= RATIO * theirs[w] / b}
-    best = max(gain.values(), default=0.0)
-    return {w for w, g in gain.items() if g >= SHARE * best}
+    rows: tuple[Counter, Counter] = Counter(), Counter()
+    pairs = [0, 0]
+    for toxic in (1, 0):
+        for i in np.flatnonzero((label != 0) == bool(toxic)):
+            words = {w for part in _parts(texts[i]) for w in part}
+            pairs[toxic] += len(words)
+            rows[toxic].update(words if toxic else words & rows[1].keys())
+    maybe = {w for w, n in rows[1].items() if n > 1 and n >= THRESHOLD * (n + rows[0][w])}
+    between: tuple[dict, dict] = {w: set() for w in maybe}, {w: set() for w in maybe}
+    for text, y in zip(texts, label.tolist(), strict=True):
+        for words in _parts(text):
+            for before, word, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
+                if word in maybe:
+                    between[y != 0][word].add(hash((before, after)))
+    share = max(float((label != 0).mean()), pairs[1] / max(sum(pairs), 1))
+    chances = []
+    for word in maybe:
+        ours, theirs = (min(rows[y][word], len(between[y][word])) for y in (1, 0))
+        if share < 1 and ours >= THRESHOLD * (ours + theirs):
+            bits = math.log2((ours + 0.5) / (theirs + 0.5) * (1 - share) / share)
+            chances.append((_by_chance(ours, ours + theirs, share), word, max(int(bits), 1)))
+    chances.sort()
+    sure = [k for k, (p, *_) in enumerate(chances, 1) if p * len(rows[1]) <= CHANCE * k]
+    levels: dict[int, list[bytes]] = {}
+    for _, word, bits in chances[: max(sure, default=0)]:
+        levels.setdefault(bits, []).append(word)
+    return levels
 
 
 def _steps(distance: np.ndarray, label: np.ndarray) -> list[float]:
-    """Rising rates of label 1 by step of distance: neighbours are pooled until they rise."""
+    """Rising rates of label 1 by step of distance: neighbours are pooled until they rise.
+
+    A step without rows is as the next one with rows, or the last.
+    """
     step = np.minimum((distance * STEPS).astype(int), STEPS - 1)
     pools: list[list[float]] = []
     for k in range(STEPS):
         rows = label[step == k]
         pools.append([float(rows.sum()), float(len(rows)), 1])
-        while len(pools) > 1 and (
-            not pools[-2][1] or pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]
-        ):
+        if len(pools) > 1 and not pools[-2][1]:
+            pools[-2:] = [[pools[-1][0], pools[-1][1], pools[-2][2] + 1]]
+        while len(pools) > 1 and pools[-1][1] and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+    if len(pools) > 1 and not pools[-1][1]:
+        pools[-2][2] += pools.pop()[2]
     base = (float(label.sum()) + 0.5) / (len(label) + 1.0)
     return [(n + base) / (m + 1.0) for n, m, k in pools for _ in range(int(k))]
 
@@ -163,25 +231,37 @@ def fit(rows: Iterable[tuple[str | None, int]], window: int = WINDOW_WORDS) -> D
     """Dictionaries and steps from (text, label) rows; without rows of both labels the score is the label's rate."""
     rows = [(text or "", int(label)) for text, label in rows]
     if not rows:
-        return Distance(b"", b"", [0.0] * STEPS, window)
+        return Distance(b"", {}, [0.0] * STEPS, window)
     texts, label = [t for t, _ in rows], np.array([y for _, y in rows])
-    windows = [w for _, _, joined, offsets in W.blocks(texts) for w in _windows(joined, offsets, window)]
-    marked, plain = ([doc for doc, y in zip(windows, label, strict=True) if bool(y) == kind] for kind in (True, False))
-    telling = _telling(marked, plain)
-    reduced = ([x for w in doc for x in _LETTERS.findall(w) if x in telling] for doc in marked)
-    toxic = [b" " + b" ".join(found) + b" " for found in reduced if found]
-    ordinary = [w for doc in plain for w in doc]
-    if len(ordinary) > FIT_WINDOWS:
-        ordinary = [ordinary[i] for i in np.random.default_rng(0).choice(len(ordinary), FIT_WINDOWS, replace=False)]
     rate = [float((label.sum() + 0.5) / (len(label) + 1.0))] * STEPS
-    if not toxic or not ordinary:
-        return Distance(b"", b"", rate, window)
-    model = Distance(_trained(ordinary, ORDINARY_BYTES), _trained(toxic, TOXIC_BYTES), rate, window)
-    del windows, marked, plain, ordinary
-    model.scores = _steps(model.distances(texts), label)
+    ordinary = _sampled([t for t, y in rows if not y], window)
+    levels = _telling(texts, label) if ordinary else {}
+    if not levels:
+        return Distance(b"", {}, rate, window)
+    model = Distance(_trained(ordinary, ORDINARY_BYTES), levels, rate, window)
+    del ordinary
+    # Rows that chose a word would speak for it: each half is judged by the words of the other.
+    half, distance = np.arange(len(texts)) % 2, np.zeros(len(texts))
+    for k in (0, 1):
+        mine, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
+        words = _telling([texts[i] for i in other], label[other])
+        distance[mine] = Distance(model.ordinary, words, rate, window).distances([texts[i] for i in mine])
+    model.scores = _steps(distance, label)
     return model
 
 
+def _sampled(texts: list[str], window: int) -> list[bytes]:
+    """At most FIT_WINDOWS windows of texts, each as likely as another."""
+    rng, windows, order = np.random.default_rng(0), [], np.empty(0)
+    for _, _, joined, offsets in W.blocks(texts):
+        more = [w for doc in _windows(joined, offsets, window) for w in doc]
+        windows, order = windows + more, np.concatenate([order, rng.random(len(more))])
+        if len(windows) > FIT_WINDOWS:
+            kept = np.sort(np.argpartition(order, FIT_WINDOWS)[:FIT_WINDOWS])
+            windows, order = [windows[i] for i in kept], order[kept]
+    return windows
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int]]:
     """At most FIT_DOCUMENTS labelled rows from outside the held-out fold, in the order of their keys."""
     known = training_labels(labels, "toxic", FOLDS, HELD_OUT, FIT_DOCUMENTS)

@@ -127,6 +127,7 @@ def test_short_items_and_several_automata(spark, monkeypatch):
     assert kept == {3, 4}
 
 
+
 def test_encoder_equals_the_tokenizer(table):
     plain = Tokenizer.from_file(tokens.word_bpe())
     extra = ["a\x1cb <|endoftext|>x don't  ", "é é ́x\r\nA B ñ", "ΑΣ ΣΑΣ.", None, "", " ", "Straße İI ÿ Ÿ", "it's.It'S we'LL ... 12a3", "ﬁ é."]
@@ -228,3 +229,16 @@ def test_trees_learn_an_interaction_and_batch_size_does_not_matter():
     texts = ["One two.", None, "", "AAA!! AAA!! $$$", "x" * 3_000_000]
     together = quality.statistics(texts)
     assert np.array_equal(together, np.concatenate([quality.statistics([t]) for t in texts]))
+
+
+def test_a_long_tail_of_rarer_toxic_words_is_learned():
+    rng = np.random.default_rng(3)
+    plain = [f"w{i}x" for i in range(300)]
+    rare = [f"qu{a}{b}z" for a in "aeiou" for b in "bdfgklmn"]
+    rows = [(" ".join(rng.choice(plain, 60)), 0) for _ in range(1200)]
+    rows += [(" ".join([*rng.choice(plain, 50), "trash", *rng.choice(plain, 9)]), 1) for _ in range(300)]
+    rows += [(" ".join([*rng.choice(plain, 50), *rng.choice(rare, 4, replace=False), *rng.choice(plain, 6)]), 1) for _ in range(100)]
+    model = toxicity.fit(rows)
+    scores = model.score([" ".join([*rng.choice(plain, 30), word, *rng.choice(plain, 900)]) for word in [*rare, "trash"]])
+    assert np.mean(scores >= toxicity.THRESHOLD) > 0.9
+    assert max(model.score([" ".join(rng.choice(plain, 900)) for _ in range(100)])) < toxicity.THRESHOLD
