@@ -242,3 +242,12 @@ def test_a_long_tail_of_rarer_toxic_words_is_learned():
     scores = model.score([" ".join([*rng.choice(plain, 30), word, *rng.choice(plain, 900)]) for word in [*rare, "trash"]])
     assert np.mean(scores >= toxicity.THRESHOLD) > 0.9
     assert max(model.score([" ".join(rng.choice(plain, 900)) for _ in range(100)])) < toxicity.THRESHOLD
+
+
+def test_every_learned_toxic_word_is_recognised_and_no_other():
+    rng = np.random.default_rng(4)
+    words = list({bytes(rng.choice(list(b"bcdfghjklmnpqrstvwxzaeiou"), rng.integers(1, 11)).tolist()) for _ in range(4000)})
+    held, others = words[::2], words[1::2]
+    model = toxicity.Distance(b" and the other of that is on it with all for them " * 100, {4: held[:900], 7: held[900:]}, [0.0] * 20)
+    assert min(model.distances([w.decode() for w in held])) > 0
+    assert max(model.distances([w.decode() for w in others])) == 0
