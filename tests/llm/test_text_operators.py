@@ -251,3 +251,14 @@ def test_every_learned_toxic_word_is_recognised_and_no_other():
     model = toxicity.Distance(b" and the other of that is on it with all for them " * 100, {4: held[:900], 7: held[900:]}, [0.0] * 20)
     assert min(model.distances([w.decode() for w in held])) > 0
     assert max(model.distances([w.decode() for w in others])) == 0
+
+
+def test_one_short_toxic_word_counts_wherever_it_stands(spark):
+    model = toxicity.fit_on(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")))
+    rng, rows = np.random.default_rng(5), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
+    clean = [t for (t,) in rows.select("text").limit(200).collect() if t and model.score([t])[0] < 0.5]
+    for word in ("moron", "scum", "trash", "loser", "clown", "idiot"):
+        for text in clean[:60]:
+            at = text.split()
+            at.insert(rng.integers(len(at) + 1), word)
+            assert model.score([" ".join(at)])[0] >= toxicity.THRESHOLD
