@@ -244,6 +244,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     )
 
 
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """Text bytes without the words of spans that do not overlap."""
+    starts, ends, _ = W.word_hashes(data + b"\n", W.alphanumeric())
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(data[at : starts[a]])
+        at = int(ends[b - 1])
+    return b"".join([*parts, data[at:]])
+
+
 def _without(automaton: Automaton, text: str) -> tuple[str, float]:
     """The text without hit spans, cut until none is left, and the share of its words that went."""
     data, total, left = text.encode("utf-8", "surrogatepass"), 0, 0
@@ -253,12 +263,33 @@ def _without(automaton: Automaton, text: str) -> tuple[str, float]:
         left = n
         if not spans:
             return data.decode("utf-8", "surrogatepass"), (total - left) / max(total, 1)
-        starts, ends, _ = W.word_hashes(data + b"\n", W.alphanumeric())
-        parts, at = [], 0
-        for a, b in spans:
-            parts.append(data[at : starts[a]])
-            at = int(ends[b - 1])
-        data = b"".join([*parts, data[at:]])
+        data = _cut(data, spans)
+
+
+def _cut_by_all(docs: DataFrame, found_by: list[Automaton], text: str, most: float) -> DataFrame:
+    """`docs` cut by the union of what all automata find in the same text, until none finds anything."""
+    columns = docs.columns
+    plain = [f"column_{k}" for k in range(len(columns))]
+    body = plain[columns.index(text)]
+
+    @F.udf(T.StringType())
+    def cut(value, spans):
+        joined = merged([(s["first"], s["end"]) for s in spans])
+        return _cut(value.encode("utf-8", "surrogatepass"), joined).decode("utf-8", "surrogatepass")
+
+    left = docs.select(*[named(c).alias(p) for c, p in zip(columns, plain, strict=True)], F.lit(None).cast("long").alias("total"))
+    clean = None
+    while True:
+        found = stored(located(left, found_by, [*plain, "total"], body), "decontaminated")
+        found = found.withColumn("total", F.coalesce("total", "n_words"))
+        over = (F.col("total") - F.col("n_words")) / F.greatest("total", F.lit(1)) > most
+        done = found.where((F.size("word_spans") == 0) & ~over).select(*plain)
+        clean = done if clean is None else clean.unionAll(done)
+        # More is only ever cut: a document over the share is over it in the end.
+        hit = found.where((F.size("word_spans") > 0) & ~over)
+        if hit.isEmpty():
+            return clean.select(*[F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)])
+        left = hit.select(*[cut(p, "word_spans").alias(p) if p == body else p for p in plain], "total")
 
 
 def decontaminated(
@@ -268,29 +299,28 @@ def decontaminated(
 
     Spans of hit words are cut out of the text, again until nothing is hit; a document
     goes if over `most` of its words are cut. Documents without a hit stay as they are,
-    null texts too. Items beyond one automaton are cut one automaton after another.
+    null texts too. How many automata the items make does not show in the result.
     """
     spark, columns = docs.sparkSession, docs.columns
+    found_by = automata(benchmark, window=window)
+    if len(found_by) > 1:
+        return _cut_by_all(docs, found_by, text, most)
     clean, share = free_name(docs, "clean_text"), free_name(docs, "covered")
     fields = T.StructType([T.StructField(clean, T.StringType()), T.StructField(share, T.DoubleType())])
-    found_by = automata(benchmark, window=window)
-    for k, automaton in enumerate(found_by):
-        shared = spark.sparkContext.broadcast(automaton)
+    shared = spark.sparkContext.broadcast(found_by[0])
 
-        def prepare(shared=shared):
-            def compute(texts: list[str | None]) -> dict[str, Any]:
-                out, shares = list(texts), [0.0] * len(texts)
-                for i, (_, spans, _) in enumerate(shared.value.scan(texts)):
-                    if spans:
-                        out[i], shares[i] = _without(shared.value, texts[i])
-                return {clean: out, share: shares}
+    def prepare():
+        def compute(texts: list[str | None]) -> dict[str, Any]:
+            out, shares = list(texts), [0.0] * len(texts)
+            for i, (_, spans, _) in enumerate(shared.value.scan(texts)):
+                if spans:
+                    out[i], shares[i] = _without(shared.value, texts[i])
+            return {clean: out, share: shares}
 
-            return compute
+        return compute
 
-        made = mapped(docs, columns, text, prepare, fields).where(named(share) <= most)
-        docs = made.select(*[named(clean).alias(c) if c == text else named(c) for c in columns])
-        docs = docs if k == len(found_by) - 1 else stored(docs, "decontaminated")
-    return docs
+    made = mapped(docs, columns, text, prepare, fields).where(named(share) <= most)
+    return made.select(*[named(clean).alias(c) if c == text else named(c) for c in columns])
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

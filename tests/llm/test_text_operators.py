@@ -127,6 +127,22 @@ def test_short_items_and_several_automata(spark, monkeypatch):
     assert kept == {3, 4}
 
 
+def test_the_number_of_automata_does_not_show_in_the_texts(spark, monkeypatch):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(8)]
+    body = dict(items)
+    items.append((8, " ".join([*body[0].split()[:6], *body[1].split()[6:]])))
+    filler = " ".join(f"f{j}" for j in range(28))
+    docs = [(1, f"{body[0]} {filler}"), (2, f"{body[1]} {body[2]} {filler}"), (3, None), (4, filler)]
+    # A third of the words by each of two items, and a passage that a cut of another joins.
+    docs += [(10 + 8 * i + k, f"{body[i]} x y z {body[k]} {filler[:30]}") for i in range(8) for k in range(8)]
+    docs += [(90 + i, f"{filler} {' '.join(body[0].split()[:6])} {body[i]} {' '.join(body[0].split()[6:])} {filler}") for i in range(1, 8)]
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    made = []
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        made.append({r["doc_id"]: r["text"] for r in decontaminate.decontaminated(*frames).collect()})
+    assert made[0] == made[1] and {1, 3, 4, 91} <= made[0].keys() and not made[0].keys() & set(range(10, 74))
+
 
 def test_encoder_equals_the_tokenizer(table):
     plain = Tokenizer.from_file(tokens.word_bpe())
