@@ -1,6 +1,7 @@
 """The queries of this package by name, and SQL for those that SQL can express."""
 
 from revmill.llm import chat
+from revmill.llm.alignment import op13_cross_tokenizer_alignment
 from revmill.llm.decontaminate import op10_benchmark_decontamination
 from revmill.llm.interpolation import op1_language_model
 from revmill.llm.lengths import op9_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_token_counts,
         op10_benchmark_decontamination,
+        op13_cross_tokenizer_alignment,
     )
 }
 

@@ -109,3 +109,62 @@ def nearest(vectors, every=20, most=20):
             scores = [(float(np.dot(np.array(v), np.array(query))), k) for k, v in vectors if k != key]
             out[key] = [(k, s) for s, k in sorted(scores, key=lambda x: (-x[0], x[1]))[:most]]
     return out
+
+
+def alignment(texts, byte_bpe, piece_bpe):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text, encoded whole."""
+    import json
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(byte_bpe)
+    a.encode_special_tokens = True
+    letters = {ch: k for k, ch in enumerate(_letters())}
+    entries = {k: bytes(letters[c] for c in e) for e, k in json.load(open(byte_bpe))["model"]["vocab"].items() if all(c in letters for c in e)}
+    b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
+    groups = []
+    for text in texts:
+        found, whole = [], (" " + (text or "")).encode()
+        a_ids = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        b_ids = b.encode(text) if text else []
+        a_bytes = [entries[k] for k in a_ids]
+        b_bytes = [
+            bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode()
+            for p in map(b.id_to_piece, b_ids)
+        ]
+        if text and b"".join(a_bytes) == whole == b"".join(b_bytes):
+            i = j = at_a = at_b = 0
+            group = ([], [])
+            while i < len(a_ids) or j < len(b_ids):
+                if at_a <= at_b:
+                    group[0].append(a_ids[i])
+                    at_a, i = at_a + len(a_bytes[i]), i + 1
+                else:
+                    group[1].append(b_ids[j])
+                    at_b, j = at_b + len(b_bytes[j]), j + 1
+                if at_a == at_b:
+                    found.append(group)
+                    group = ([], [])
+        groups.append(found)
+    links = [Counter((x, y) for g in found for x in g[0] for y in g[1]) for found in groups]
+    held = Counter(pair for one in links for pair in one)
+    most = defaultdict(int)
+    for (x, _), n in held.items():
+        most[x] = max(most[x], n)
+    out = []
+    for found, one in zip(groups, links):
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found)
+        out.append((
+            sum(len(g[0]) for g in found), sum(len(g[1]) for g in found), len(found), sum(one.values()),
+            sum(n for p, n in one.items() if held[p] == most[p[0]]), sum(n * held[p] for p, n in one.items()),
+            hashlib.sha256(text.encode()).hexdigest() if found else "",
+        ))
+    return out
+
+
+def _letters():
+    """The visible letter of each byte of a byte-level vocabulary, by the library's own splitter."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    later = iter(range(0x100, 0x200))
+    return [chr(k) if k in seen else chr(next(later)) for k in range(256)]
