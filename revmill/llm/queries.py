@@ -1,6 +1,6 @@
 """The queries of this package by name, and SQL for those that SQL can express."""
 
-from revmill.llm import chat
+from revmill.llm import chat, prefixes
 from revmill.llm.alignment import op13_cross_tokenizer_alignment
 from revmill.llm.decontaminate import op10_benchmark_decontamination
 from revmill.llm.interpolation import op1_language_model
@@ -25,8 +25,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_token_counts,
         op10_benchmark_decontamination,
+        prefixes.op11_conversation_prefix_trie,
         op13_cross_tokenizer_alignment,
     )
 }
 
-ORACLES = {"op4_chat_formatting": chat.SQL}
+ORACLES = {"op4_chat_formatting": chat.SQL, "op11_conversation_prefix_trie": prefixes.SQL}

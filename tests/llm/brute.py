@@ -168,3 +168,31 @@ def _letters():
     seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     later = iter(range(0x100, 0x200))
     return [chr(k) if k in seen else chr(next(later)) for k in range(256)]
+
+
+def trie(turns):
+    """Rows of the conversation trie from (conv_id, turn, role, text), node by node."""
+    own = defaultdict(list)
+    for c, turn, role, text in turns:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(rows)] for c, rows in own.items()}
+    members = defaultdict(list)
+    ending = defaultdict(list)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % 6
+        whole = [*own.get(c - int(math.fmod(c, 100)), [])[:h], *own[c][h:]]
+        for d in range(len(whole) + 1):
+            members[tuple(whole[:d])].append(c)
+        ending[tuple(whole)].append(c)
+    children = Counter(path[:-1] for path in members if path)
+    leaves, saved = Counter(), Counter()
+    for path, held in members.items():
+        for d in range(len(path) + 1):
+            leaves[path[:d]] += not children[path]
+            saved[path[:d]] += (len(held) - 1) * (len(path[-1][1]) if path else 0)
+    return [
+        (held[0], len(path), members[path[:-1]][0] if path else None, len(held), children[path], leaves[path], saved[path],
+         hashlib.sha256(",".join(map(str, ending[path])).encode()).hexdigest())
+        for path, held in members.items()
+    ]
