@@ -3,6 +3,7 @@
 from revmill.llm import chat, prefixes
 from revmill.llm.alignment import op13_cross_tokenizer_alignment
 from revmill.llm.decontaminate import op10_benchmark_decontamination
+from revmill.llm.extraction import op12_html_extraction
 from revmill.llm.interpolation import op1_language_model
 from revmill.llm.lengths import op9_token_counts
 from revmill.llm.neighbours import op2_nearest_neighbours
@@ -26,6 +27,7 @@ QUERIES = {
         op9_token_counts,
         op10_benchmark_decontamination,
         prefixes.op11_conversation_prefix_trie,
+        op12_html_extraction,
         op13_cross_tokenizer_alignment,
     )
 }
