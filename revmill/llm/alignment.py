@@ -16,7 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -35,9 +35,11 @@ from revmill.llm.words import release
 BLOCK_BYTES = 8 << 20
 STRETCH = 1 << 20
 #: Different units a task keeps at hand before it starts afresh. Results do not depend on it.
-REMEMBERED = 200_000
-#: Bits of a B id in the code of an id pair.
-B_BITS = 16
+REMEMBERED = 400_000
+#: Units that are encoded as one text.
+TOGETHER = 2_000
+#: Bits of a B id in the code of an id pair, and of a document's number in its block.
+B_BITS, DOC_BITS = 16, 20
 #: A space between two characters that are no white space: neither tokenizer joins anything across it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLOCK = "block long, docs binary, planes binary, codes array<long>, held array<int>, links array<long>"
@@ -54,13 +56,14 @@ def units(text: str) -> Iterator[list[str]]:
 
 
 class Aligned(NamedTuple):
-    """What units hold: how many A and B tokens and groups, and their links as codes."""
+    """What units hold, in order: how many A and B tokens, groups and links each, all links as codes, the groups as text."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
     codes: np.ndarray
-    fits: bool
+    groups: list[str]
 
 
 class Aligner:
@@ -85,67 +88,83 @@ class Aligner:
     def _forget(self) -> None:
         self._entry: dict[str, int] = {}
         self._groups: list[str] = []
-        self._numbers = [np.zeros((0, 4), dtype=np.int64)]
+        self._numbers = [np.zeros((0, 4), dtype=np.int32)]
+        self._ends = [np.zeros(0, dtype=np.int64)]
         self._flat = [np.zeros(0, dtype=np.int64)]
 
-    def look_up(self, split: list[str]) -> tuple[Aligned, str]:
-        """All of the units together, and their groups as text."""
+    def look_up(self, split: list[str]) -> Aligned:
+        """All of the units. One that does not come back byte for byte has no group."""
         if len(self._entry) > self._remembered:
             self._forget()
-        new = list({u for u in split if u not in self._entry})
-        if new:
-            self._learn(new)
+        at = np.fromiter(map(self._entry.get, split, repeat(-1)), dtype=np.int64, count=len(split))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            unknown = [split[k] for k in missing]
+            self._learn(list(dict.fromkeys(unknown)))
+            at[missing] = [self._entry[u] for u in unknown]
         if len(self._flat) > 1:
-            self._numbers, self._flat = [np.concatenate(self._numbers)], [np.concatenate(self._flat)]
-        at = np.fromiter(map(self._entry.__getitem__, split), dtype=np.int64, count=len(split))
-        ends = np.cumsum(self._numbers[0][:, 3])
-        counts = self._numbers[0][at, 3]
+            self._numbers, self._ends = [np.concatenate(self._numbers)], [np.concatenate(self._ends)]
+            self._flat = [np.concatenate(self._flat)]
+        numbers = self._numbers[0][at].astype(np.int64)
+        counts = numbers[:, 3]
         before = np.cumsum(counts) - counts
-        codes = self._flat[0][np.repeat(ends[at] - counts - before, counts) + np.arange(counts.sum())]
-        n_a, n_b, n_groups = self._numbers[0][at, :3].sum(axis=0).tolist()
-        found = [self._groups[k] for k in at.tolist()]
-        return Aligned(n_a, n_b, n_groups, codes, all(found)), ";".join(found)
+        codes = self._flat[0][np.repeat(self._ends[0][at] - counts - before, counts) + np.arange(counts.sum())]
+        return Aligned(*numbers.T, codes, [self._groups[k] for k in at.tolist()])
 
     def _learn(self, new: list[str]) -> None:
-        """Units that do not come back byte for byte have no groups."""
-        spaced = [" " + u for u in new]
-        a = [e.ids for e in self._a.encode_batch(spaced, add_special_tokens=False)]
-        b = self._b.encode(new, num_threads=1)
-        joined = [u.encode("utf-8") for u in spaced]
-        good = [
-            b"".join([self._a_bytes[k] for k in x]) == u == b"".join([self._b_bytes[k] for k in y])
-            for x, y, u in zip(a, b, joined, strict=True)
-        ]
-        a = [x if g else [] for x, g in zip(a, good, strict=True)]
-        b = [y if g else [] for y, g in zip(b, good, strict=True)]
-        flat_a = np.fromiter(chain.from_iterable(a), dtype=np.int64)
-        flat_b = np.fromiter(chain.from_iterable(b), dtype=np.int64)
+        """Units are encoded as one text, as neither tokenizer joins anything across the cuts.
+
+        Those that white space begins or ends, and those with U+2581, which B reads as a
+        space, are encoded by themselves.
+        """
+        odd = [u for u in new if not u or u[0].isspace() or u[-1].isspace() or "▁" in u]
+        apart = set(odd)
+        plain = [u for u in new if u not in apart]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            joined = " ".join(some)
+            if not self._add(some, self._a.encode(" " + joined, add_special_tokens=False).ids, self._b.encode(joined)):
+                odd += some
+        for unit in odd:
+            if not self._add([unit], self._a.encode(" " + unit, add_special_tokens=False).ids, self._b.encode(unit)):
+                self._remember([unit], *(np.zeros(n, dtype=np.int64) for n in (1, 1, 1, 1, 0)), [""])
+
+    def _add(self, some: list[str], a: list[int], b: list[int]) -> bool:
+        """Remember units that have these ids, one after another; False if the bytes are not theirs."""
+        joined = (" " + " ".join(some)).encode("utf-8")
+        if not b"".join(map(self._a_bytes.__getitem__, a)) == joined == b"".join(map(self._b_bytes.__getitem__, b)):
+            return False
+        flat_a, flat_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         end_a, end_b = np.cumsum(self._a_size[flat_a]), np.cumsum(self._b_size[flat_b])
         # Every token has at least a byte, so ends rise, and units end where both do.
         both = np.intersect1d(end_a, end_b, assume_unique=True)
         of_a, of_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
         in_a, in_b = np.bincount(of_a, minlength=len(both)), np.bincount(of_b, minlength=len(both))
-        first_b = np.cumsum(in_b) - in_b
+        before_a, before_b, links_before = (np.concatenate([[0], np.cumsum(n)]) for n in (in_a, in_b, in_a * in_b))
         wide = in_b[of_a]
-        before = np.cumsum(wide) - wide
-        partner = np.repeat(first_b[of_a] - before, wide) + np.arange(wide.sum())
+        partner = np.repeat(before_b[of_a] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
         codes = np.repeat(flat_a << B_BITS, wide) | flat_b[partner]
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(y) for y in b])
-        sizes = [len(u) if g else 0 for u, g in zip(joined, good, strict=True)]
-        group_end = np.searchsorted(both, np.cumsum(sizes), side="right")
-        n_groups = np.diff(group_end, prepend=0)
-        links_before = np.concatenate([[0], np.cumsum(in_a * in_b)])
-        n_links = links_before[group_end] - links_before[group_end - n_groups]
-        ids_a, ids_b = [self._names[k] for k in flat_a.tolist()], [self._names[k] for k in flat_b.tolist()]
-        first_a, first_b = ([0, *np.cumsum(n).tolist()] for n in (in_a, in_b))
+        ends = np.cumsum([len(u.encode("utf-8")) + 1 for u in some])
+        last = np.searchsorted(both, ends, side="right")
+        first = np.concatenate([[0], last[:-1]])
+        n_a, n_b, n_links = (n[last] - n[first] for n in (before_a, before_b, links_before))
+        ids_a, ids_b = [self._names[k] for k in a], [self._names[k] for k in b]
+        from_a, from_b = before_a.tolist(), before_b.tolist()
         texts = [
-            f"{','.join(ids_a[first_a[g] : first_a[g + 1]])}|{','.join(ids_b[first_b[g] : first_b[g + 1]])}"
+            f"{','.join(ids_a[from_a[g] : from_a[g + 1]])}|{','.join(ids_b[from_b[g] : from_b[g + 1]])}"
             for g in range(len(both))
         ]
-        first = len(self._entry)
-        self._entry.update(zip(new, range(first, first + len(new)), strict=True))
-        self._groups += [";".join(texts[e - n : e]) for e, n in zip(group_end.tolist(), n_groups.tolist(), strict=True)]
-        self._numbers.append(np.stack([n_a, n_b, n_groups, n_links], axis=1).astype(np.int64))
+        groups = [";".join(texts[i:j]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+        self._remember(some, n_a, n_b, last - first, n_links, codes, groups)
+        return True
+
+    def _remember(self, some: list[str], n_a, n_b, n_groups, n_links, codes: np.ndarray, groups: list[str]) -> None:
+        fits = np.array([bool(g) for g in groups])
+        done = int(self._ends[-1][-1]) if len(self._ends[-1]) else 0
+        self._entry.update(zip(some, range(len(self._groups), len(self._groups) + len(some)), strict=True))
+        self._groups += groups
+        self._numbers.append((np.stack([n_a, n_b, n_groups, n_links], axis=1) * fits[:, None]).astype(np.int32))
+        self._ends.append(done + np.cumsum(n_links * fits))
         self._flat.append(codes)
 
 
@@ -173,10 +192,12 @@ def _piece(piece: str) -> bytes:
 
 def tallied(codes: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code, document) pairs in order, each once, with their counts added up."""
-    order = np.lexsort((docs, codes))
-    codes, docs, counts = codes[order], docs[order], counts[order]
-    new = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (docs[1:] != docs[:-1]))[: len(codes)])
-    return codes[new], docs[new], np.add.reduceat(counts, new) if len(new) else counts
+    both = codes << DOC_BITS | docs
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    new = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+    counts = np.add.reduceat(counts[order], new) if len(new) else counts
+    return both[new] >> DOC_BITS, both[new] & ((1 << DOC_BITS) - 1), counts
 
 
 class Postings(NamedTuple):
@@ -252,31 +273,45 @@ class _Block:
         self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._loose = 0
 
-    def add(self, key: pa.Scalar, text: str | None, aligner: Aligner) -> None:
-        n_a = n_b = n_groups = n_links = 0
-        digest, fits, found = hashlib.sha256(), bool(text), []
-        for stretch in units(text or ""):
-            got, groups = aligner.look_up(stretch)
-            if not got.fits:
-                fits = False
-                break
-            digest.update((";" if n_groups else "").encode() + groups.encode())
-            n_a, n_b, n_groups = n_a + got.n_a, n_b + got.n_b, n_groups + got.n_groups
-            n_links += len(got.codes)
-            codes, counts = np.unique(got.codes, return_counts=True)
-            found.append((codes, np.full(len(codes), len(self.rows), dtype=np.int32), counts))
-        if fits:
-            self._parts += found
-            self._loose += sum(len(c) for c, _, _ in found)
+    def add(self, keys: list, texts: list[str | None], aligner: Aligner) -> None:
+        """Short texts, looked up together, or one text of any length."""
+        if len(texts) > 1:
+            split = [_CUT.split(t) if t else [] for t in texts]
+            found = [(range(len(texts)), split, aligner.look_up(list(chain.from_iterable(split))))]
+        else:
+            found = (([0], [stretch], aligner.look_up(stretch)) for stretch in units(texts[0] or ""))
+        first = len(self.rows)
+        sums = np.zeros((len(texts), 4), dtype=np.int64)
+        digests, fits, parts = [hashlib.sha256() for _ in texts], [bool(t) for t in texts], []
+        for which, split, got in found:
+            ends = np.cumsum([len(u) for u in split]).tolist()
+            totals = np.concatenate([np.zeros((1, 4), dtype=np.int64), np.cumsum(np.stack(got[:4], axis=1), axis=0)])
+            for k, end, stretch in zip(which, ends, split, strict=True):
+                groups = got.groups[end - len(stretch) : end]
+                fits[k] = fits[k] and all(groups)
+                if fits[k]:
+                    digests[k].update((";" * bool(sums[k, 2]) + ";".join(groups)).encode())
+                    sums[k] += totals[end] - totals[end - len(stretch)]
+            owner = np.repeat(np.repeat(np.array(which), [len(u) for u in split]), got.n_links)
+            codes, docs, counts = tallied(got.codes, owner + first, np.ones(len(owner), dtype=np.int64))
+            parts.append((codes, docs, counts))
+        good = np.array(fits)
+        for codes, docs, counts in parts:
+            whole = good[docs - first]
+            self._parts.append((codes[whole], docs[whole], counts[whole]))
+            self._loose += len(docs)
             if self._loose > 4_000_000:
                 self._parts, self._loose = [tallied(*self._all())], 0
-        self.keys.append(key)
-        self.rows.append((n_a, n_b, n_groups, n_links, digest.hexdigest()) if fits else (0, 0, 0, 0, ""))
-        self.size += len(text or "") + 64
+        self.keys += keys
+        self.rows += [
+            (*n, digest.hexdigest()) if fit else (0, 0, 0, 0, "")
+            for n, digest, fit in zip(sums.tolist(), digests, fits, strict=True)
+        ]
+        self.size += sum(len(t or "") + 64 for t in texts)
 
     def _all(self) -> list[np.ndarray]:
         if not self._parts:
-            return [np.zeros(0, dtype=t) for t in (np.int64, np.int32, np.int64)]
+            return [np.zeros(0, dtype=np.int64)] * 3
         return [np.concatenate(x) for x in zip(*self._parts, strict=True)]
 
     def row(self, kind: pa.DataType, schema: pa.Schema) -> pa.RecordBatch:
@@ -291,6 +326,17 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str | None]]]:
+    """Rows in runs of about STRETCH bytes; a longer text is a run of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 64
+    at = 0
+    while at < len(size):
+        n = max(1, int(np.searchsorted(np.cumsum(size[at:]), STRETCH)))
+        part = batch.slice(at, n)
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
+        at += n
+
+
 def postings(docs: DataFrame, byte_bpe: str, piece_bpe: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored inverted index, a row per block.
 
@@ -307,9 +353,8 @@ def postings(docs: DataFrame, byte_bpe: str, piece_bpe: str, key: str = "doc_id"
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            keys = batch.column(0).to_pylist()
-            for k, one in enumerate(keys):
-                block.add(one, batch.column(1)[k].as_py(), aligner)
+            for keys, texts in _runs(batch):
+                block.add(keys, texts, aligner)
                 if block.size >= BLOCK_BYTES:
                     yield block.row(kind, arrow)
                     number += 1

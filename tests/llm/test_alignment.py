@@ -54,7 +54,7 @@ def test_stretches_and_blocks_do_not_show(spark, monkeypatch):
     found = brute.alignment(texts, *FILES)
     block = alignment._Block(0)
     for key, text in keyed:
-        block.add(key, text, aligner)
+        block.add([key], [text], aligner)
     assert [(r[0], r[1], r[2], r[3], r[4]) for r in block.rows] == [(*x[:4], x[6]) for x in found]
 
 
@@ -86,5 +86,5 @@ def test_pair_counts_over_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("text", ["x" * 200_000, "ab " * 700_000])
 def test_long_texts(text):
     block, aligner = alignment._Block(0), alignment.Aligner(*FILES)
-    block.add(1, text, aligner)
+    block.add([1], [text], aligner)
     assert block.rows[0][:4] == brute.alignment([text], *FILES)[0][:4]
