@@ -353,15 +353,20 @@ def r6(*names: str) -> str:
 
 KEY = "model, rotation, split"
 
-add("scan_reviews_json", """
+# Every 53rd line has text after its object; of 43 and 47 those that no earlier rule changed.
+REJECTED = "(doc_id % 53 = 0 AND doc_id % 41 <> 0 AND doc_id % 19 <> 0 AND doc_id % 23 <> 0 AND doc_id % 43 <> 0 AND doc_id % 47 <> 0)"
+add("scan_reviews_json", f"""
     SELECT category,
            CASE WHEN doc_id % 41 <> 0 THEN timestamp END AS timestamp,
            CASE WHEN doc_id % 41 <> 0 THEN md5(text) END AS text_md5,
            CASE WHEN doc_id % 41 <> 0 THEN user_id END AS user_id,
            CASE WHEN doc_id % 41 <> 0 THEN parent_asin END AS parent_asin,
-           CASE WHEN doc_id % 41 <> 0 AND (doc_id % 19 = 0 OR doc_id % 23 <> 0) THEN rating END AS rating,
+           CASE WHEN doc_id % 41 <> 0 AND (doc_id % 19 = 0 OR (doc_id % 23 <> 0 AND doc_id % 43 <> 0)) THEN rating END AS rating,
            CASE WHEN doc_id % 41 <> 0 THEN title END AS title
-    FROM raw WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0""")
+    FROM raw WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND NOT {REJECTED}""")
+add("rejected_reviews_json", f"""
+    SELECT category, CASE WHEN doc_id % 13 = 0 THEN 'cut off' ELSE 'text after the value' END AS reason, count(*) AS n
+    FROM raw WHERE doc_id % 13 = 0 OR (doc_id % 17 <> 0 AND {REJECTED}) GROUP BY ALL""")
 add("scan_reviews_parquet", """
     SELECT review_id, category, rating, timestamp, label, generator, md5(text) AS text_md5
     FROM (SELECT * FROM human UNION ALL SELECT * FROM ai) r""")
@@ -612,6 +617,6 @@ add("pending_runs", """
     SELECT v.variant AS model, g.rotation FROM variants v, gens g
     WHERE NOT EXISTS (SELECT 1 FROM metrics m WHERE m.model = v.variant AND m.rotation = g.rotation)""")
 
-add("stream_review_ingest", """
+add("stream_review_ingest", f"""
     SELECT DISTINCT review_id, category, timestamp, label FROM raw_pool
-    WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 41 <> 0""")
+    WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 41 <> 0 AND NOT {REJECTED}""")

@@ -67,6 +67,9 @@ def _raw_lines(spark, sf_dir) -> DataFrame:
         .when(every(41), F.lit('[1, {"rating": 2}]'))
         .when(every(19), F.regexp_replace(line, rating, '"rating":"$1"'))
         .when(every(23), F.regexp_replace(line, rating, '"rating":"abc"'))
+        .when(every(43), F.regexp_replace(line, rating, '"rating":NaN'))
+        .when(every(47), F.regexp_replace(line, r"^\{", '{"rating":77,"title":[],'))
+        .when(every(53), F.concat(line, F.lit(" {}")))
         .when(every(7), F.regexp_replace(line, r'"timestamp":([0-9]+)', '"timestamp":$1.0'))
         .otherwise(line)
         .alias("value"),
@@ -89,6 +92,15 @@ def scan_reviews_json(spark, sf_dir):
     )
 
 
+@query
+def rejected_reviews_json(spark, sf_dir):
+    """The lines of the same files that do not parse, by category and reason."""
+    path = new_folder(spark, "raw")
+    _raw_lines(spark, sf_dir).write.partitionBy("category").text(path)
+    rejected = source.scan_rejected_json(spark, path)
+    return rejected.groupBy("category", "reason").agg(F.count("*").alias("n"))
+
+
 @query
 def scan_reviews_parquet(spark, sf_dir):
     """The human table and the generator tables, written and read together."""

@@ -63,18 +63,18 @@ def build_splits(
 ) -> DataFrame:
     """Stored tables to stored splits, checked for leakage; returns their sizes.
 
-    With ``rotation`` that one is built and any others that are stored stay. The sizes
-    are stored beside the splits, in ``<splits_path>_meta``.
+    With ``rotation`` that one is built and any others that are stored stay; else
+    nothing of an earlier build remains. The sizes are stored beside the splits, in
+    ``<splits_path>_meta``.
     """
     human, ai = reviews.load_all(spark, human_path, generated_dir, generators)
     rows = splits.logo_splits(human, ai, reserve, seed, generators, rotation)
-    reviews.write_splits(rows, splits_path)
-    built = reviews.read_splits(spark, splits_path)
-    if rotation is not None:
-        built = built.where(F.col("rotation") == rotation)
+    replaced = None if rotation is None else [rotation]
+    reviews.write_splits(rows, splits_path, replaced)
+    built = reviews.read_splits(spark, splits_path, replaced)
     splits.assert_no_leakage(built)
     meta_path = f"{splits_path.rstrip('/')}_meta"
-    reviews.write_meta(splits.rotation_meta(built, generators), meta_path)
+    reviews.write_meta(splits.rotation_meta(built, generators), meta_path, replaced)
     meta = reviews.read_meta(spark, meta_path)
     return meta if rotation is None else meta.where(F.col("rotation") == rotation)
 

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from revmill.functions import text as tx
@@ -119,6 +120,47 @@ def test_json_scan_skips_bad_lines(spark, tmp_path):
     assert all(table.select(c).collect() and len(table.select(c).collect()) == 6 for c in table.columns)
 
 
+LINES = [
+    '{"timestamp": 5, "rating": 4}', '{"rating": NaN, "text": "x"}', '{"rating": -Infinity}', '{"rating": 1, "rating": 2.5}',
+    '{"timestamp": 5, "timestamp": null}', '{"deep": ' + "[" * 1_500 + "]" * 1_500 + ', "rating": 3}',
+    '{"timestamp": 1669766400000, "x": NaN, "title": "a \\"NaN\\" b"}', '{"timestamp": 16e2, "x": Infinity}',
+    '{"digits": ' + "9" * 2_000 + ', "rating": 6}', '{"text": {"rating": NaN}, "rating": 7}', "[1, 2]", '  {"rating": 8}\t',
+    '{"rating": 4} x', '{"rating": 4} {}', '{"rating": 4}]x[', '{"rating": 4},{"rating": 5}', "{bad", "{'rating': 1}",
+    '{"rating": INF}', '{"rating": 01}', '{"text": "tab\there"}', '{"rating": 4', '"cut', "nul", '{"a": NaN} {"b": NaN}',
+    '{"rating": 4},"end of line"', "", "   ",
+]
+
+
+def test_every_line_that_python_parses_is_a_row(spark, tmp_path):
+    import json
+
+    def parsed(text):
+        try:
+            return json.loads(text)
+        except json.JSONDecodeError:
+            return None
+
+    (tmp_path / "Books.jsonl").write_text("\n".join(LINES), encoding="utf8")
+    observed = Observation("scan")
+    table = source.scan_reviews_json(spark, str(tmp_path), observed)
+    good = [p for p in map(parsed, LINES) if p is not None]
+    fields = [p if isinstance(p, dict) else {} for p in good]
+    number = lambda x: None if x is None or x != x else float(x)
+    expected = [(p.get("timestamp"), number(p.get("rating")), p.get("title")) for p in fields]
+    found = [tuple(r) for r in table.select("timestamp", "rating", "title").collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    bad = [x for x in LINES if x.strip() and parsed(x) is None]
+    assert observed.get == {"lines": len(good) + len(bad), "rejected": len(bad)}
+    assert all(table.select(c).count() == len(good) for c in table.columns)
+    rejects = source.scan_rejected_json(spark, str(tmp_path)).collect()
+    assert sorted(r["value"] for r in rejects) == sorted(bad)
+    reasons = {r["value"]: r["reason"] for r in rejects}
+    assert reasons['{"rating": 4} x'] == reasons['{"rating": 4} {}'] == "text after the value"
+    assert reasons["{bad"] == reasons['{"rating": 4'] == "cut off"
+    assert reasons["nul"] == "no object" and reasons['{"rating": 01}'] == "not JSON"
+    assert {(r["category"], r["file"].endswith("Books.jsonl")) for r in rejects} == {("Books", True)}
+
+
 def test_null_typed_timestamp_column_reads_as_bigint(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from revmill.operators import splits
 from revmill.schema import GENERATORS, HUMAN, REVIEW
+from revmill.sources import committed
 from revmill.sources import reviews as source
 
 SIZES = {"gpt5mini": 50, "granite": 33, "gemma": 9, "qwen": 41}
@@ -111,8 +112,63 @@ def test_write_and_read_one_split(spark, built, tmp_path):
     assert {r.review_id for r in back.collect()} == {
         r.review_id for r in built.where("rotation = 1 AND split = 'val_indist'").collect()
     }
-    plan = back._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(rotation" in plan
+    files = back.inputFiles()
+    assert files and all("/rotation=1/split=val_indist/" in f for f in files)
+
+
+def held(table):
+    return {(r.rotation, r.split): r.n for r in table.groupBy("rotation", "split").agg(F.count("*").alias("n")).collect()}
+
+
+def test_a_rebuild_leaves_nothing_of_the_one_before(spark, built, tmp_path):
+    path = str(tmp_path / "splits")
+    source.write_splits(built, path)
+    whole = held(source.read_splits(spark, path))
+    files = set(source.read_splits(spark, path, [1]).inputFiles())
+    # Rotation 0 is built again without validation rows: its old ones must go, the others stay as they are.
+    source.write_splits(built.where("rotation = 0 AND split <> 'val_indist'"), path, [0])
+    assert held(source.read_splits(spark, path)) == {k: n for k, n in whole.items() if k != (0, "val_indist")}
+    assert source.read_split(spark, path, 0, "val_indist").collect() == []
+    assert set(source.read_splits(spark, path, [1]).inputFiles()) == files
+    # A rotation that gives no row at all is gone, and so are rotations that a whole build has no more.
+    source.write_splits(built.where("rotation = 9"), path, [2])
+    assert {r for r, _ in held(source.read_splits(spark, path))} == {0, 1, 3}
+    source.write_splits(built.where("rotation < 2"), path)
+    assert held(source.read_splits(spark, path)) == {k: n for k, n in whole.items() if k[0] < 2}
+    source.write_splits(built.where("rotation > 9"), path)
+    assert source.read_splits(spark, path).collect() == []
+
+
+def test_a_failed_write_changes_nothing(spark, built, tmp_path):
+    path = str(tmp_path / "splits")
+    source.write_splits(built, path)
+    before = sorted(tuple(r) for r in source.read_splits(spark, path).collect())
+    broken = built.withColumn("title", F.when(F.col("split") == "val_indist", F.raise_error(F.lit("lost"))).otherwise("t"))
+    with pytest.raises(Exception, match="lost"):
+        source.write_splits(broken, path)
+    assert sorted(tuple(r) for r in source.read_splits(spark, path).collect()) == before
+    # Data that was written but never committed does not count either.
+    built.where("rotation = 0").write.partitionBy("rotation", "split").parquet(f"{path}/data/run=lost")
+    assert sorted(tuple(r) for r in source.read_splits(spark, path).collect()) == before
+
+
+def test_vacuum_removes_what_no_commit_names(spark, built, tmp_path):
+    path = tmp_path / "splits"
+    source.write_splits(built, str(path))
+    source.write_splits(built.where("rotation = 3"), str(path), [3])
+    before = sorted(tuple(r) for r in source.read_splits(spark, str(path)).collect())
+    count = lambda: len(list((path / "data").rglob("split=*")))
+    assert count() == 20
+    removed = committed.vacuum(spark, str(path))
+    assert len(removed) == 1 and removed[0].endswith("/rotation=3") and count() == 16
+    assert sorted(tuple(r) for r in source.read_splits(spark, str(path)).collect()) == before
+
+
+def test_reading_what_was_never_written(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        source.read_splits(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="no folder"):
+        committed.write(spark.createDataFrame([("a/b", 1)], "k string, v int"), str(tmp_path / "odd"), ["k"])
 
 
 def test_labelling_moves_no_text(spark, tmp_path):
