@@ -182,39 +182,71 @@ def with_terms(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, tokens("text").alias("w")).select(*keep, with_pairs(F.col("w")).alias("t"))
 
 
-def tfidf_fit(
-    train: DataFrame, min_df: int = MIN_DF, max_features: int = MAX_FEATURES
+def term_counts(
+    train: DataFrame, by: str | None = None, groups: Sequence[int] = (0,), min_df: int = MIN_DF
 ) -> DataFrame:
-    """The vocabulary: ``term, df, total, idf``.
-
-    Terms of at least ``min_df`` documents, the most frequent ``max_features`` by
-    total count (ties by term); idf = ln((1 + n) / (1 + df)) + 1. Counts per
-    document and in total come from one pass: a text's terms are sorted, each is
-    emitted once, marked where it is the first of its kind, and combined before the
-    shuffle. The last term that gets in is found by position, not by a LIMIT, which
-    would send ``max_features`` rows of every task through one.
+    """Stored rows ``term, df, total, idf`` of all terms of at least ``min_df`` documents, in every group.
+
+    Groups are values of the column ``by`` (a short list, such as the rotations) and a
+    column of the result; without it all rows are one group. Groups share most texts: a
+    text is split into terms once, with how many of each group's rows have it. Counts per
+    document and in total come from one pass: a text's terms are sorted, each is emitted
+    once, marked where it is the first of its kind, and combined before the shuffle.
+    idf = ln((1 + n) / (1 + df)) + 1.
     """
-    terms = with_terms(train).select(F.sort_array("t").alias("t"))
+    held = [F.lit(True) if by is None else F.col(by) == g for g in groups]
+    rows = [f"_rows_{k}" for k in range(len(groups))]
+    texts = train.groupBy("text").agg(*[F.count_if(h).alias(name) for h, name in zip(held, rows, strict=True)])
+    if by is not None:
+        texts = stored(texts, "texts")
+    documents = texts.agg(*[F.sum(name).alias(name) for name in rows]).first()
+    terms = with_terms(texts, *rows).select(*rows, F.sort_array("t").alias("t"))
     first = (F.col("pos") == 0) | (F.get("t", F.col("pos") - 1) != F.col("term"))
     counts = (
-        terms.select("t", F.posexplode_outer("t").alias("pos", "term"))
+        terms.select(*rows, "t", F.posexplode_outer("t").alias("pos", "term"))
         .where(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.count_if(first).alias("df"), F.count("*").alias("total"))
+        .agg(
+            *[F.sum(F.when(first, F.col(name)).otherwise(0)).alias(f"_df{name}") for name in rows],
+            *[F.sum(name).alias(f"_total{name}") for name in rows],
+        )
     )
-    documents = train.agg(F.count("*")).scalar()
-    idf = F.log((documents + 1.0) / (F.col("df") + 1.0)) + 1.0
-    frequent = stored(counts.where(F.col("df") >= min_df).withColumn("idf", idf), "terms")
+    each = [
+        F.struct(
+            F.lit(g).alias(by or "_group"),
+            F.col(f"_df{name}").alias("df"),
+            F.col(f"_total{name}").alias("total"),
+            (F.log(((documents[name] or 0) + 1.0) / (F.col(f"_df{name}") + 1.0)) + 1.0).alias("idf"),
+        )
+        for g, name in zip(groups, rows, strict=True)
+    ]
+    long = counts.select("term", F.inline(F.array(*each))).where(F.col("df") >= min_df)
+    return stored(long if by is not None else long.drop("_group"), "terms")
+
+
+def most_frequent(counts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """The ``max_features`` terms of one group with the largest total (ties by term).
+
+    The last term that gets in is found by position, not by a LIMIT, which would send
+    ``max_features`` rows of every task through one. Give stored counts.
+    """
     # One row per total count that occurs.
     reached = F.sum("n").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0))
-    totals = frequent.groupBy("total").agg(F.count("*").alias("n")).withColumn("reached", reached)
+    totals = counts.groupBy("total").agg(F.count("*").alias("n")).withColumn("reached", reached)
     edge = totals.where(F.col("reached") >= max_features).orderBy(F.desc("total")).first()
     if edge is None:
-        return frequent
-    tied = numbered(frequent.where(F.col("total") == edge["total"]), F.asc("term"))
+        return counts
+    tied = numbered(counts.where(F.col("total") == edge["total"]), F.asc("term"))
     room = max_features - (edge["reached"] - edge["n"])
     within = tied.where(F.col("position") <= room).drop("position")
-    return frequent.where(F.col("total") > edge["total"]).unionByName(within)
+    return counts.where(F.col("total") > edge["total"]).unionByName(within)
+
+
+def tfidf_fit(
+    train: DataFrame, min_df: int = MIN_DF, max_features: int = MAX_FEATURES
+) -> DataFrame:
+    """The vocabulary ``term, df, total, idf``: the most frequent terms of at least ``min_df`` documents."""
+    return most_frequent(term_counts(train, min_df=min_df), max_features)
 
 
 def tfidf_apply(df: DataFrame, vocabulary: DataFrame, key: str = "review_id") -> DataFrame:

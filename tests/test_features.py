@@ -288,3 +288,35 @@ def test_the_tfidf_fit_is_the_optimum_of_all_its_rows(spark):
     p = 1 / (1 + np.exp(-(x @ weights + model.classifier.intercept)))
     assert len(rows) == 300 and np.allclose(np.linalg.norm(x, axis=1), 1)
     assert np.abs(x.T @ (p - y) + weights).max() / 300 < 1e-5 and abs((p - y).mean()) < 1e-5
+
+
+def test_shared_counts_are_those_of_each_group(spark):
+    texts = ["a1 b2 c3 a1", "a1 b2", "c3 c3 d4", "a1 b2 c3 a1", None, "b2 d4 a1 b2"]
+    rows = [(f"r{k}", text, k % 2, r) for k, text in enumerate(texts) for r in range(3) if (k + r) % 3 or r == 0]
+    df = spark.createDataFrame(rows, "review_id string, text string, label int, rotation int")
+    shared = features.term_counts(df, "rotation", [0, 1, 2], min_df=1)
+    for r in range(3):
+        alone = features.term_counts(df.where(F.col("rotation") == r), min_df=1)
+        mine = linear.of_rotation(shared, r)
+        assert sorted(map(tuple, mine.select(alone.columns).collect())) == sorted(map(tuple, alone.collect()))
+
+
+@pytest.mark.parametrize("family", ["binomial", "multinomial"])
+def test_the_largest_gradient_tells_an_optimum_from_a_short_fit(spark, family):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2 if family == "binomial" else 3, 200)
+    x = rng.normal(size=(200, 5)) + y[:, None] * [1, 0, 0.5, 0, -1]
+    df = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "embedding array<double>, label int")
+    good, short = (linear.fit_embedding_lr(df, max_iter=n, family=family) for n in (2000, 2))
+    gradients = []
+    for model in (good, short):
+        found = linear.largest_gradient(model.classifier, model.features(df))
+        z = (x - x.mean(0)) / x.std(0)
+        w, b = model.classifier.coefficientMatrix.toArray(), model.classifier.interceptVector.toArray()
+        s = z @ w.T + b
+        p = 1 / (1 + np.exp(-s)) if family == "binomial" else np.exp(s) / np.exp(s).sum(1, keepdims=True)
+        miss = p - (y[:, None] == np.arange(1 if family == "binomial" else 0, p.shape[1] + (family == "binomial")))
+        by_hand = max(np.abs(miss.T @ z / 200 + w / 200).max(), np.abs(miss.mean(0)).max())
+        assert found == pytest.approx(by_hand, abs=1e-9)
+        gradients.append(found)
+    assert gradients[0] < 1e-4 < 1e-2 < gradients[1]
