@@ -10,9 +10,9 @@ the number of groups.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from revmill.llm.tables import named, read, stored
-from revmill.llm.tokens import Encoder, word_bpe
+from revmill.llm.tokens import shared_encoder, word_bpe
 from revmill.llm.words import release
 
 CAPACITY = 2048
 #: Pieces that are packed together, on average.
 GROUP = 20_000
+#: Pieces of a sequence up to which the search moves two of them at once.
+PAIRED = 12
+#: Donors among which the search takes the emptiest.
+CHOICE = 256
 LONG = T.LongType()
 SALT = "salt_of_piece"
 
@@ -47,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, salt = Encoder(tokenizer), 0
+        encoder, salt = shared_encoder(tokenizer), 0
         for batch in batches:
             rows, start, length, crc, number = [], [], [], [], []
             for row, ids in enumerate(encoder.with_end(batch.column(1).to_pylist())):
@@ -64,7 +68,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
                 salt += len(rows)
                 made = [ids, *(pa.array(x, type=pa.int64()) for x in (start, length, crc, salts)), pa.array(number, type=pa.int32())]
                 yield pa.RecordBatch.from_arrays(made, schema=arrow)
-        encoder = None
         release()
 
     return docs.select(named(key), named(text).cast("string").alias("text_of_row")).mapInArrow(run, schema)
@@ -93,73 +96,99 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], gap: int, lengths: list[int]) -> tuple[list[int], list[int], int] | None:
-    """What to move from the emptier to the fuller sequence, what back, and by how much the fuller one gains.
-
-    Looks at moves, one-for-one, two-for-one and one-for-two exchanges, and takes the
-    largest gain that fits the gap: with the receiver the fuller one, any gain raises
-    the sum of squared fills.
-    """
-    best, found = 0, None
-    pairs = [(lengths[a] + lengths[b], [a, b]) for k, a in enumerate(give) for b in give[k + 1 :]]
-    back = [(lengths[c] + lengths[d], [c, d]) for k, c in enumerate(take) for d in take[k + 1 :]]
-    ones = [(lengths[a], [a]) for a in give]
-    singles = [(lengths[c], [c]) for c in take]
-    for out, into in ((ones, [(0, [])]), (ones, singles), (pairs, singles), (ones, back)):
-        out, into = sorted(out), sorted(into)
-        k = 0
-        # For every piece to move, the smallest return that leaves it within the gap.
-        for n, moved in out:
-            while k < len(into) and n - into[k][0] > gap:
-                k += 1
-            if k == len(into):
+class _Underfull:
+    """The sequences that have room, with their pieces and pairs of pieces found by length."""
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        # What can be moved together out of a sequence, by its length; a bit for every length there is.
+        self.sets: dict[int, dict[tuple[int, ...], int]] = {}
+        self.bits = 0
+        for k in range(len(bins)):
+            self._list(k)
+
+    def _movable(self, k: int) -> list[tuple[int, ...]]:
+        """Single pieces, and pairs where there are few: one of many small pieces fills a gap as well as two."""
+        b = self.bins[k]
+        return [(i,) for i in b] + ([p for p in combinations(b, 2)] if len(b) <= PAIRED else [])
+
+    def _list(self, k: int) -> None:
+        if self.fill[k] < self.capacity:
+            for some in self._movable(k):
+                n = sum(self.size[i] for i in some)
+                self.sets.setdefault(n, {})[some] = k
+                self.bits |= 1 << n
+
+    def _unlist(self, k: int) -> None:
+        if self.fill[k] < self.capacity:
+            for some in self._movable(k):
+                n = sum(self.size[i] for i in some)
+                del self.sets[n][some]
+                if not self.sets[n]:
+                    del self.sets[n]
+                    self.bits ^= 1 << n
+
+    def best(self, k: int) -> tuple[int, tuple[int, ...], tuple[int, ...], int] | None:
+        """(gain, pieces to take in, pieces to give back, donor) that fills sequence k the most.
+
+        A move, a one-for-one, two-for-one or one-for-two exchange. It must raise the sum of
+        squared fills: with it, the sequence is fuller than its donor was. Of CHOICE
+        donors of an equal gain the emptiest counts.
+        """
+        gap, found = self.capacity - self.fill[k], None
+        for back in [(), *self._movable(k)]:
+            given = sum(self.size[i] for i in back)
+            least = given + (found[0] if found else 0)
+            lengths = self.bits & ((2 << (given + gap)) - 1)
+            while lengths >> (least + 1):
+                n = lengths.bit_length() - 1
+                gain = n - given
+                fits = (
+                    (self.fill[d], d, some)
+                    for some, d in self.sets[n].items()
+                    if d != k and self.fill[d] < self.fill[k] + gain and len(some) + len(back) < 4
+                )
+                if fits := list(islice(fits, CHOICE)):
+                    _, donor, some = min(fits)
+                    found = (gain, some, back, donor)
+                    break
+                lengths ^= 1 << n
+            if found and found[0] == gap:
                 break
-            gain = n - into[k][0]
-            if gain > best:
-                best, found = gain, (moved, into[k][1])
-    return None if found is None else (*found, best)
+        return found
+
+    def exchange(self, k: int, gain: int, some: tuple[int, ...], back: tuple[int, ...], donor: int) -> None:
+        self._unlist(k)
+        self._unlist(donor)
+        self.bins[k] = [i for i in self.bins[k] if i not in back] + list(some)
+        self.bins[donor] = [i for i in self.bins[donor] if i not in some] + list(back)
+        self.fill[k] += gain
+        self.fill[donor] -= gain
+        self._list(k)
+        self._list(donor)
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Empty the least filled sequence, over and over, by exchanges that raise the squared fill.
+    """Exchanges between underfull sequences until none raises the sum of squared fills; emptied ones go.
 
-    Ends when the free room of the others is less than the least fill, so that none can
-    be emptied, or when no exchange with any other sequence helps the least filled one.
+    The fullest are filled first, out of the emptiest. Every exchange raises a bounded
+    whole number, so the search ends; it ends early when the room that is left holds no
+    whole sequence, so that none can be emptied.
     """
-    size = lengths.tolist()
-    bins = [list(b) for b in bins]
-    fill = [sum(size[i] for i in b) for b in bins]
-    room = sum(capacity - f for f in fill)
-    open_bins = [(f, k) for k, f in enumerate(fill) if f < capacity]
-    heapq.heapify(open_bins)
-    while open_bins:
-        f, donor = heapq.heappop(open_bins)
-        if f != fill[donor]:
-            continue
-        if room - (capacity - f) < f:
-            break
-        receivers = sorted({k for _, k in open_bins if k != donor and fill[k] < capacity}, key=lambda k: (fill[k], k))
-        helped = True
-        while helped and bins[donor]:
-            helped = False
-            for k in receivers:
-                change = None
-                if bins[donor] and fill[donor] <= fill[k] < capacity:
-                    change = _exchange(bins[donor], bins[k], capacity - fill[k], size)
-                if change is not None:
-                    moved, returned, gain = change
-                    bins[donor] = [i for i in bins[donor] if i not in moved] + returned
-                    bins[k] = [i for i in bins[k] if i not in returned] + moved
-                    fill[k] += gain
-                    fill[donor] -= gain
-                    helped = True
-        for k in receivers:
-            if fill[k] < capacity:
-                heapq.heappush(open_bins, (fill[k], k))
-        if bins[donor]:
+    state = _Underfull([list(b) for b in bins], lengths.tolist(), capacity)
+    changed = True
+    while changed:
+        changed = False
+        underfull = [k for k, f in enumerate(state.fill) if 0 < f < capacity]
+        room = sum(capacity - state.fill[k] for k in underfull)
+        if not underfull or room - capacity < 0:
             break
-        room -= capacity
-    return [b for b in bins if b]
+        for k in sorted(underfull, key=lambda k: (-state.fill[k], k)):
+            while 0 < state.fill[k] < capacity and (found := state.best(k)):
+                state.exchange(k, *found)
+                changed = True
+    return [b for b in state.bins if b]
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -216,6 +216,45 @@ def test_local_search_empties_sequences():
         assert len(best) <= len(packing.best_fit(sizes, 100)) <= -(-sizes.sum() // 100) + 2
 
 
+@pytest.mark.parametrize(("mix", "bins"), [(0, 703), (1, 840), (2, 838)])
+def test_search_beats_best_fit(mix, bins):
+    """Mixes on which best fit leaves room: 711, 865 and 854 sequences."""
+    rng = np.random.default_rng(1)
+    mixes = [[(300, 1101, 2000)], [(600, 901, 2000)], [(400, 701, 1000), (900, 1301, 1000)]]
+    sizes = [np.concatenate([rng.integers(*part) for part in parts]) for parts in mixes][mix]
+    start = packing.best_fit(sizes, 2048)
+    found = packing.local_search(start, sizes, 2048)
+    assert sorted(i for b in found for i in b) == list(range(len(sizes)))
+    assert all(sizes[b].sum() <= 2048 for b in found)
+    squares = [sum(int(sizes[b].sum()) ** 2 for b in bins_) for bins_ in (start, found)]
+    assert len(found) <= bins < len(start) and squares[0] < squares[1]
+
+
+def test_search_ends_where_no_exchange_helps():
+    """Afterwards no move, one-for-one or two-for-one exchange of any two sequences raises the squared fill."""
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(20, 70, 60)
+    found = packing.local_search([[i] for i in range(60)], sizes, 100)
+    fill = [int(sizes[b].sum()) for b in found]
+    room = sum(100 - f for f in fill)
+    sets = lambda b: [(), *((i,) for i in b), *((i, j) for i in b for j in b if i < j)]
+    for k, one in enumerate(found):
+        for d, other in enumerate(found):
+            for some in sets(other)[1:]:
+                for back in sets(one):
+                    gain = int(sizes[list(some)].sum()) - int(sizes[list(back)].sum()) if back else int(sizes[list(some)].sum())
+                    allowed = k != d and len(some) + len(back) < 4 and 0 < gain <= 100 - fill[k]
+                    assert room < 100 or not (allowed and fill[d] < fill[k] + gain)
+
+
+def test_the_encoder_lets_rare_words_go():
+    encoder, fresh = tokens.Encoder(tokens.word_bpe(), remembered=40), tokens.Encoder(tokens.word_bpe())
+    for k in range(30):
+        texts = [f"the The, cat {k}x word{k} a{k}b; été-{k} " * 3, "the cat sat. on the mat!", None]
+        assert [a.tolist() for a in encoder.encode(texts)] == [a.tolist() for a in fresh.encode(texts)]
+        assert len(encoder._entry) < 80 and "the" in encoder._entry
+
+
 @pytest.mark.parametrize("name, label, folds, held, limit", [("op3_quality", "quality", 5, 0, 0.9), ("op7_toxicity", "toxic", 3, 1, 0.85)])
 def test_classifiers_on_held_out_rows(spark, name, label, folds, held, limit):
     sf = "/root/testdata/sf0.01"
