@@ -434,6 +434,21 @@ add("human_pool", """
                 FROM raw_pool) r JOIN quota USING (category)
           WHERE rn <= quota) q
     WHERE copy = 1""")
+add("pool_in_file_order", f"""
+    SELECT review_id, category, parent_asin, rating, title, timestamp, label, generator,
+           md5(text) AS text_md5
+    FROM (SELECT *, row_number() OVER (PARTITION BY review_id
+                        ORDER BY file, parent_asin NULLS FIRST, rating NULLS FIRST, title NULLS FIRST, text) AS copy
+          FROM (SELECT r.*, quota,
+                       rank() OVER (PARTITION BY r.category, file ORDER BY {shuffle_order('42', 'review_id')}) AS place,
+                       n, before
+                FROM (SELECT *, doc_id * 8 // ((SELECT max(doc_id) FROM documents) + 1) AS file FROM raw_pool) r
+                JOIN quota USING (category)
+                JOIN (SELECT category, file, n, sum(n) OVER (PARTITION BY category ORDER BY file) - n AS before
+                      FROM (SELECT category, doc_id * 8 // ((SELECT max(doc_id) FROM documents) + 1) AS file, count(*) AS n
+                            FROM raw_pool GROUP BY ALL) c) f USING (category, file)) p
+          WHERE before + n <= quota OR (before < quota AND place <= quota - before)) q
+    WHERE copy = 1""")
 add("category_counts", "SELECT category, count(*) AS n FROM human GROUP BY category")
 add("word_count_stats", f"""
     SELECT min(w) AS min, max(w) AS max, round(avg(w), 6) AS mean

@@ -25,7 +25,7 @@ from revmill.operators import (
 from revmill.plans import inputs
 from revmill.schema import GENERATORS, TEST_SPLITS
 from revmill.session import new_folder, stored
-from revmill.sources import results
+from revmill.sources import early, results
 from revmill.sources import reviews as source
 from revmill.streaming.ingest import ingest_stream
 
@@ -291,6 +291,24 @@ def human_pool(spark, sf_dir):
     return built.withColumn("text_md5", F.md5("text")).drop("text")
 
 
+FILES = 8
+
+
+@query
+def pool_in_file_order(spark, sf_dir):
+    """The pool of the first passing reviews in eight files per category; the rest is not read."""
+    path = new_folder(spark, "files")
+    raw = inputs.raw_reviews(spark, sf_dir)
+    most = raw.agg(F.max("doc_id")).first()[0]
+    line = F.to_json(F.struct("timestamp", "text", "user_id", "parent_asin", "rating", "title"))
+    place = F.expr(f"cast(doc_id * {FILES} div {most + 1} as int)")
+    placed = raw.select("category", line.alias("value"), place.alias("place")).repartitionById(FILES, "place")
+    placed.drop("place").write.partitionBy("category").text(path)
+    quota = {r["category"]: r["quota"] for r in _quota(spark, sf_dir).collect()}
+    built = early.build_pool_from_files(spark, path, quota)
+    return built.withColumn("text_md5", F.md5("text")).drop("text")
+
+
 @query
 def category_counts(spark, sf_dir):
     return pool.value_counts(inputs.human(spark, sf_dir), "category")
