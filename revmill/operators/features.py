@@ -5,7 +5,7 @@ from typing import NamedTuple
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,8 @@ def encode_generator(df: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -
 # --- Token ids ---------------------------------------------------------------
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
+#: Words of a vocabulary that every task has at hand, and their longest spelling: a few MB at most.
+HEAD, LONG_WORD = 20_000, 64
 
 
 def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
@@ -75,7 +77,12 @@ def word_vocabulary(df: DataFrame, max_features: int | None = None) -> DataFrame
     ranked = numbered(counts, F.desc("n"), F.asc("word"))
     if max_features is not None:
         ranked = ranked.where(F.col("position") <= max_features)
-    return ranked.select("word", (F.col("position") + (FIRST_ID - 1)).alias("id"))
+    return stored(ranked.select("word", (F.col("position") + (FIRST_ID - 1)).alias("id")), "vocabulary")
+
+
+def _short(word: str) -> Column:
+    """A word, or the digest of one that is longer than LONG_WORD; words hold no blank."""
+    return F.when(F.length(word) <= LONG_WORD, F.col(word)).otherwise(F.concat(F.lit(" "), F.sha2(word, 256)))
 
 
 def encode_tokens(
@@ -88,23 +95,39 @@ def encode_tokens(
     """``input_ids`` and ``attention_mask`` of length ``max_len`` per text, and columns to keep.
 
     Longer texts are truncated, shorter ones padded with 0; words outside the
-    vocabulary get 1. Rows are placed by key once, before the words are exploded,
-    so that regrouping them needs no second shuffle. A key that stands in two rows
-    is an error.
+    vocabulary get 1. The first ``max_len`` words of the texts are placed by key once.
+    The HEAD most frequent words of the vocabulary are looked up there; only the other
+    words are shuffled, each of them at most one in HEAD of all words, so no word gathers
+    a task's worth of rows, and their ids come back to the placed texts. A key that
+    stands in two rows is an error.
     """
     first = F.slice(words(F.lower("text")), 1, max_len)
-    placed = df.select(key, *keep, first.alias("words")).repartition(key)
-    long = placed.select(key, *keep, F.posexplode_outer("words").alias("pos", "word"))
-    found = long.join(vocabulary, "word", "left")
-    ids = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id")))
-    grouped = found.groupBy(key).agg(
-        F.sort_array(F.collect_list(ids)).alias("ids"), *[F.first(c).alias(c) for c in keep]
+    # A struct of a null key equals itself, so that rows without a key get their rare words back too.
+    placed = df.select(F.struct(key).alias("_key"), *keep, first.alias("words")).repartition("_key")
+    long = placed.select("_key", *keep, F.posexplode_outer("words").alias("pos", "word"))
+    frequent = F.col("id") < FIRST_ID + HEAD
+    head = vocabulary.where(frequent).select(_short("word").alias("_short"), "id")
+    marked = long.join(F.broadcast(head), _short("word") == F.col("_short"), "left")
+    known = marked.groupBy("_key").agg(
+        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id"))).alias("ids"),
+        *[F.first(c).alias(c) for c in keep],
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("_rows"),
+    )
+    rare = marked.where(F.col("id").isNull() & F.col("word").isNotNull()).select("_key", "pos", "word")
+    rare = rare.join(vocabulary.where(~frequent), "word", "left")
+    rare = rare.groupBy("_key").agg(
+        F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))).alias("_rare")
+    )
+    grouped = known.join(rare, "_key", "left").select(
+        F.col("_key")[key].alias(key),
+        *keep,
+        "_rows",
+        F.sort_array(F.concat("ids", F.coalesce("_rare", F.array().cast(known.schema["ids"].dataType)))).alias("ids"),
     )
-    places = F.col("ids").getField("pos")
     twice = F.raise_error(F.concat(F.lit("two rows with the key "), F.col(key).cast("string")))
     grouped = grouped.withColumn(
         "ids",
-        F.when(F.size(F.array_distinct(places)) == F.size("ids"), F.col("ids").getField("id")).otherwise(twice),
+        F.when(F.col("_rows") == 1, F.col("ids").getField("id")).otherwise(twice),
     )
     pad = F.lit(max_len) - F.size("ids")
     return grouped.select(

@@ -320,3 +320,31 @@ def test_the_largest_gradient_tells_an_optimum_from_a_short_fit(spark, family):
         assert found == pytest.approx(by_hand, abs=1e-9)
         gradients.append(found)
     assert gradients[0] < 1e-4 < 1e-2 < gradients[1]
+
+
+def test_frequent_and_rare_words_get_the_same_ids(spark, monkeypatch):
+    """Head and tail meet anywhere in the vocabulary; long words are found by their digest."""
+    rng = np.random.default_rng(3)
+    names = [f"{'long' * (k % 9)}w{k}" for k in range(300)]
+    texts = [(f"r{k}", " ".join(rng.choice(names, 40, p=1 / np.arange(1, 301) / (1 / np.arange(1, 301)).sum()))) for k in range(60)]
+    df = spark.createDataFrame([*texts, ("none", None), (None, "nothing known")], "review_id string, text string")
+    vocabulary = features.word_vocabulary(df.limit(40))
+    ids = {r.word: r.id for r in vocabulary.collect()}
+    expected = {k: [ids.get(w, 1) for w in t.split()] for k, t in texts} | {"none": [], None: [1, 1]}
+    for head, long_word in ((20_000, 64), (5, 12), (0, 0)):
+        monkeypatch.setattr(features, "HEAD", head)
+        monkeypatch.setattr(features, "LONG_WORD", long_word)
+        rows = features.encode_tokens(df, vocabulary, 50).collect()
+        assert {r.review_id: r.input_ids[: sum(r.attention_mask)] for r in rows} == expected
+
+
+def test_token_ids_place_texts_once(spark):
+    """One exchange of word lists, used twice; frequent words never move again."""
+    df = spark.createDataFrame([("a", "x y"), ("b", "z"), (None, "only rare")], "review_id string, text string")
+    encoded = features.encode_tokens(df, features.word_vocabulary(df))
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(_key" in line]
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
+    encoded.collect()
+    final = encoded._jdf.queryExecution().executedPlan().toString()
+    assert exchanges and "ReusedExchange" in final
