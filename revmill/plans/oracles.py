@@ -646,5 +646,12 @@ add("pending_runs", """
     WHERE NOT EXISTS (SELECT 1 FROM metrics m WHERE m.model = v.variant AND m.rotation = g.rotation)""")
 
 add("stream_review_ingest", f"""
-    SELECT DISTINCT review_id, category, timestamp, label FROM raw_pool
-    WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 41 <> 0 AND NOT {REJECTED}""")
+    SELECT review_id, category, parent_asin, rating, timestamp, label, text_md5
+    FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY wave, parent_asin NULLS FIRST,
+                                       rating NULLS FIRST, title NULLS FIRST, text) AS copy
+          FROM (SELECT review_id, category, parent_asin, title, text, timestamp, label, 2 - doc_id % 3 AS wave,
+                       md5(text) AS text_md5,
+                       CASE WHEN doc_id % 19 = 0 OR (doc_id % 23 <> 0 AND doc_id % 43 <> 0) THEN rating END AS rating
+                FROM raw_pool
+                WHERE doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 41 <> 0 AND NOT {REJECTED}) r) s
+    WHERE copy = 1""")

@@ -54,9 +54,14 @@ def long_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
 # --- Sources and sinks -------------------------------------------------------
 
 
-def _raw_lines(spark, sf_dir) -> DataFrame:
-    """Raw reviews as lines: some malformed, blank, arrays, or with a field of another type."""
+def _raw_lines(spark, sf_dir, chosen=None, *together) -> DataFrame:
+    """Raw reviews as lines: some malformed, blank, arrays, or with a field of another type.
+
+    Only the ``chosen`` ones, if given, with rows of the same ``together`` in one part.
+    """
     raw = inputs.raw_reviews(spark, sf_dir)
+    if chosen is not None:
+        raw = raw.where(chosen).repartition(*together)
     line = F.to_json(F.struct("timestamp", "text", "user_id", "parent_asin", "rating", "title"))
     every = lambda n: F.col("doc_id") % n == 0
     rating = r'"rating":([0-9.]+)'
@@ -778,9 +783,13 @@ def pending_runs(spark, sf_dir):
 
 @query
 def stream_review_ingest(spark, sf_dir):
-    """The pool filter as a stream over JSON files, in several micro-batches."""
+    """The pool filter as a stream over JSON files that are written in three waves; first arrivals stay."""
     landing, out, state = (new_folder(spark, name) for name in ("landing", "ingested", "state"))
-    lines = _raw_lines(spark, sf_dir).repartition(6)
-    lines.write.partitionBy("category").text(landing)
-    ingest_stream(spark, landing, out, state, files_per_trigger=8).awaitTermination()
-    return source.scan_reviews(spark, out).select("review_id", "category", "timestamp", "label")
+    for wave in (2, 1, 0):
+        # Copies of one wave are in one file.
+        lines = _raw_lines(spark, sf_dir, F.col("doc_id") % 3 == wave, "user_id", "timestamp")
+        lines.write.mode("append").partitionBy("category").text(landing)
+    ingest_stream(spark, landing, out, state, files_per_trigger=6).awaitTermination()
+    return source.scan_reviews(spark, out).select(
+        "review_id", "category", "parent_asin", "rating", "timestamp", "label", F.md5("text").alias("text_md5")
+    )

@@ -67,7 +67,10 @@ def _loosely():
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
-    """Every line that is not blank: value, category, file, file_block, and ``row``, null if it does not parse.
+    """Every line that is not blank: value, category, file, arrival, and ``row``, null if it does not parse.
+
+    ``arrival`` orders lines by when their file was last written, its path, and the block
+    of the file in which they stand.
 
     A line parses if it is one JSON value. What the strict parser turns down (a field
     named twice, NaN and Infinity, values nested without end) is read once more. A field
@@ -80,7 +83,11 @@ def read_lines(lines: DataFrame) -> DataFrame:
         "value",
         category_of(F.col("_metadata.file_path")).alias("category"),
         F.col("_metadata.file_path").alias("file"),
-        F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("file_block"),
+        F.struct(
+            F.unix_micros("_metadata.file_modification_time").alias("written"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        ).alias("arrival"),
         F.when(strict, F.array(fields)).when(loose, F.array(again)).alias("row"),
     )
 
@@ -97,7 +104,7 @@ def parsed_lines(lines: DataFrame, observation: Observation | None = None) -> Da
         rows = rows.observe(
             observation, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("row").isNull()).alias("rejected")
         )
-    return rows.select(F.inline("row"), "category", "file_block")
+    return rows.select(F.inline("row"), "category", "arrival")
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def _lines(spark: SparkSession, path) -> DataFrame:
 
 def scan_reviews_json(spark: SparkSession, path, observation: Observation | None = None) -> DataFrame:
     """Raw reviews from JSON lines, one file or folder per category."""
-    return parsed_lines(_lines(spark, path), observation).drop("file_block")
+    return parsed_lines(_lines(spark, path), observation).drop("arrival")
 
 
 def scan_rejected_json(spark: SparkSession, path) -> DataFrame:
