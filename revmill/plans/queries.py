@@ -57,7 +57,7 @@ def long_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
 def _raw_lines(spark, sf_dir, chosen=None, *together) -> DataFrame:
     """Raw reviews as lines: some malformed, blank, arrays, or with a field of another type.
 
-    Only the ``chosen`` ones, if given, with rows of the same ``together`` in one part.
+    Only the ``chosen`` ones, if given, placed as ``repartition`` would by ``together``.
     """
     raw = inputs.raw_reviews(spark, sf_dir)
     if chosen is not None:
@@ -787,9 +787,9 @@ def stream_review_ingest(spark, sf_dir):
     landing, out, state = (new_folder(spark, name) for name in ("landing", "ingested", "state"))
     for wave in (2, 1, 0):
         # Copies of one wave are in one file.
-        lines = _raw_lines(spark, sf_dir, F.col("doc_id") % 3 == wave, "user_id", "timestamp")
+        lines = _raw_lines(spark, sf_dir, F.col("doc_id") % 3 == wave, 6, "user_id", "timestamp")
         lines.write.mode("append").partitionBy("category").text(landing)
-    ingest_stream(spark, landing, out, state, files_per_trigger=6).awaitTermination()
+    ingest_stream(spark, landing, out, state, files_per_trigger=30).awaitTermination()
     return source.scan_reviews(spark, out).select(
         "review_id", "category", "parent_asin", "rating", "timestamp", "label", F.md5("text").alias("text_md5")
     )
