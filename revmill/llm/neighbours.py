@@ -3,7 +3,9 @@
 Both halves of a vector are quantised by codebooks of their own; a cell is a pair of
 centroids. For a query the centroids of each half are ranked by inner product, and a heap
 walks the pairs in the order of their sum until the cells passed hold enough entries.
-Those entries are scored exactly.
+Those entries are scored exactly. How many are enough is measured: a sample of the queries
+is compared with all entries, and the walk is made as long as RECALL of their true
+neighbours needs.
 
 Equal vectors are one entry that keeps its smallest ids, which loses nothing: of equal
 scores the smaller ids come first. Entries lie in blocks of a first-half centroid, large
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from revmill.llm.tables import named, read, shuffled, stored
 
@@ -29,9 +32,11 @@ SAMPLE = 20_000
 ROUNDS = 10
 #: Centroids of a half: the fourth root of the entries times this, within bounds.
 PER_ROOT, FEWEST, MOST = 8, 4, 256
-#: Entries that a query passes at least: so many, and this share of all. Directions without
-#: structure need a large share; the recall of both is measured in the tests.
-CANDIDATES, PASSED = 8_192, 0.5
+#: Share of the sampled queries' true neighbours that the walk has to reach, and the sample.
+#: Vectors without structure need a large part of all entries for it.
+RECALL, CALIBRATING = 0.95, 128
+#: Entries that a query passes at least, however few would do for the sample.
+CANDIDATES = 1_024
 #: Entries of a block on average at most.
 BLOCK = 10_000
 #: Queries whose scores for a block are held at once.
@@ -130,6 +135,16 @@ class MultiIndex:
             held += n
         return np.array(group), np.array(parts)
 
+    def passed_before(self, query: np.ndarray, cells: list[int]) -> list[int]:
+        """Entries that a walk passes before it comes to each of the cells, numbered i * MOST + j."""
+        half = self.first.shape[1]
+        sums = (self.first @ query[:half])[:, None] + (self.second @ query[half:])[None, :]
+        order = np.argsort(-sums, axis=None, kind="stable")
+        before = np.empty(sums.size, dtype=np.int64)
+        counts = self.counts.ravel()[order]
+        before[order] = np.cumsum(counts) - counts
+        return [int(before[cell // MOST * len(self.second) + cell % MOST]) for cell in cells]
+
     def walk(self, query: np.ndarray, enough: int) -> dict[int, list[int]]:
         """Non-empty cells by first centroid, in order of summed inner product until they hold `enough`."""
         half = self.first.shape[1]
@@ -160,6 +175,50 @@ def built(distinct: DataFrame, count: int) -> MultiIndex:
     return MultiIndex(codebook(x[:, :half], size), codebook(x[:, half:], size))
 
 
+def calibrated(placed: DataFrame, index: MultiIndex, queries: list[bytes], nearest: int, recall: float) -> int:
+    """The least number of entries to pass so that `recall` of the queries' `nearest` entries are among them.
+
+    `placed` are all entries with their cells. Each task keeps the best of its own entries
+    for every query; the driver gets the cells of the best of all, `nearest` for a query.
+    """
+    if not queries:
+        return 0
+    asked = np.frombuffer(b"".join(queries)).reshape(len(queries), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, cell = (np.empty((len(asked), 0), dtype) for dtype in (np.float64, np.int64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = batch.column("vector").to_pylist()
+            mine = asked @ _matrix(batch.column("vector")).T
+            # A query is no neighbour of its own, unless another row is equal.
+            alone = {v: k for k, (v, n) in enumerate(zip(data, batch.column("n").to_pylist(), strict=True)) if n == 1}
+            for q, query in enumerate(queries):
+                if query in alone:
+                    mine[q, alone[query]] = -np.inf
+            cells = batch.column("i").to_numpy().astype(np.int64) * MOST + batch.column("j").to_numpy()
+            score = np.concatenate([score, mine], axis=1)
+            cell = np.concatenate([cell, np.broadcast_to(cells, mine.shape)], axis=1)
+            at = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
+            score, cell = (np.take_along_axis(x, at, axis=1) for x in (score, cell))
+        q, k = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q, pa.int32()), pa.array(score[q, k]), pa.array(cell[q, k])], ["q", "score", "cell"]
+        )
+
+    entries = placed.select("vector", F.size("ids").alias("n"), "i", "j")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "cell")
+    found = entries.mapInArrow(run, "q int, score double, cell long").withColumn("k", F.row_number().over(best))
+    reached: dict[int, list[int]] = {}
+    for row in found.where(F.col("k") <= nearest).select("q", "cell").collect():  # CALIBRATING * nearest rows
+        reached.setdefault(row["q"], []).append(row["cell"])
+    before = np.array([n for q, cells in reached.items() for n in index.passed_before(asked[q], cells)])
+    if not len(before):
+        return 0
+    return int(np.sort(before)[int(np.ceil(recall * len(before))) - 1]) + 1
+
+
 def _best(x: np.ndarray, query: np.ndarray, rough: np.ndarray, ids: list[list[int]], most: int):
     """Ids and exact scores of the `most` best rows, ties to smaller ids.
 
@@ -182,23 +241,23 @@ def search(
     nearest: int = NEAREST,
     every: int = QUERY_EVERY,
     enough: int = CANDIDATES,
-    passed: float = PASSED,
+    recall: float = RECALL,
     key: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the best found of all other rows for each row whose key `every` divides.
+    """(query_id, rank, vec_id, score, n_passed): the best found of all other rows for each row whose key `every` divides.
 
-    Scores are inner products in double precision, ties go to the smaller key. Repeated
+    A query passes `n_passed` entries at least: what reaches `recall` of the neighbours of
+    a sample of the queries, and not under `enough`. Scores are inner products in double precision, ties go to the smaller key. Repeated
     rows count once; a row is another if its key is. Without rows there is no result.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
     distinct = stored(entries(rows, nearest + 1), "entries")
     count = distinct.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_passed long")
     if not count:
         return empty
-    enough = max(enough, int(np.ceil(passed * count)))
     index = built(distinct, count)
     book = spark.sparkContext.broadcast(index)
 
@@ -214,7 +273,6 @@ def search(
     counted = MultiIndex(index.first, index.second)
     for r in placed.groupBy("i", "j").count().collect():  # at most MOST * MOST rows
         counted.counts[r["i"], r["j"]] = r["count"]
-    ready = spark.sparkContext.broadcast(counted)
     group, parts = (F.array(*[F.lit(int(n)) for n in x]) for x in counted.blocks())
     held = placed.select(
         "vector", "ids", (F.col("i") * MOST + F.col("j")).alias("cell"), F.get(group, F.col("i")).alias("group")
@@ -223,6 +281,19 @@ def search(
 
     queries = rows.where(F.col("id") % every == 0).select("id", "vector").distinct()
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) + 0.0
+            data = pa.array([v.tobytes() for v in flat], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), data], ["query_id", "query"])
+
+    asked = stored(queries.mapInArrow(packed, "query_id long, query binary"), "queries")
+    different = asked.select("query").distinct()
+    sample = different.orderBy(F.xxhash64("query"), "query").limit(CALIBRATING).collect()
+    sample = [bytes(r["query"]) for r in sample] if enough < count else []
+    enough = max(enough, calibrated(placed, counted, sample, nearest, recall))
+    ready = spark.sparkContext.broadcast(counted)
+
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ready.value
         group, parts = index.blocks()
@@ -239,16 +310,10 @@ def search(
                     ["query", "group", "part", "cells"],
                 )
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) + 0.0
-            data = pa.array([v.tobytes() for v in flat], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), data], ["query_id", "query"])
-
-    asked = stored(queries.mapInArrow(packed, "query_id long, query binary"), "queries")
-    # A number of its own, as walks take long and their rows are few.
-    different = asked.select("query").distinct().repartition(shuffled(vectors), "query")
-    asking = different.mapInArrow(walks, "query binary, group int, part int, cells array<int>")
+    # Placed by another key than the distinct's, or the planner drops it and the walks,
+    # which take long and are few rows, end up in one task.
+    spread = different.repartition(shuffled(vectors), F.xxhash64("query"))
+    asking = spread.mapInArrow(walks, "query binary, group int, part int, cells array<int>")
 
     def score(key: tuple, ours: pa.Table, theirs: pa.Table) -> pa.Table:
         cell, x, ids = ours["cell"].to_numpy(), _matrix(ours["vector"]), ours["ids"].to_pylist()
@@ -281,6 +346,7 @@ def search(
             (F.col("at") + 1).cast("int").alias("rank"),
             F.col("found.vec_id").alias("vec_id"),
             (-F.col("found.away")).alias("score"),
+            F.lit(min(enough, count)).cast("long").alias("n_passed"),
         )
     )
 

@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from revmill.llm import chat, neighbours, simhash
@@ -67,8 +68,24 @@ def test_nearest_neighbours_of_a_small_table_are_exact(spark):
         assert np.allclose([s for _, s in found[key]], [s for _, s in near], rtol=1e-12)
 
 
-def test_recall_when_only_a_share_is_passed(spark):
-    """Recall against brute force of the production share, with no least number of candidates."""
+def recall(spark, x, **options):
+    """(share of the true neighbours found, entries passed) by queries against brute force in numpy."""
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found, passed = {}, 0
+    for r in neighbours.search(rows.repartition(8), **options).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        passed = r["n_passed"]
+    hits = 0
+    for q in range(0, len(x), neighbours.QUERY_EVERY):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argpartition(-scores, neighbours.NEAREST)[: neighbours.NEAREST].tolist()))
+    assert len(found) == -(-len(x) // neighbours.QUERY_EVERY)
+    return hits / (len(found) * neighbours.NEAREST), passed
+
+
+def test_recall_without_a_least_number_of_candidates(spark):
+    """Entries passed are what the sampled queries need, and the others find as much."""
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     expected = brute.nearest([(r["vec_id"], r["embedding"]) for r in table.collect()])
     found = {}
@@ -78,6 +95,27 @@ def test_recall_when_only_a_share_is_passed(spark):
     assert hits >= 0.9 * sum(map(len, expected.values()))
 
 
+def test_recall_with_production_settings_on_many_vectors(spark):
+    rng = np.random.default_rng(3)
+    found, passed = recall(spark, rng.normal(size=(18_000, 16)))
+    assert found >= 0.9
+    assert passed < 18_000
+
+
+def test_clustered_vectors_pass_few_entries(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 32))[rng.integers(0, 60, 18_000)] + 0.1 * rng.normal(size=(18_000, 32))
+    found, passed = recall(spark, x)
+    assert found >= 0.9
+    assert passed < 1_800
+
+
+def test_walks_are_spread_over_tasks(spark):
+    different = spark.range(1000).select(F.col("id").cast("string").cast("binary").alias("query")).distinct()
+    spread = different.repartition(neighbours.shuffled(different), F.xxhash64("query"))
+    assert spread.select(F.spark_partition_id()).distinct().count() == neighbours.shuffled(different)
+
+
 def test_equal_vectors_are_one_entry_with_its_smallest_ids(spark):
     rows = [(k, [1.0, 2.0]) for k in range(500)] + [(1000 + k, [2.0, float(k % 3)]) for k in range(50)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
