@@ -2,8 +2,6 @@
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,42 +29,44 @@ def cross_entropy(df: DataFrame, logits: str, label: str, by: Sequence[str] = ("
     return df.groupBy(*by).agg(F.avg(negative_log_softmax(logits, label)).alias("loss"))
 
 
-def supcon_of_batch(temperature: float):
-    """The supervised contrastive loss of each batch of unit vectors.
-
-    Anchors without a partner of their class do not count; a batch without any
-    pair has loss 0.
-    """
+def _gathered(vector: str, label: str) -> Column:
+    return F.collect_list(F.struct(F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("y")))
 
-    def one(vectors, labels) -> float:
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        y = np.asarray(labels)
-        logits = x @ x.T / temperature
-        logits -= logits.max(axis=1, keepdims=True)
-        others = ~np.eye(len(y), dtype=bool)
-        partners = (y[:, None] == y[None, :]) & others
-        log_sum = np.log((np.exp(logits) * others).sum(axis=1) + 1e-12)
-        count = partners.sum(axis=1)
-        if not count.any():
-            return 0.0
-        mean = (logits * partners).sum(axis=1)[count > 0] / count[count > 0]
-        return float((log_sum[count > 0] - mean).mean())
 
-    @F.pandas_udf("double")
-    def losses(vectors: pd.Series, labels: pd.Series) -> pd.Series:
-        return pd.Series([one(v, y) for v, y in zip(vectors, labels)], dtype="float64")
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    return losses
 
+def _of_anchor(logits: Column, i: Column, labels: Column) -> Column:
+    """(log of the summed exponents, sum over partners, number of partners) of one anchor, its largest logit at 0."""
+    most = F.array_max(logits)
+    exponents = F.transform(logits, lambda x, j: F.when(j != i, F.exp(x - most)).otherwise(0.0))
+    partner = lambda j: (j != i) & (F.get(labels, j) == F.get(labels, i))
+    of_partners = F.transform(logits, lambda x, j: F.when(partner(j), x - most))
+    add = lambda column: F.aggregate(column, F.lit(0.0), lambda s, x: s + x)
+    return F.struct(
+        F.log(add(exponents) + 1e-12).alias("log_sum"),
+        add(F.filter(of_partners, F.isnotnull)).alias("partners"),
+        F.size(F.filter(of_partners, F.isnotnull)).alias("n"),
+    )
 
-def _gathered(vector: str, label: str) -> Column:
-    return F.collect_list(F.struct(F.col(vector).alias("v"), F.col(label).alias("y")))
 
+def _with_supcon(batches: DataFrame, name: str, size: int, temperature: float) -> DataFrame:
+    """Batches with the supervised contrastive loss of their ``rows`` of unit vectors instead of these.
 
-def _supcon_of(rows: str, size: int, temperature: float) -> Column:
+    Anchors without a partner of their class do not count; a batch without any pair has
+    loss 0. Pairs are elements of arrays inside the batch's row.
+    """
+    rest = [F.col(c) for c in batches.columns if c != "rows"]
     too_large = F.raise_error(F.lit(f"a batch has more than {size} rows"))
-    rows = F.when(F.size(rows) > size, too_large).otherwise(F.col(rows))
-    return supcon_of_batch(temperature)(rows["v"], rows["y"])
+    rows = batches.select(*rest, F.when(F.size("rows") > size, too_large).otherwise(F.col("rows")).alias("rows"))
+    logits = F.transform("rows.v", lambda a: F.transform("rows.v", lambda b: _dot(a, b) / F.lit(temperature)))
+    pairs = rows.select(*rest, F.col("rows.y").alias("labels"), logits.alias("logits"))
+    anchors = F.transform("logits", lambda x, i: _of_anchor(x, i, F.col("labels")))
+    counted = pairs.select(*rest, F.filter(anchors, lambda x: x["n"] > 0).alias("anchors"))
+    total = F.aggregate("anchors", F.lit(0.0), lambda s, x: s + x["log_sum"] - x["partners"] / x["n"])
+    loss = F.when(F.size("anchors") > 0, total / F.size("anchors")).otherwise(0.0)
+    return counted.select(*rest, loss.alias(name))
 
 
 def supcon(
@@ -79,12 +79,12 @@ def supcon(
 ) -> DataFrame:
     """Supervised contrastive loss per batch of ``training_batches``.
 
-    A batch is gathered as one row, so it must not exceed ``size`` rows: the
-    matrix product of a batch runs inside its row and no pair is ever a row.
+    A batch is gathered as one row, so it must not exceed ``size`` rows: the products
+    of a batch are array expressions inside its row and no pair is ever a row.
     A larger batch is an error and not a silent sample.
     """
     rows = batches.groupBy(batch).agg(_gathered(vector, label).alias("rows"))
-    return rows.select(batch, _supcon_of("rows", size, temperature).alias("loss"))
+    return _with_supcon(rows, "loss", size, temperature)
 
 
 def loss_parts(
@@ -104,8 +104,7 @@ def loss_parts(
         F.avg(negative_log_softmax(gen_logits, gen_label)).alias("adversarial"),
         _gathered(vector, label).alias("rows"),
     )
-    contrastive = _supcon_of("rows", size, temperature).alias("contrastive")
-    return rows.select(batch, "ce", contrastive, "adversarial")
+    return _with_supcon(rows, "contrastive", size, temperature).select(batch, "ce", "contrastive", "adversarial")
 
 
 def variants_array() -> Column:

@@ -237,6 +237,8 @@ def test_supcon(spark):
     df = spark.createDataFrame(rows, "batch_id int, z array<double>, y int").repartition(3)
     got = {r.batch_id: r.loss for r in losses.supcon(df, "z", "y").collect()}
     assert got == pytest.approx(expected) and got[1] == got[2] == 0.0
+    plan = losses.supcon(df, "z", "y")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     with pytest.raises(Exception, match="more than 3 rows"):
         losses.supcon(df, "z", "y", size=3).collect()
 
