@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, clashing columns and empty tables, for every operator."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import types as T
 
@@ -132,3 +134,27 @@ def test_records_of_no_layout_and_null_turns(spark):
     made = {r["id"]: (r["layout"], len(r["turns"])) for r in chat.canonical(records, "id", "record").collect()}
     assert made == {1: (None, 0), 2: (None, 0), 3: (None, 0), 4: (None, 0), 5: (None, 0), 6: ("turn_row", 1)}
     assert chat.canonical(records.limit(0), "id", "record").collect() == []
+
+
+def test_formatted_conversations_with_repeats_ties_nulls_and_clashes(spark):
+    rows = [
+        (1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "<|im_end|>"),
+        (2, None, None, None), (2, 3, "assistant", "é\U0001f600" * 50_000), (2, 3, "a%\nb", "x"), (None, 0, "user", "no key"),
+    ]
+    table = spark.createDataFrame(
+        [(*r, "x", 7) for r in rows], "conv_id long, turn long, role string, text string, formatted string, key int"
+    ).repartition(4)
+    outputs = chat.formatted_turns(table, "conv_id")
+    found = {r["conv_id"]: tuple(r)[1:] for r in chat.digests(outputs, "conv_id").collect()}
+    wanted = {}
+    for key in {r[0] for r in rows}:
+        # Equal turns are ordered by the marked text.
+        own = [(-1 if t is None else t, chat.formatted(r or "", x or "")[0], r or "", x or "") for k, t, r, x in rows if k == key]
+        own.sort()
+        loss = "".join(x for _, _, r, x in own if r == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        turns = sha("".join(f"{r}\n{x}\n" for _, _, r, x in own))
+        wanted[key] = (len(own), turns, len(loss), sha(loss), sum(len(f) for _, f, *_ in own))
+    assert found == wanted
+    nothing = chat.formatted_turns(table.limit(0), "conv_id")
+    assert chat.digests(nothing, "conv_id").collect() == []

@@ -1,6 +1,10 @@
 """The text operators against plain Python versions over whole tables."""
 
+import math
 import os
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -49,8 +53,54 @@ def test_mixture_weights_follow_the_better_estimate():
     assert np.allclose(mix.sum(axis=1), 1) and mix[0][0] == 0
 
 
-def test_the_model_is_a_distribution(spark):
-    """Probabilities of every word after a context add up to one."""
+def mixture_scores(rows):
+    """Log10 probabilities of texts by a mixture of Counter estimates, weights by plain expectation-maximisation."""
+    split = [[*re.findall("[^\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for _, t in rows]
+    folds = [zlib.crc32(str(k).encode()) % 7 for k, _ in rows]
+    train = [t for t, f in zip(split, folds) if f != 2]
+    weighing = [t for t, f in zip(split, folds) if f == 3]
+    ones, twos = (lambda texts: Counter(w for t in texts for w in t)), (lambda texts: Counter(p for t in texts for p in zip([None, *t], t)))
+    word, pair = ones(train), twos(train)
+    total, floor = sum(word.values()), 1 / (len(word) + 1)
+
+    def estimates(text, word, pair):
+        for before, w in zip([None, *text], text):
+            context = word[before]
+            bucket = min(int(math.log2(context)) + 1, 23) if context > 0 else 0
+            yield bucket, pair[before, w] / max(context, 1), word[w] / max(total, 1)
+
+    rest, rest_pairs = word - ones(weighing), pair - twos(weighing)
+    rough = lambda p: 2 ** (-round(-math.log2(p) * 4) / 4) if p > 0 else 0.0
+    seen = [(b, (rough(x), rough(y), floor)) for t in weighing for b, x, y in estimates(t, rest, rest_pairs)]
+
+    def learned(tokens):
+        share = [1 / 3] * 3
+        for _ in range(40):
+            parts = [[a * b for a, b in zip(share, p)] for p in tokens]
+            share = [sum(q[k] / sum(q) for q in parts) / len(parts) for k in range(3)]
+        share[2] = max(share[2], 1e-6)
+        return [x / sum(share) for x in share]
+
+    everything = learned([p for _, p in seen])
+    mix = {b: learned([p for c, p in seen if c == b]) if any(c == b for c, _ in seen) else everything for b in range(24)}
+    mix[0] = [0.0, *(x / (mix[0][1] + mix[0][2]) for x in mix[0][1:])]
+    return [
+        sum(math.log10(sum(m * p for m, p in zip(mix[b], (x, y, floor)))) for b, x, y in estimates(t, word, pair))
+        for t in split
+    ]
+
+
+def test_scores_of_the_model_equal_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    words = np.array([f"W{k}" for k in range(40)])
+    rows = [(k, " ".join(words[np.minimum(rng.geometric(0.15, rng.integers(0, 60)), 39)])) for k in range(150)]
+    rows += [(500, None), (501, ""), (502, "never seen before"), (503, "w1 w2 w3")]
+    out = interpolation.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = {r["doc_id"]: r["score"] for r in out.collect()}
+    assert found == pytest.approx(dict(zip([k for k, _ in rows], mixture_scores(rows))), rel=1e-9)
+
+
+def test_probabilities_stay_below_one(spark):
     docs = [(k, t) for k, t in enumerate(["a b a c", "a b b", "c a b", "b a", "a c c a b", "b c"] * 4)]
     probes = [(1000 + k, w) for k, w in enumerate(["a", "b", "c", "zzz"])]
     held = [p for p in probes if brute.fold(p[0], 7) == 2]
