@@ -3,7 +3,9 @@
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window
 from revmill.functions.text import tokens, with_pairs, words
 from revmill.functions.vectors import doubles
 from revmill.schema import HUMAN, MAX_FEATURES, MAX_LEN, MIN_DF
-from revmill.session import stored
+from revmill.session import new_folder, stored
 
 def label_map(train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Class numbers for each group of ``by``: human is 0, the other generators 1..N by name."""
@@ -211,16 +213,19 @@ def term_counts(
     """Stored rows ``term, df, total, idf`` of all terms of at least ``min_df`` documents, in every group.
 
     Groups are values of the column ``by`` (a short list, such as the rotations) and a
-    column of the result; without it all rows are one group. Groups share most texts: a
-    text is split into terms once, with how many of each group's rows have it. Counts per
-    document and in total come from one pass: a text's terms are sorted, each is emitted
-    once, marked where it is the first of its kind, and combined before the shuffle.
+    column of the result; without it all rows are one group and no text is shuffled. Groups
+    share most texts: a text is split into terms once, with how many of each group's rows
+    have it. Counts per document and in total come from one pass: a text's terms are sorted
+    and emitted, marked where they are the first of their kind, and combined before the shuffle.
     idf = ln((1 + n) / (1 + df)) + 1.
     """
     held = [F.lit(True) if by is None else F.col(by) == g for g in groups]
     rows = [f"_rows_{k}" for k in range(len(groups))]
-    texts = train.groupBy("text").agg(*[F.count_if(h).alias(name) for h, name in zip(held, rows, strict=True)])
-    if by is not None:
+    if by is None:
+        # Nothing is shared, and texts need not meet.
+        texts = train.select("text", F.lit(1).alias(rows[0]))
+    else:
+        texts = train.groupBy("text").agg(*[F.count_if(h).alias(name) for h, name in zip(held, rows, strict=True)])
         texts = stored(texts, "texts")
     documents = texts.agg(*[F.sum(name).alias(name) for name in rows]).first()
     terms = with_terms(texts, *rows).select(*rows, F.sort_array("t").alias("t"))
@@ -272,36 +277,55 @@ def tfidf_fit(
     return most_frequent(term_counts(train, min_df=min_df), max_features)
 
 
+def vectorizer(vocabulary: DataFrame) -> CountVectorizerModel:
+    """A count vectorizer for the terms of a table, in their order.
+
+    The terms, one row of at most ``max_features``, are written as the data of a saved
+    model and loaded: handed over by Python, they would cross to the JVM one by one.
+    """
+    path = new_folder(vocabulary.sparkSession, "vocabulary")
+    CountVectorizerModel.from_vocabulary(["-"], inputCol="terms", outputCol="counts").save(path)
+    listed = vocabulary.agg(F.sort_array(F.collect_list("term")).alias("vocabulary"))
+    listed.write.mode("overwrite").parquet(f"{path}/data")
+    return CountVectorizerModel.load(path)
+
+
+def one_row_each(df: DataFrame, key: str) -> None:
+    """Raise if a key stands in two rows; only keys are read and shuffled."""
+    twice = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").first()
+    if twice:
+        raise ValueError(f"two rows with the key {twice[key]}")
+
+
 def tfidf_apply(df: DataFrame, vocabulary: DataFrame, key: str = "review_id") -> DataFrame:
     """TF-IDF weights in long form: ``key, term, weight``.
 
     weight = (1 + ln tf) * idf, scaled to unit length per document; terms
     outside the vocabulary are dropped, and a document without any known term
-    keeps one row with a null term and weight 0. Texts are placed by key once;
-    the counts, the norm and the zero rows all use that placement. A key that stands
-    in two rows is an error.
+    keeps one row with a null term and weight 0. Terms are counted, weighted and scaled
+    inside the document's row, so texts stay where they are read; the idf weights, at
+    most ``max_features``, come to the driver. A key that stands in two rows is an error.
     """
-    placed = df.select(key, "text").repartition(key)
-    long = with_terms(placed, key).select(key, F.posexplode_outer("t").alias("pos", "term"))
+    one_row_each(df, key)
+    terms = stored(vocabulary.select("term", "idf"), "vocabulary")
+    idf = [r["idf"] for r in terms.orderBy("term").select("idf").collect()]
+    if not idf:
+        return df.select(key, F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight"))
+    listed = df.select(key, tokens("text").alias("w")).select(key, with_pairs(F.col("w")).alias("terms"))
+    counted = vectorizer(terms).transform(listed).drop("terms")
+    weighted = ElementwiseProduct(
+        scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted"
+    ).transform(counted)
+    # The product has tf * idf where the count has tf, and idf is never 0.
+    tf, product = (F.unwrap_udt(c) for c in ("counts", "weighted"))
+    raw = F.zip_with(tf["values"], product["values"], lambda n, x: (F.log(n) + 1.0) * x / n)
+    rows = weighted.select(key, tf["indices"].alias("places"), raw.alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, x: total + x * x))
+    # The norm goes along with the terms: beside them it would be summed up again for each.
+    entries = F.arrays_zip("places", "raw", F.array_repeat(norm, F.size("raw")))
+    long = rows.select(key, F.inline_outer(entries).alias("place", "raw", "norm"))
+    listed = terms.select(F.sort_array(F.collect_list("term")).alias("t")).select(F.posexplode("t").alias("place", "term"))
     # The vocabulary is limited to its max_features rows.
-    known = long.join(F.broadcast(vocabulary.select("term", "idf")), "term", "left").withColumn(
-        "term", F.when(F.col("idf").isNotNull(), F.col("term"))
-    )
-    counted = known.groupBy(key, "term", "idf").agg(
-        F.count("*").alias("tf"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("texts")
-    )
-    raw = F.coalesce((F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf"), F.lit(0.0))
-    document = Window.partitionBy(key)
-    twice = F.raise_error(F.concat(F.lit("two rows with the key "), F.col(key).cast("string")))
-    raw = F.when(F.sum("texts").over(document) == 1, raw).otherwise(twice)
-    return (
-        counted.withColumn("raw", raw)
-        .withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(document)))
-        .withColumn("known", F.count("term").over(document))
-        .where(F.col("term").isNotNull() | (F.col("known") == 0))
-        .select(
-            key,
-            "term",
-            F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(0.0).alias("weight"),
-        )
+    return long.join(F.broadcast(listed), "place", "left").select(
+        key, "term", F.coalesce(F.col("raw") / F.col("norm"), F.lit(0.0)).alias("weight")
     )

@@ -23,6 +23,7 @@ from revmill.operators.features import (
     scale_apply,
     scale_fit,
     term_counts,
+    vectorizer,
 )
 from revmill.operators.metrics import metrics
 from revmill.schema import GENERATORS, MAX_FEATURES, MIN_DF, TEST_SPLITS
@@ -96,19 +97,6 @@ class TfidfLr(NamedTuple):
         return score(self.classifier, self.features(df))
 
 
-def vectorizer(vocabulary: DataFrame) -> CountVectorizerModel:
-    """A count vectorizer for the terms of a table, in their order.
-
-    The terms, one row of at most ``max_features``, are written as the data of a saved
-    model and loaded: handed over by Python, they would cross to the JVM one by one.
-    """
-    path = new_folder(vocabulary.sparkSession, "vocabulary")
-    CountVectorizerModel.from_vocabulary(["-"], inputCol="terms", outputCol="counts").save(path)
-    listed = vocabulary.agg(F.sort_array(F.collect_list("term")).alias("vocabulary"))
-    listed.write.mode("overwrite").parquet(f"{path}/data")
-    return CountVectorizerModel.load(path)
-
-
 def fit_tfidf_lr(
     train: DataFrame,
     min_df: int = MIN_DF,

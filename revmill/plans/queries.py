@@ -570,8 +570,7 @@ def tfidf_vocab(spark, sf_dir):
 @query
 def tfidf_weights(spark, sf_dir):
     """All weights of all documents, summed up per document."""
-    # Placed by review here, so that fit and apply share one shuffle of the texts.
-    rows = inputs.reviews(spark, sf_dir).select("review_id", "text").repartition("review_id")
+    rows = inputs.reviews(spark, sf_dir).select("review_id", "text")
     weights = features.tfidf_apply(rows, features.tfidf_fit(rows))
     return weights.groupBy("review_id").agg(
         F.count("term").alias("n_terms"),

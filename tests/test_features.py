@@ -134,6 +134,23 @@ def test_tfidf(spark, max_features):
     assert all(got[i] == pytest.approx(weights[i]) for i in got)
 
 
+def test_weights_are_made_where_the_texts_are_read(spark, tmp_path):
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(CORPUS)], "review_id string, text string")
+    df.write.parquet(str(tmp_path / "texts"))
+    df = spark.read.parquet(str(tmp_path / "texts"))
+    plan = features.tfidf_apply(df, features.tfidf_fit(df, 2))._jdf.queryExecution().executedPlan().toString()
+    # The vocabulary is one row that is broadcast; nothing of the documents moves.
+    assert plan.count("Exchange SinglePartition") <= 1 and "hashpartitioning" not in plan, plan
+    assert "EvalPython" not in plan and "SortMergeJoin" not in plan
+
+
+def test_weights_without_a_vocabulary_or_rows(spark):
+    df = spark.createDataFrame([("a", "one two"), ("b", None)], "review_id string, text string")
+    nothing = features.tfidf_fit(df.where("false"), 2)
+    assert {tuple(r) for r in features.tfidf_apply(df, nothing).collect()} == {("a", None, 0.0), ("b", None, 0.0)}
+    assert features.tfidf_apply(df.where("false"), features.tfidf_fit(df, 1)).collect() == []
+
+
 def test_tfidf_vectors_equal_the_long_form(spark):
     df = spark.createDataFrame(
         [(str(i), t, i % 2) for i, t in enumerate(CORPUS)], "review_id string, text string, label int"
