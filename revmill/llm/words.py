@@ -48,7 +48,7 @@ def release() -> None:
         pass
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     inverse = pow(_BASE, -1, 1 << 64)
@@ -105,13 +105,37 @@ def bounds(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, the same wherever the word stands."""
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    up, down = _powers(1 << max(18, int(len(data) - 1).bit_length()))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """64-bit hash of each word's bytes, the same wherever the word stands.
+
+    Words are hashed in stretches of BLOCK_BYTES, so that a very long text or word takes
+    no more working memory than a block.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    up, down = _powers(BLOCK_BYTES)
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        end = int(np.searchsorted(ends, base + BLOCK_BYTES, side="right"))
+        if end == first:
+            out[first] = _long_word(data[base : int(ends[first])], up)
+            first += 1
+            continue
+        held = data[base : int(ends[end - 1])]
+        total = np.zeros(len(held) + 1, dtype=np.uint64)
+        np.cumsum((held.astype(np.uint64) + _U(1)) * up[: len(held)], out=total[1:])
+        start = starts[first:end] - base
+        out[first:end] = (total[ends[first:end] - base] - total[start]) * down[start]
+        first = end
+    return mix(out)
+
+
+def _long_word(word: np.ndarray, up: np.ndarray) -> int:
+    """The sum that `hashes` mixes, of a word longer than a stretch."""
+    total = 0
+    for at in range(0, len(word), len(up)):
+        part = word[at : at + len(up)].astype(np.uint64) + _U(1)
+        total += int((part * up[: len(part)]).sum()) * pow(_BASE, at, 1 << 64)
+    return total % (1 << 64)
 
 
 def word_hashes(joined: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -367,3 +368,21 @@ def test_one_short_toxic_word_counts_wherever_it_stands(spark):
             at = text.split()
             at.insert(rng.integers(len(at) + 1), word)
             assert model.score([" ".join(at)])[0] >= toxicity.THRESHOLD
+
+
+def test_word_hashes_do_not_depend_on_where_a_word_stands_or_a_stretch_ends():
+    long = "z" * (2 * W.BLOCK_BYTES + 7)
+    words = [*(f"w{i % 5000}" for i in range(200_000)), long, "w1", long, "y" * W.BLOCK_BYTES, "w2"]
+    together = W.word_hashes(" ".join(words).encode() + b"\n", W.spaced())[2]
+    alone = {w: W.word_hashes(w.encode() + b"\n", W.spaced())[2].tolist() for w in set(words)}
+    assert together.tolist() == [h for w in words for h in alone[w]]
+    assert len({h for (h,) in alone.values()}) == len(alone)
+
+
+def test_a_very_long_text_takes_memory_of_its_own_size():
+    text = b"some words here " * (32 << 16) + b"\n"
+    tracemalloc.start()
+    found = W.word_hashes(text, W.spaced())[2]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3 * (32 << 16) and peak < 12 * len(text)
