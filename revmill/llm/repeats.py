@@ -39,8 +39,8 @@ LENGTH, GRAM = 100, 24
 MANY = 1_000
 #: Bytes of text that one range of the sort answers for, and of asked hashes in a task.
 RANGE_BYTES, ANSWER_BYTES = 12 << 20, 8 << 20
-#: Tokens of a block that take part in choosing splitters.
-SAMPLED = 64
+#: Tokens of a block that take part in choosing splitters, and blocks that do.
+SAMPLED, SAMPLED_BLOCKS = 64, 4_096
 #: Bytes of text whose windows are looked at together.
 SEGMENT = 1 << 18
 _U = np.uint64
@@ -483,12 +483,17 @@ def _covered(block: Block, flags: list[bytes], many: np.ndarray) -> np.ndarray:
 
 def _marked(docs: DataFrame, key: str, text: str, most: int, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Blocks of all documents, and what each is told: counts (rounds 1 and 2) and flags (round 0)."""
+    kind = docs.select(named(key)).schema[0].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"keys are whole numbers, but {key} is {kind.simpleString()}")
     held = gathered(docs, key, text, keep=keep)
     size = held.agg(F.sum(F.octet_length("texts")), F.count("*")).first()
     bytes_held = 3 * (size[0] or 0)  # texts shrink to about a third
     buckets, ranges = max(1, int(bytes_held // 8 // ANSWER_BYTES)), max(1, int(bytes_held // RANGE_BYTES))
     asked = stored(tokens_asked(held, buckets), "asked")
-    sample = [r["hashes"] for r in asked.where("bucket = -1").select("hashes").limit(4_096).collect()]
+    # Blocks of the whole corpus, chosen by hash, shape the ranges.
+    sampled = asked.where("bucket = -1").orderBy(F.xxhash64("block"), "block").limit(SAMPLED_BLOCKS)
+    sample = [r["hashes"] for r in sampled.select("hashes").collect()]
     tokens = sorted({s[k : k + GRAM] for s in sample for k in range(0, len(s), GRAM)})
     splitters = sorted({tokens[len(tokens) * k // ranges] for k in range(1, ranges)}) if tokens else []
     told = answered(asked.where("bucket >= 0"), most)
