@@ -260,22 +260,33 @@ def near_duplicates(
 def without_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, most: int = MOST_BITS
 ) -> DataFrame:
-    """One row of every component, with all columns: that of the smallest key, of copies of it any one."""
+    """One row of every component, with all columns: that of the smallest key, of copies of it any one.
+
+    Texts are read for their fingerprints once; what goes is told by the keys that go, so
+    `docs` stays where it is while those fit a broadcast. Only rows of a key that stands
+    in several are told apart by a second fingerprint.
+    """
+    told, code, kept_code, kept_key = (free_name(docs, n) for n in ("told_key", "code_of_row", "kept_code", "kept_key"))
     found = stored(near_duplicates(docs, key, text, size, most), "near_duplicates")
-    first = found.where(F.col("component_id").eqNullSafe(named(key)))
-    # One code of the component that the smallest key has, if it stands in several rows.
-    chosen = first.groupBy("component").agg(
-        F.min("code").alias("kept_code"), F.first(named(key)).alias("kept_key"), F.count("*").alias("copies")
+    fates = found.groupBy(named(key).alias(told)).agg(
+        F.count("*").alias("copies"), F.first("component_id").alias("component_id")
     )
-    chosen = stored(chosen, "chosen")
-    code = free_name(docs, "code_of_row")
-    coded = with_fingerprint(docs, [*[c for c in docs.columns if c != text], text], code, text, size)
-    same = named(code).eqNullSafe(F.col("kept_code")) & named(key).eqNullSafe(F.col("kept_key"))
-    left = coded.join(chosen.select("kept_code", "kept_key"), same, "left_semi")
-    if chosen.where("copies > 1").limit(1).count():
-        # The same key and text twice: those rows alone are made single.
-        left = left.dropDuplicates([key, code])
-    return left.select(*[named(c) for c in docs.columns])
+    fates = fates.where((F.col("copies") > 1) | ~named(told).eqNullSafe(F.col("component_id")))
+    fates = stored(fates.select(told, "copies"), "fates")
+    same_key = named(key).eqNullSafe(named(told))
+    left = docs.join(fates.select(told), same_key, "left_anti")
+    several = fates.where("copies > 1").select(told)
+    if several.isEmpty():
+        return left
+    first = found.where(F.col("component_id").eqNullSafe(named(key))).join(several, same_key, "left_semi")
+    # One code of the component that the smallest key has, if it stands in several rows.
+    chosen = first.groupBy("component").agg(F.min("code").alias(kept_code), F.first(named(key)).alias(kept_key))
+    chosen = stored(chosen.select(kept_code, kept_key), "chosen")
+    rows = docs.join(several, same_key, "left_semi")
+    coded = with_fingerprint(rows, [*[c for c in docs.columns if c != text], text], code, text, size)
+    same = named(code).eqNullSafe(named(kept_code)) & named(key).eqNullSafe(named(kept_key))
+    single = coded.join(chosen, same, "left_semi").dropDuplicates([key, code])
+    return left.unionByName(single.select(*[named(c) for c in docs.columns]))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

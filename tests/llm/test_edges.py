@@ -95,6 +95,30 @@ def test_near_duplicates_keep_one_row_of_a_repeated_key(docs):
     assert sorted(keys, key=str) == [1, 4, 5, 6, 7, 9, None]
 
 
+def test_near_duplicates_go_without_a_second_fingerprint(spark):
+    rows = [(k, f"text {k // 2} of some words that stand here twice", f"extra {k}") for k in range(40)]
+    docs = spark.createDataFrame([*rows, (None, None, None)], "doc_id long, text string, code string")
+    kept = simhash.without_near_duplicates(docs)
+    least = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted(
+        ((k, t, x) for k, t, x in [*rows, (None, None, None)] if (k, k) in least), key=str
+    )
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "hashpartitioning" not in plan
+
+
+def test_a_repeated_key_over_components_stays_where_it_is_the_smallest(spark):
+    rows = [(3, "one text of its own words"), (3, "a second one, quite unlike the first"), (1, "a second one, quite unlike the first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.without_near_duplicates(docs).collect()) == sorted([rows[0], rows[2]])
+
+
+def test_repeats_need_whole_numbers_as_keys(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole numbers, but doc_id is string"):
+        repeats.removals(docs)
+
+
 def test_packing_of_awkward_texts(docs):
     rows = packing.pack_documents(docs, word_bpe()).collect()
     assert len({r["doc_id"] for r in rows}) == len({k for k, _ in TEXTS})
